@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from callwarden.rules import patterns as P
 from callwarden.rules.patterns import java
@@ -36,7 +37,7 @@ LATIN_UNSTABLE = "[" + "".join(f"\\x{ord(c):02X}" for c in _LATIN) + "]"
 BEYOND_LATIN = r"[^\x00-ı]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
