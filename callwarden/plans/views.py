@@ -29,7 +29,8 @@ SELECT event_id AS id, ts,
             WHEN event_type = 'signup' THEN 'PII-001' END AS rule_id,
        CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'DATA_FLOW_VIOLATION' WHEN event_type = 'error' THEN 'RECIPIENT_NOT_ALLOWED'
             WHEN event_type = 'signup' THEN 'PII_DETECTED' ELSE 'OK' END AS reason_code,
-       value AS latency_ms, props AS timings,
+       value AS latency_ms,
+       concat(chr(123), '"mandate": ', cast({{K}} AS string), ', "budget": ', cast({{K}} * 3 AS string), chr(125)) AS timings,
        event_type <> 'error' AS tool_invoked,
        user_id % 10 = 9 AS synthetic,
        {{K}} AS tokens
@@ -83,6 +84,33 @@ SELECT id, concat('case', cast(tokens % 4 AS string)) AS case_id, concat('k', ca
        cast(id % 4 AS int) AS classification, task_id AS source_task,
        concat('note ', cast(id AS string)) AS content, ts AS created_at
 FROM {calls} WHERE tool = 'notes.write'""",
+    # calls with their arguments
+    "requests": """
+SELECT id, ts, task_id, principal, synthetic, tokens,
+       CASE WHEN id % 23 = 0 THEN 'agent_x' ELSE agent_id END AS agent_id,
+       CASE id % 10 WHEN 2 THEN 'legal_db.search' WHEN 3 THEN 'notes.write' WHEN 4 THEN 'mail.send' WHEN 5 THEN 'mail.send'
+                    WHEN 6 THEN 'http.post' WHEN 7 THEN 'code.run' WHEN 8 THEN 'memory.write' WHEN 9 THEN 'shell.exec'
+                    ELSE 'doc.read' END AS tool,
+       CASE id % 4 WHEN 0 THEN concat('/clients/c', cast(tokens % 5 AS string), '/file', cast(tokens AS string), '.txt')
+                   WHEN 1 THEN '/public/a/b.txt' WHEN 2 THEN '/clients/c1/../c2/x' ELSE concat('/private/', cast(tokens AS string)) END AS path,
+       CASE id % 3 WHEN 0 THEN ' Ann@LawFirm.Example ' WHEN 1 THEN concat('bob@client-c', cast(tokens % 5 AS string), '.example')
+                   ELSE 'x@evil.example' END AS recipient,
+       CASE id % 4 WHEN 0 THEN 'mock/echo' WHEN 1 THEN 'main/large' WHEN 2 THEN 'other/model' ELSE 'mock/other' END AS model,
+       CASE tokens % 9 WHEN 0 THEN concat('card 4111 1111 1111 1111 of client ', cast(id AS string))
+                       WHEN 1 THEN concat('key AKIA', lpad(cast(id AS string), 16, '7Q'), ' leaked')
+                       WHEN 2 THEN concat('os.system(1) in step ', cast(id AS string))
+                       WHEN 3 THEN 'SELECT a FROM t; drop table t' ELSE concat('meeting ', cast(id AS string)) END AS body
+FROM {calls}""",
+    "catalog": """
+SELECT concat('/clients/c', cast(n_nationkey % 5 AS string), '/file', cast(n_nationkey * 3 AS string), '.txt') AS path,
+       cast(n_nationkey % 4 AS int) AS label FROM {nation}
+UNION ALL SELECT '/public/a/b.txt', 0 FROM {region} WHERE r_regionkey = 0""",
+    "sinks": """
+SELECT * FROM (VALUES ('llm:local', 3), ('llm:onprem', 2), ('llm:external', 0), ('notes.write', 2), ('memory.write', 2),
+  ('mail.send:internal', 2), ('mail.send:external', 0), ('http.post', 0), ('legal_db.search', 1), ('code.run', 1)) AS t(sink, clearance)""",
+    "status_events": """
+SELECT id, ts, task_id, CASE WHEN id % 2 = 0 THEN 'revoked' ELSE 'completed' END AS status
+FROM {calls} WHERE channel = 'delegate' AND tokens > 60""",
     # texts with a planted sentence each, so that every detector has something to find in every corpus size
     "corpus": """
 SELECT doc_id, source, lang, concat(text, '\n', CASE doc_id % 24
@@ -114,6 +142,28 @@ FROM {documents}""",
 }
 
 
+# Resolved mandates in the oracle's SQL only; Spark resolves them from the profile tables.
+ORACLE_VIEWS = {
+    "mandates": """
+SELECT *, CASE WHEN client LIKE '%/%' THEN 'INVALID_PARAM' END AS rejected,
+  CASE WHEN client NOT LIKE '%/%' THEN CASE profile WHEN 'contract_review' THEN ['/clients/' || client || '/*', '/public/*']
+    WHEN 'simulation' THEN cast([] AS VARCHAR[]) ELSE ['/public/*'] END END AS resources,
+  CASE WHEN client NOT LIKE '%/%' THEN CASE profile WHEN 'contract_review' THEN ['*@lawfirm.example', '*@client-' || client || '.example']
+    ELSE cast([] AS VARCHAR[]) END END AS recipients_allow,
+  CASE WHEN client NOT LIKE '%/%' THEN CASE profile
+    WHEN 'contract_review' THEN ['doc.read', 'legal_db.search', 'notes.write', 'memory.read', 'memory.write', 'mail.send']
+    WHEN 'data_task' THEN ['doc.read', 'legal_db.search', 'code.run', 'notes.write']
+    WHEN 'research' THEN ['legal_db.search', 'http.post', 'notes.write'] ELSE cast([] AS VARCHAR[]) END END AS tools,
+  CASE WHEN client NOT LIKE '%/%' AND profile = 'simulation' THEN ['mock/echo'] END AS models,
+  CASE WHEN client NOT LIKE '%/%' THEN CASE profile WHEN 'research' THEN 10000 WHEN 'simulation' THEN 1000000 ELSE 20000 END END AS tokens
+FROM {tasks}""",
+    "closure": """
+SELECT id AS task_id, id AS ancestor_id, 0 AS depth, cast(NULL AS VARCHAR) AS via_id, parent_id AS next_id FROM {tasks}
+UNION ALL
+SELECT u.task_id, e.id, u.depth + 1, u.ancestor_id, e.parent_id FROM closure u JOIN {tasks} e ON e.id = u.next_id""",
+}
+
+
 def _deps(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql.replace("{K}", ""))))
 
@@ -124,7 +174,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return read_table(spark, sf_dir, name)
     sql = VIEWS[name]
     inputs = {d: view(spark, sf_dir, d) for d in _deps(sql)}
-    return spark.sql(sql.replace("{K}", _K["spark"]).replace("\n'", "\n'"), **inputs)
+    return spark.sql(sql.replace("{K}", _K["spark"]), **inputs)
+
+
+def _oracle_body(name: str) -> str:
+    return VIEWS[name] if name in VIEWS else ORACLE_VIEWS[name]
 
 
 def with_views(sql: str, *names: str) -> str:
@@ -134,7 +188,7 @@ def with_views(sql: str, *names: str) -> str:
     def add(name: str) -> None:
         if name in CORPUS or name in ordered:
             return
-        for dep in _deps(VIEWS[name]):
+        for dep in _deps(_oracle_body(name)):
             add(dep)
         ordered.append(name)
 
@@ -142,12 +196,16 @@ def with_views(sql: str, *names: str) -> str:
         add(n)
     ctes = []
     for n in ordered:
-        body = VIEWS[n].replace("{K}", _K["duckdb"])
+        body = _oracle_body(n).replace("{K}", _K["duckdb"])
         body = re.sub(r"\{(\w+)\}", r"\1", body)
         ctes.append(f"{n} AS ({body})")
     text = sql.strip()
     if not ctes:
         return text
+    if "closure" in ordered and not text.upper().startswith("WITH"):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + text
+    if "closure" in ordered and not text.upper().startswith("WITH RECURSIVE"):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + text[len("WITH"):].lstrip()
     if text.upper().startswith("WITH RECURSIVE"):
         return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + text[len("WITH RECURSIVE"):].lstrip()
     if text.upper().startswith("WITH"):
