@@ -22,6 +22,9 @@ def _col(value: Any) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+PARTS = ("signatures", "secrets", "pii", "injection", "risk")
+
+
 @dataclass(frozen=True)
 class Controls:
     """Switches of one policy; every value is a constant or a Column (one policy per row)."""
@@ -95,6 +98,35 @@ class Controls:
 BALANCED = Controls.preset("balanced")
 
 
+VARIANTS = ("_v1", "_v2", "_v3", "_v4")
+
+
+def _with_variants(work: DataFrame, t: Column, injection: list, no_names: str) -> DataFrame:
+    """Injection names found in the rewritten texts (v1 cleaned, v2 joined, v3 unleeted) and in base64 payloads (v4)."""
+    nothing = F.array().cast(D.STRINGS)
+    work = work.select("*", F.when(F.col("_in"), N.compatibility_form(N.strip_zero_width(t))).alias("_clean"))
+    work = work.select("*", F.when(F.col("_in"), N.join_spaced(F.col("_clean"))).alias("_joined"))
+    work = work.select(
+        "*",
+        F.when(F.col("_clean") != t, F.col("_clean")).alias("_t1"),
+        F.when(~F.col("_joined").isin(F.col("_clean"), t), F.col("_joined")).alias("_t2"),
+        F.when(F.col("_in"), N.unleet(F.col("_joined"))).alias("_t3"),
+        F.when(F.col("_in"), N.base64_payloads(t)).otherwise(nothing).alias("_payloads"),
+    ).withColumn("_t3", F.when(~F.col("_t3").isin(F.col("_joined"), t), F.col("_t3")))
+    work = work.select(
+        "*",
+        *[F.when(F.col(v).isNotNull(), S.keywords(S.fold_case(F.col(v)))).alias(f"{v}k") for v in ("_t1", "_t2", "_t3")],
+    )
+    return work.select(
+        "*",
+        *[
+            F.expr(f"CASE WHEN {t_} IS NOT NULL THEN {D.matched_names(t_, injection, t_ + 'k')} ELSE {no_names} END").alias(v)
+            for t_, v in (("_t1", "_v1"), ("_t2", "_v2"), ("_t3", "_v3"))
+        ],
+        F.expr(f"CASE WHEN size(_payloads) > 0 THEN {D.payload_names('_payloads')} ELSE {no_names} END").alias("_v4"),
+    )
+
+
 def scan(
     df: DataFrame,
     text: str = "text",
@@ -104,8 +136,9 @@ def scan(
     entities: list[str] | None = None,
     pii_when: Column | None = None,
     inbound: Column | None = None,
+    parts: tuple[str, ...] = PARTS,
 ) -> DataFrame:
-    """Add the raw detector results of every text (``SCAN_COLUMNS``).
+    """Add the raw detector results of every text (``SCAN_COLUMNS``); parts left out stay empty and cost nothing.
 
     Narrow: one pass per row, no shuffle. The stages are separate projections because each result feeds
     several later ones; Catalyst keeps such projections apart, so nothing is evaluated twice.
@@ -113,6 +146,8 @@ def scan(
     target = _col(target)
     tool = F.lit(None).cast("string") if tool is None else tool
     inbound = target.isin(D.INBOUND) if inbound is None else inbound
+    if "injection" not in parts and "risk" not in parts:
+        inbound = F.lit(False)
     kept = df.columns
     t = F.col("_text")
     nothing = F.array().cast(D.STRINGS)
@@ -125,39 +160,22 @@ def scan(
         tool.alias("_tool"),
         F.coalesce(inbound, F.lit(False)).alias("_in"),
     )
-    work = work.select(
-        "*",
-        S.fold_case(t).alias("_fold"),
-        S.has_digit(t).alias("_digit"),
-        F.when(F.col("_in"), N.compatibility_form(N.strip_zero_width(t))).alias("_clean"),
-    )
-    work = work.select(
-        "*", S.keywords(F.col("_fold")).alias("_kw"), F.when(F.col("_in"), N.join_spaced(F.col("_clean"))).alias("_joined")
-    ).drop("_fold")
-    work = work.select(
-        "*",
-        F.when(F.col("_clean") != t, F.col("_clean")).alias("_v1"),
-        F.when(~F.col("_joined").isin(F.col("_clean"), t), F.col("_joined")).alias("_v2"),
-        F.when(F.col("_in"), N.unleet(F.col("_joined"))).alias("_v3"),
-        F.when(F.col("_in"), N.base64_payloads(t)).otherwise(nothing).alias("_payloads"),
-    ).withColumn("_v3", F.when(~F.col("_v3").isin(F.col("_joined"), t), F.col("_v3")))
-    work = work.select(
-        "*",
-        *[F.when(F.col(v).isNotNull(), S.keywords(S.fold_case(F.col(v)))).alias(f"{v}k") for v in ("_v1", "_v2", "_v3")],
-    )
+    work = work.select("*", S.fold_case(t).alias("_fold"), S.has_digit(t).alias("_digit"))
+    work = work.select("*", S.keywords(F.col("_fold")).alias("_kw")).drop("_fold")
     no_rules = f"cast(array() AS {S.MATCHED_TYPE})"
     no_names = f"cast(array() AS {D.STRINGS})"
-    signatures = D.signature_rules(SIGNATURES if feed is None else feed, "_target", "_tool")
+    if "injection" in parts:
+        work = _with_variants(work, t, injection, no_names)
+        plain_rules = F.expr(f"CASE WHEN _in THEN {S.matched('_text', injection, '_kw')} ELSE {no_rules} END")
+    else:
+        work = work.select("*", *[nothing.alias(v) for v in VARIANTS])
+        plain_rules = F.expr(no_rules)
+    signatures = D.signature_rules(SIGNATURES if feed is None else feed, "_target", "_tool") if "signatures" in parts else []
     work = work.select(
-        *kept, "_text", "_in", "_kw",
-        F.expr(f"CASE WHEN _in THEN {S.matched('_text', injection, '_kw')} ELSE {no_rules} END").alias("_inj"),
-        *[
-            F.expr(f"CASE WHEN {v} IS NOT NULL THEN {D.matched_names(v, injection, v + 'k')} ELSE {no_names} END").alias(v)
-            for v in ("_v1", "_v2", "_v3")
-        ],
-        F.expr(f"CASE WHEN size(_payloads) > 0 THEN {D.payload_names('_payloads')} ELSE {no_names} END").alias("_v4"),
-        F.expr(S.matched("_text", D.pii_rules(entities), "_kw", "_digit")).alias("_pii"),
-        F.expr(S.matched("_text", D.secret_rules(), "_kw", "_digit")).alias("_sec"),
+        *kept, "_text", "_in", "_kw", *VARIANTS,
+        plain_rules.alias("_inj"),
+        F.expr(S.matched("_text", D.pii_rules(entities) if "pii" in parts else [], "_kw", "_digit")).alias("_pii"),
+        F.expr(S.matched("_text", D.secret_rules() if "secrets" in parts else [], "_kw", "_digit")).alias("_sec"),
         F.expr(S.matched("_text", signatures)).alias("_sig"),
     )
     plain = F.transform(F.col("_inj"), lambda r: r["name"])
@@ -165,7 +183,7 @@ def scan(
     hidden_names = F.array_sort(
         F.transform(F.array_union(rewritten, F.col("_v4")), lambda n: F.concat(F.lit("OBFUSCATED_"), n))
     )
-    work = work.select("*", plain.alias("_plain"), hidden_names.alias("_obf")).drop("_v1", "_v2", "_v3", "_v4")
+    work = work.select("*", plain.alias("_plain"), hidden_names.alias("_obf")).drop(*VARIANTS)
     whole = F.array(S.span(F.lit(0), F.length(t), F.element_at(F.col("_obf"), 1)))
     pii_rules = F.col("_pii") if pii_when is None else F.when(pii_when, F.col("_pii")).otherwise(F.expr(no_rules))
     hidden = S.extract(t, F.expr(S.matched("_text", D.hidden_rules())))
@@ -180,7 +198,7 @@ def scan(
         .otherwise(S.empty_spans())
         .alias("injection_spans"),
     )
-    features = D.risk_features("_text", "_kw", F.size("injection_spans") > 0)
+    features = D.risk_features("_text", "_kw", F.size("injection_spans") > 0) if "risk" in parts else nothing
     work = work.select("*", F.when(F.col("_in"), features).otherwise(nothing).alias("risk_features"))
     return work.select(
         *kept, *SCAN_COLUMNS[:5], D.risk_score(F.col("risk_features")).alias("risk"), "risk_features"
