@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwarden.rules.patterns import KEYWORD_PATTERN
@@ -22,6 +22,21 @@ HITS_TYPE = "array<struct<start:int,end:int,value:string>>"
 MATCHED_TYPE = "array<struct<name:string,pattern:string,label:string,group:int>>"
 
 
+def pin(value: Column) -> Column:
+    """The value itself, but never moved or copied by the optimizer.
+
+    Filters above a projection are otherwise rewritten in terms of its inputs, which would run the detectors again
+    inside the filter, and constraint inference would multiply long expressions. An expression that is not
+    deterministic is left where it is.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+def stage(df: DataFrame, keep: list[str] | None = None, **columns: Column) -> DataFrame:
+    """One evaluation step: the kept columns and new pinned ones."""
+    return df.select(*(["*"] if keep is None else keep), *[pin(c).alias(n) for n, c in columns.items()])
+
+
 def empty_spans() -> Column:
     return F.array().cast(SPANS_TYPE)
 

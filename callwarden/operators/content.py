@@ -104,27 +104,24 @@ VARIANTS = ("_v1", "_v2", "_v3", "_v4")
 def _with_variants(work: DataFrame, t: Column, injection: list, no_names: str) -> DataFrame:
     """Injection names found in the rewritten texts (v1 cleaned, v2 joined, v3 unleeted) and in base64 payloads (v4)."""
     nothing = F.array().cast(D.STRINGS)
-    work = work.select("*", F.when(F.col("_in"), N.compatibility_form(N.strip_zero_width(t))).alias("_clean"))
-    work = work.select("*", F.when(F.col("_in"), N.join_spaced(F.col("_clean"))).alias("_joined"))
-    work = work.select(
-        "*",
-        F.when(F.col("_clean") != t, F.col("_clean")).alias("_t1"),
-        F.when(~F.col("_joined").isin(F.col("_clean"), t), F.col("_joined")).alias("_t2"),
-        F.when(F.col("_in"), N.unleet(F.col("_joined"))).alias("_t3"),
-        F.when(F.col("_in"), N.base64_payloads(t)).otherwise(nothing).alias("_payloads"),
-    ).withColumn("_t3", F.when(~F.col("_t3").isin(F.col("_joined"), t), F.col("_t3")))
-    work = work.select(
-        "*",
-        *[F.when(F.col(v).isNotNull(), S.keywords(S.fold_case(F.col(v)))).alias(f"{v}k") for v in ("_t1", "_t2", "_t3")],
-    )
-    return work.select(
-        "*",
-        *[
-            F.expr(f"CASE WHEN {t_} IS NOT NULL THEN {D.matched_names(t_, injection, t_ + 'k')} ELSE {no_names} END").alias(v)
-            for t_, v in (("_t1", "_v1"), ("_t2", "_v2"), ("_t3", "_v3"))
-        ],
-        F.expr(f"CASE WHEN size(_payloads) > 0 THEN {D.payload_names('_payloads')} ELSE {no_names} END").alias("_v4"),
+    inside = F.col("_in")
+    work = S.stage(work, _clean=F.when(inside, N.compatibility_form(N.strip_zero_width(t))))
+    work = S.stage(work, _joined=F.when(inside, N.join_spaced(F.col("_clean"))))
+    work = S.stage(work, _leet=F.when(inside, N.unleet(F.col("_joined"))))
+    work = S.stage(
+        work,
+        _t1=F.when(F.col("_clean") != t, F.col("_clean")),
+        _t2=F.when(~F.col("_joined").isin(F.col("_clean"), t), F.col("_joined")),
+        _t3=F.when(~F.col("_leet").isin(F.col("_joined"), t), F.col("_leet")),
+        _payloads=F.when(inside, N.base64_payloads(t)).otherwise(nothing),
     )
+    work = S.stage(work, **{f"{v}k": F.when(F.col(v).isNotNull(), S.keywords(S.fold_case(F.col(v)))) for v in ("_t1", "_t2", "_t3")})
+    names = {
+        v: F.expr(f"CASE WHEN {t_} IS NOT NULL THEN {D.matched_names(t_, injection, t_ + 'k')} ELSE {no_names} END")
+        for t_, v in (("_t1", "_v1"), ("_t2", "_v2"), ("_t3", "_v3"))
+    }
+    payload = F.expr(f"CASE WHEN size(_payloads) > 0 THEN {D.payload_names('_payloads')} ELSE {no_names} END")
+    return S.stage(work, **names, _v4=payload)
 
 
 def scan(
@@ -153,56 +150,46 @@ def scan(
     nothing = F.array().cast(D.STRINGS)
     injection = D.injection_rules()
 
-    work = df.select(
-        "*",
-        F.coalesce(F.col(text), F.lit("")).alias("_text"),
-        target.alias("_target"),
-        tool.alias("_tool"),
-        F.coalesce(inbound, F.lit(False)).alias("_in"),
-    )
-    work = work.select("*", S.fold_case(t).alias("_fold"), S.has_digit(t).alias("_digit"))
-    work = work.select("*", S.keywords(F.col("_fold")).alias("_kw")).drop("_fold")
+    work = S.stage(df, _text=F.coalesce(F.col(text), F.lit("")), _target=target, _tool=tool, _in=F.coalesce(inbound, F.lit(False)))
+    work = S.stage(work, _fold=S.fold_case(t), _digit=S.has_digit(t))
+    work = S.stage(work, _kw=S.keywords(F.col("_fold"))).drop("_fold")
     no_rules = f"cast(array() AS {S.MATCHED_TYPE})"
     no_names = f"cast(array() AS {D.STRINGS})"
+    base = [*kept, "_text", "_in", "_kw"]
     if "injection" in parts:
         work = _with_variants(work, t, injection, no_names)
         plain_rules = F.expr(f"CASE WHEN _in THEN {S.matched('_text', injection, '_kw')} ELSE {no_rules} END")
     else:
-        work = work.select("*", *[nothing.alias(v) for v in VARIANTS])
+        work = S.stage(work, **{v: nothing for v in VARIANTS})
         plain_rules = F.expr(no_rules)
     signatures = D.signature_rules(SIGNATURES if feed is None else feed, "_target", "_tool") if "signatures" in parts else []
-    work = work.select(
-        *kept, "_text", "_in", "_kw", *VARIANTS,
-        plain_rules.alias("_inj"),
-        F.expr(S.matched("_text", D.pii_rules(entities) if "pii" in parts else [], "_kw", "_digit")).alias("_pii"),
-        F.expr(S.matched("_text", D.secret_rules() if "secrets" in parts else [], "_kw", "_digit")).alias("_sec"),
-        F.expr(S.matched("_text", signatures)).alias("_sig"),
+    work = S.stage(
+        work, [*base, *VARIANTS],
+        _inj=plain_rules,
+        _pii=F.expr(S.matched("_text", D.pii_rules(entities) if "pii" in parts else [], "_kw", "_digit")),
+        _sec=F.expr(S.matched("_text", D.secret_rules() if "secrets" in parts else [], "_kw", "_digit")),
+        _sig=F.expr(S.matched("_text", signatures)),
     )
-    plain = F.transform(F.col("_inj"), lambda r: r["name"])
-    rewritten = F.array_except(F.concat("_v1", "_v2", "_v3"), plain)
+    work = S.stage(work, _plain=F.transform(F.col("_inj"), lambda r: r["name"]))
+    rewritten = F.array_except(F.concat("_v1", "_v2", "_v3"), F.col("_plain"))
     hidden_names = F.array_sort(
         F.transform(F.array_union(rewritten, F.col("_v4")), lambda n: F.concat(F.lit("OBFUSCATED_"), n))
     )
-    work = work.select("*", plain.alias("_plain"), hidden_names.alias("_obf")).drop(*VARIANTS)
+    work = S.stage(work, _obf=hidden_names, _hidden=F.when(F.size("_plain") > 0, S.extract(t, F.expr(S.matched("_text", D.hidden_rules())))))
     whole = F.array(S.span(F.lit(0), F.length(t), F.element_at(F.col("_obf"), 1)))
     pii_rules = F.col("_pii") if pii_when is None else F.when(pii_when, F.col("_pii")).otherwise(F.expr(no_rules))
-    hidden = S.extract(t, F.expr(S.matched("_text", D.hidden_rules())))
-    work = work.select(
-        *kept, "_text", "_in", "_kw",
-        D.signature_hits(t, F.col("_sig")).alias("sig_hits"),
-        D.secret_spans(t, F.col("_sec")).alias("secret_spans"),
-        D.pii_spans(t, pii_rules).alias("pii_spans"),
-        F.array_sort(F.array_union(F.col("_plain"), F.col("_obf"))).alias("injection_names"),
-        F.when(F.size("_plain") > 0, D.injection_spans(t, F.col("_inj"), hidden))
-        .when(F.size("_obf") > 0, whole)
-        .otherwise(S.empty_spans())
-        .alias("injection_spans"),
+    injected = F.when(F.size("_plain") > 0, D.injection_spans(t, F.col("_inj"), F.col("_hidden"))).when(F.size("_obf") > 0, whole)
+    work = S.stage(
+        work, base,
+        sig_hits=D.signature_hits(t, F.col("_sig")),
+        secret_spans=D.secret_spans(t, F.col("_sec")),
+        pii_spans=D.pii_spans(t, pii_rules),
+        injection_names=F.array_sort(F.array_union(F.col("_plain"), F.col("_obf"))),
+        injection_spans=injected.otherwise(S.empty_spans()),
     )
     features = D.risk_features("_text", "_kw", F.size("injection_spans") > 0) if "risk" in parts else nothing
-    work = work.select("*", F.when(F.col("_in"), features).otherwise(nothing).alias("risk_features"))
-    return work.select(
-        *kept, *SCAN_COLUMNS[:5], D.risk_score(F.col("risk_features")).alias("risk"), "risk_features"
-    )
+    work = S.stage(work, [*kept, *SCAN_COLUMNS[:5]], risk_features=F.when(F.col("_in"), features).otherwise(nothing))
+    return S.stage(work, risk=D.risk_score(F.col("risk_features"))).select(*kept, *SCAN_COLUMNS)
 
 
 def _action(mode: Any) -> Column:
@@ -296,18 +283,17 @@ def judge(
     if sink is not None:
         flow = flow_finding(controls, F.coalesce(level, F.lit(0)), sink, clearance)
         parts.append(collect_findings(F.when(sink.isNotNull(), flow)))
-    work = scanned.select("*", F.concat(*parts).alias("_before"))
+    work = S.stage(scanned, _before=F.concat(*parts))
     scored = F.when(
         _col(controls.semantic_on) & target.isin(D.INBOUND) & ~is_blocked(F.col("_before"))
         & F.col(text).rlike(r"(?U)\S"),
         risk_finding(controls, F.col("risk"), F.col("risk_features")),
     )
-    work = work.select("*", F.concat(F.col("_before"), collect_findings(scored)).alias("findings")).drop("_before")
-    work = work.select("*", decide(F.col("findings")).alias("decision"))
-    return work.select(
-        *[c for c in work.columns if c not in SCAN_COLUMNS],
-        F.when(F.col("decision.action") == "REDACT", S.redact(F.col(text), all_spans(F.col("findings")))).alias("redacted"),
-    )
+    kept = [c for c in scanned.columns if c not in SCAN_COLUMNS]
+    work = S.stage(work, kept, findings=F.concat(F.col("_before"), collect_findings(scored)))
+    work = S.stage(work, decision=decide(F.col("findings")))
+    cut = F.when(F.col("decision.action") == "REDACT", S.redact(F.col(text), all_spans(F.col("findings"))))
+    return S.stage(work, redacted=cut)
 
 
 def all_spans(findings: Column) -> Column:

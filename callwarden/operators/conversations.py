@@ -25,10 +25,10 @@ def check_messages(messages: DataFrame, controls: C.Controls = C.BALANCED, feed:
     target = message_target(F.col("role"))
     checked = messages.where(F.col("role") != "assistant")
     scanned = C.scan(checked, "text", target, feed=feed, entities=controls.entities, parts=("signatures", "secrets", "pii", "injection"))
-    work = scanned.select("*", C.content_findings(controls, target).alias("findings"))
-    work = work.select("*", decide(F.col("findings")).alias("decision")).drop(*C.SCAN_COLUMNS)
+    work = S.stage(scanned, checked.columns, findings=C.content_findings(controls, target))
+    work = S.stage(work, decision=decide(F.col("findings")))
     clean = F.when(F.col("decision.action") == "REDACT", S.redact(F.col("text"), C.all_spans(F.col("findings")))).otherwise(F.col("text"))
-    return work.select("*", clean.alias("sanitized"))
+    return S.stage(work, sanitized=clean)
 
 
 def sanitize_conversations(messages: DataFrame, controls: C.Controls = C.BALANCED) -> DataFrame:
@@ -81,20 +81,20 @@ def filter_output(df: DataFrame, target: Column | str, text: str = "text", contr
         made = finding(C._action(controls.documents_mode), "DOC-001", "ACTIVE_CONTENT_IN_DOCUMENT", "signatures",
                        {"kinds": F.array_join(F.array_sort(active_kinds), ","), "target": target})
         findings.insert(0, collect_findings(F.when(C._col(controls.documents_on) & (F.size(active_kinds) > 0), made)))
-    work = scanned.select("*", F.concat(*findings).alias("_before"))
+    work = S.stage(scanned, _before=F.concat(*findings))
     scored = F.when(
         C._col(controls.semantic_on) & results & ~is_blocked(F.col("_before")) & F.col(text).rlike(r"(?U)\S"),
         C.risk_finding(controls, F.col("risk"), F.col("risk_features")),
     )
-    work = work.select("*", F.concat(F.col("_before"), collect_findings(scored)).alias("findings")).drop("_before", *C.SCAN_COLUMNS)
-    work = work.select("*", decide(F.col("findings")).alias("decision"), C.all_spans(F.col("findings")).alias("_cut"))
+    work = S.stage(work, df.columns, findings=F.concat(F.col("_before"), collect_findings(scored)))
+    work = S.stage(work, decision=decide(F.col("findings")), _cut=C.all_spans(F.col("findings")))
     released = (
         F.when(F.col("decision.action") == "BLOCK", F.lit(None).cast("string"))
         .when((F.col("decision.action") == "REDACT") & results & (F.size("_cut") == 0), WITHHELD)
         .when(F.col("decision.action") == "REDACT", S.redact(F.col(text), F.col("_cut")))
         .otherwise(F.col(text))
     )
-    return work.select(*[c for c in work.columns if c != "_cut"], released.alias("released"))
+    return S.stage(work, released=released).drop("_cut")
 
 
 def redact_call_args(args: DataFrame, clearance: Column, writes: Column, controls: C.Controls = C.BALANCED) -> DataFrame:
