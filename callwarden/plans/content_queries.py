@@ -199,7 +199,7 @@ def signature_scan(spark, sf_dir):
 
 @query("risk_score", with_views(f"""
 WITH {_VARIANTS.strip()}
-SELECT doc_id, round(1 - {_SAFE}, 3) AS risk, CASE WHEN {_RISK["exfiltration_request"]} THEN 'exfiltration'
+SELECT doc_id, cast(round(1 - {_SAFE}, 3) AS DOUBLE) AS risk, CASE WHEN {_RISK["exfiltration_request"]} THEN 'exfiltration'
   WHEN {_SAFE} < 1 THEN 'injection' ELSE 'benign' END AS label FROM injected""", "corpus"))
 def risk_score(spark, sf_dir):
     out = C.scan(view(spark, sf_dir, "corpus"), parts=("injection", "risk"))
@@ -249,7 +249,7 @@ def evaluate(spark, sf_dir):
 
 _JUDGED = f"""
 judged AS (SELECT doc_id, source, {_names(_SIGS)} AS sigs, len({_SECRETS}) > 0 AS sec, regexp_matches(text, {_q(P.PII["EMAIL"])}) AS pii,
-  len(plain) + len(hidden) > 0 AS inj, round(1 - {_SAFE}, 3) AS risk FROM injected),
+  len(plain) + len(hidden) > 0 AS inj, cast(round(1 - {_SAFE}, 3) AS DOUBLE) AS risk FROM injected),
 decided AS (SELECT *, CASE WHEN len(sigs) > 0 OR sec OR risk >= 0.7 THEN 'BLOCK' WHEN pii OR inj OR risk >= 0.5 THEN 'REDACT' ELSE 'ALLOW' END AS action,
   CASE WHEN len(sigs) > 0 THEN sigs[1] WHEN sec THEN 'SEC-001' WHEN risk >= 0.7 THEN 'SEM-001' WHEN pii THEN 'PII-001' WHEN inj THEN 'INJ-001'
        WHEN risk >= 0.5 THEN 'SEM-002' END AS rule_id FROM judged)"""
@@ -412,7 +412,7 @@ def redact_call_args(spark, sf_dir):
 
 @query("score_distinct", with_views(f"""
 WITH {_VARIANTS.strip()}
-SELECT doc_id, round(1 - {_SAFE}, 3) AS risk FROM injected""", "corpus"))
+SELECT doc_id, cast(round(1 - {_SAFE}, 3) AS DOUBLE) AS risk FROM injected""", "corpus"))
 def score_distinct(spark, sf_dir):
     return V.score_distinct(view(spark, sf_dir, "corpus")).select("doc_id", "risk")
 
@@ -494,7 +494,7 @@ def policy_sink_problems(spark, sf_dir):
 
 
 @query("risk_finding", with_views(f"""
-WITH {_VARIANTS.strip()}, r AS (SELECT doc_id, round(1 - {_SAFE}, 3) AS risk FROM injected)
+WITH {_VARIANTS.strip()}, r AS (SELECT doc_id, cast(round(1 - {_SAFE}, 3) AS DOUBLE) AS risk FROM injected)
 SELECT doc_id, CASE WHEN doc_id % 40 = 39 THEN 'SEM-ERR' WHEN risk >= 0.4 THEN 'SEM-001' WHEN risk >= 0.25 THEN 'SEM-002' ELSE 'SEM-000' END AS rule_id FROM r""", "corpus"))
 def risk_finding(spark, sf_dir):
     out = C.scan(view(spark, sf_dir, "corpus"), parts=("injection", "risk"))
