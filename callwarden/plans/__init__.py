@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-AREAS = ["report_queries", "access_queries", "ledger_queries", "content_queries", "supply_queries"]
+AREAS = ["report_queries", "access_queries", "ledger_queries", "content_queries", "supply_queries", "stream_queries"]
 
 
 def load() -> ModuleType:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from callwarden.operators import content as C
 from callwarden.operators import documents as G
 from callwarden.operators import supply as U
 from callwarden.plans.registry import query
@@ -187,5 +188,5 @@ UNION ALL SELECT doc_id, 'comment by Ann', 'SEC-001' FROM documents
 UNION ALL SELECT doc_id, 'document properties: subject', '' FROM documents
 UNION ALL SELECT doc_id, 'external attachedTemplate', '' FROM documents WHERE doc_id % 3 = 0""")
 def locate_findings(spark, sf_dir):
-    out = G.locate_findings(G.extract_ooxml(_office(spark, sf_dir)))
+    out = G.locate_findings(G.extract_ooxml(_office(spark, sf_dir)), C.BALANCED.but(entities=["EMAIL"]))
     return out.where(F.col("pos") > 0).select("id", "part", F.array_join("rules", ",").alias("rules"))
