@@ -10,7 +10,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callwarden.sources.tables import CORPUS, read_table
+from callwarden.sources.tables import CORPUS, read_table, spread
+
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 _K = {"spark": "cast(get_json_object(props, '$.k') as int)", "duckdb": "cast(json_extract_string(props, '$.k') as int)"}
 _UP = "cast(floor(user_id / 10.0) as bigint)"
@@ -170,6 +172,8 @@ def _deps(sql: str) -> list[str]:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a derived view as a DataFrame."""
+    if name in TEXT_TABLES:
+        return spread(read_table(spark, sf_dir, name), sf_dir, name, TEXT_TABLES[name])
     if name in CORPUS:
         return read_table(spark, sf_dir, name)
     sql = VIEWS[name]

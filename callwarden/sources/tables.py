@@ -74,6 +74,23 @@ def read_table(spark: SparkSession, folder: str, name: str, schemas: dict[str, s
     return spark.read.schema(schemas[name]).parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
+def spread(df: DataFrame, folder: str, name: str, key: str) -> DataFrame:
+    """Deal the rows of a text table to all cores when it is a single file.
+
+    One file often is one row group and then one task, and scanning text is heavy. Tables of many files are spread by
+    their files already and pass through untouched, without a shuffle.
+    """
+    spark = df.sparkSession
+    if is_folder(spark, os.path.join(folder, f"{name}.parquet")):
+        return df
+    return df.repartition(2 * spark.sparkContext.defaultParallelism, key)
+
+
 def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None,
                 schemas: dict[str, str] = CORPUS) -> dict[str, DataFrame]:
     """Lazy readers by table name; only tables a query touches are scanned."""

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from callwarden.operators import content as C
 from callwarden.session import scratch_path
-from callwarden.sources.tables import CORPUS
+from callwarden.sources.tables import CORPUS, is_folder
 
 LATENESS = "2 minutes"
 
@@ -24,10 +24,8 @@ LATENESS = "2 minutes"
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
     """A table's files as a stream, whether the table is one file or a folder of files."""
     path = f"{folder}/{name}.parquet"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    status = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop)
     reader = spark.readStream.schema(CORPUS[name]).option("maxFilesPerTrigger", files_per_trigger)
-    if status.isDirectory():
+    if is_folder(spark, path):
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
