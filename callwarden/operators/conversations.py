@@ -22,13 +22,13 @@ def message_target(role: Column) -> Column:
 
 def check_messages(messages: DataFrame, controls: C.Controls = C.BALANCED, feed: list[dict] | None = None) -> DataFrame:
     """Findings and clean text of every message (conv_id, turn, role, text); the assistant's own turns are skipped."""
-    target = message_target(F.col("role"))
-    checked = messages.where(F.col("role") != "assistant")
+    checked = S.stage(messages.where(F.col("role") != "assistant"), target=message_target(F.col("role")))
+    target = F.col("target")
     scanned = C.scan(checked, "text", target, feed=feed, entities=controls.entities, parts=("signatures", "secrets", "pii", "injection"))
     work = S.stage(scanned, checked.columns, findings=C.content_findings(controls, target))
     work = S.stage(work, decision=decide(F.col("findings")))
     clean = F.when(F.col("decision.action") == "REDACT", S.redact(F.col("text"), C.all_spans(F.col("findings")))).otherwise(F.col("text"))
-    return S.stage(work, sanitized=clean)
+    return S.stage(work, sanitized=clean).drop("target")
 
 
 def sanitize_conversations(messages: DataFrame, controls: C.Controls = C.BALANCED) -> DataFrame:
