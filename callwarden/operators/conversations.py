@@ -10,6 +10,7 @@ from callwarden.operators import content as C
 from callwarden.operators.decide import collect_findings, decide, finding, is_blocked
 from callwarden.operators.running import running
 from callwarden.rules.patterns import java
+from callwarden.session import cut_lineage
 
 TURNS_PER_BLOCK = 1024
 CONTEXT_CHARS = 4096
@@ -46,10 +47,10 @@ def split_injection(checked: DataFrame, chunk_turns: int = 4096) -> DataFrame:
     reach a few hundred characters, less than that context.
     """
     untrusted = F.col("role").isin("user", "tool")
-    flags = checked.groupBy("conv_id").agg(
-        F.count_if(untrusted).alias("messages"),
-        F.bool_or(is_blocked(F.col("findings")) | F.exists("findings", lambda f: f["rule_id"] == "INJ-001")).alias("_skip"),
-    )
+    stop = is_blocked(F.col("findings")) | F.exists("findings", lambda f: f["rule_id"] == "INJ-001")
+    # read twice below: stored once, so that the messages are not scanned twice
+    checked = cut_lineage(checked.select("conv_id", "turn", "role", "sanitized", stop.alias("_stop")))
+    flags = checked.groupBy("conv_id").agg(F.count_if(untrusted).alias("messages"), F.bool_or("_stop").alias("_skip"))
     eligible = flags.where(~F.col("_skip") & (F.col("messages") > 1)).select("conv_id", "messages")
     turns = checked.where(untrusted).select("conv_id", "turn", "sanitized").join(eligible, "conv_id")
     numbered = running(turns, ["conv_id"], ["turn"], {"_n": ("count", F.lit(1))}, F.floor(F.col("turn") / chunk_turns))
