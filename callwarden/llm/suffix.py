@@ -21,8 +21,8 @@ from callwarden.llm.common import mix, store
 
 QGRAM = 40
 #: Distinct contexts of one bucket that a task refines; larger buckets are refined by hashes over all executors.
-BUCKET = 8_000
-_CHUNK = 4 << 20
+BUCKET = 50_000
+_CHUNK = 1 << 18
 _REFINE_BYTES = 1 << 21
 
 
@@ -38,13 +38,19 @@ def _sliding(values: np.ndarray, width: int, op) -> np.ndarray:
 def _grams(data: np.ndarray) -> np.ndarray:
     """A hash of the QGRAM bytes at every position (the last ones read zero bytes behind the end)."""
     padded = np.concatenate([data, np.zeros(QGRAM + 8, np.uint8)])
-    h8 = np.zeros(len(data) + QGRAM, np.uint64)
-    for i in range(8):
-        h8 |= padded[i:i + len(h8)].astype(np.uint64) << np.uint64(8 * i)
-    k1, k2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    h16 = mix(h8[:-8] * k1 + mix(h8[8:] * k2))
-    h32 = mix(h16[:-16] * k1 + h16[16:] * k2)
-    return mix(h32[:len(data)] * k1 + h8[32:32 + len(data)] * k2)
+    n = len(data)
+    h8 = np.ndarray((n + QGRAM,), "<u8", padded, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    h8 ^= h8 >> np.uint64(29)
+    h16 = h8[:-8] * np.uint64(0xBF58476D1CE4E5B9)
+    h16 += h8[8:]
+    h32 = h16[:n] * np.uint64(0x94D049BB133111EB)
+    h32 += h16[16:n + 16]
+    h32 *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h32 += h8[32:n + 32]
+    h32 ^= h32 >> np.uint64(32)
+    h32 *= np.uint64(0xD6E8FEB86659FD93)
+    h32 ^= h32 >> np.uint64(32)
+    return h32
 
 
 def _anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -56,19 +62,16 @@ def _anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray,
     if len(data) < length:
         return
     grams = _grams(data)
-    rank = (grams >> np.uint64(32)).astype(np.uint32)
+    rank = (grams >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
     low = _sliding(rank, window, np.minimum)
-    inside = np.zeros(len(data) + 1, np.int32)  # starts of whole windows: not so near to a text's end that they'd cross it
-    for end, size in zip(ends, sizes, strict=True):
-        if size >= length:
-            inside[end - size] += 1
-            inside[end - length + 1] -= 1
-    valid = np.cumsum(inside)[:len(low)] > 0
-    # + 1 sets a real minimum apart from windows that cross an end
-    low = np.where(valid, low.astype(np.uint64) + np.uint64(1), np.uint64(0))
-    fringe = np.zeros(window - 1, np.uint64)
+    inside = np.zeros(len(data) + 1, np.int8)  # starts of whole windows: not so near to a text's end that they'd cross it
+    long = sizes >= length
+    np.add.at(inside, (ends - sizes)[long], 1)
+    np.add.at(inside, (ends - length + 1)[long], -1)
+    low = np.where(np.cumsum(inside, dtype=np.int8)[:len(low)] > 0, low, np.uint32(0))  # 0: no window
+    fringe = np.zeros(window - 1, np.uint32)
     best = _sliding(np.concatenate([fringe, low, fringe]), window, np.maximum)
-    at = np.flatnonzero(best[:len(rank)] == rank[:len(best)].astype(np.uint64) + np.uint64(1))
+    at = np.flatnonzero(best == rank[:len(best)])
     owner = np.searchsorted(ends, at, side="right")
     starts = ends - sizes
     keep = at + QGRAM <= ends[owner]
@@ -141,38 +144,46 @@ def _context_rows(length: int):
 def _classes(keys: np.ndarray) -> np.ndarray:
     """A number for each class of equal keys; -1 for keys that occur once."""
     _, names, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return np.where(counts[names] > 1, names, -1)
+    return np.where(counts[names] > 1, names, -1).astype(np.int32)
 
 
 def _refine(bucket: np.ndarray, lead: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last offset of a repeated passage in each context; -1 if there is none.
 
     Contexts of a bucket are laid over each other with the q-gram in one column. A pointer names the class of strings that are
-    equal from a column on; a passage that is repeated elsewhere meets its copy in the bucket of its own q-gram.
+    equal from a column on; a passage that is repeated elsewhere meets its copy in the bucket of its own q-gram. Sorting one
+    column by its own pointers and those of a later column gives the pointers of longer strings.
     """
     n, sizes = len(data), np.array([len(d) for d in data])
     span = 2 * length - QGRAM
-    grams = _grams(np.frombuffer(b"".join(data), np.uint8))
-    begins = np.cumsum(sizes) - sizes
-    row = np.repeat(np.arange(n), sizes)
-    col = np.arange(len(row)) - begins[row]
-    full = col + QGRAM <= sizes[row]
-    row, col, grams = row[full], col[full], grams[full]
-    col = col + (length - QGRAM - lead)[row]
-    pointer = np.full((n, span), -1, np.int64)
-    pointer[row, col] = _classes(mix(grams ^ mix((bucket[row] * span + col).astype(np.uint64))))
+    shift = length - QGRAM - lead
+    grams = np.zeros((span, n), np.uint64)
+    full = np.zeros((span, n), bool)
+    for at in range(0, n, 2000):
+        part = sizes[at:at + 2000]
+        row = np.repeat(np.arange(len(part)), part)
+        col = np.arange(len(row)) - (np.cumsum(part) - part)[row]
+        whole = col + QGRAM <= part[row]
+        row, col, values = row[whole], col[whole], _grams(np.frombuffer(b"".join(data[at:at + 2000]), np.uint8))[whole]
+        col = col + shift[at + row]
+        grams[col, at + row], full[col, at + row] = values, True
+    own = mix(bucket.astype(np.uint64) + np.uint64(1))
+    pointer = np.full((span, n), -1, np.int32)
+    for c in range(span - QGRAM + 1):
+        there = np.flatnonzero(full[c])
+        pointer[c, there] = _classes(grams[c, there] ^ own[there])
+    del grams, full
     depth = QGRAM
     while depth < length:
         step = min(depth, length - depth)
-        width = span - depth - step + 1
-        here, later = pointer[:, :width], pointer[:, step:step + width]
-        both = (here >= 0) & (later >= 0)
-        deeper = np.full((n, span), -1, np.int64)
-        deeper[:, :width][both] = _classes((here[both] << 32) | later[both])
-        pointer, depth = deeper, depth + step
-    repeated = pointer[:, :length - QGRAM + 1] >= 0
+        for c in range(span - depth - step + 1):  # the later column still holds pointers of this depth
+            there = np.flatnonzero((pointer[c] >= 0) & (pointer[c + step] >= 0))
+            names = _classes((pointer[c, there].astype(np.int64) << 32) | pointer[c + step, there])
+            pointer[c] = -1
+            pointer[c, there] = names
+        depth += step
+    repeated = pointer[:length - QGRAM + 1].T >= 0
     some = repeated.any(axis=1)
-    shift = length - QGRAM - lead
     last = repeated.shape[1] - 1 - repeated[:, ::-1].argmax(axis=1)
     return np.where(some, repeated.argmax(axis=1) - shift, -1), np.where(some, last - shift, -1)
 
