@@ -11,7 +11,9 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,28 +22,71 @@ from callwarden.llm.common import documents, prefix_sums, store
 
 CAPACITY = 4096
 END = 2
-_KNOWN = 250_000
+_KNOWN = 700_000
+_TAIL = b".,!?;:"
 _TOKENS = "doc_id long, doc_tokens long, rest int, crcs array<long>"
 
 
+class _Words(dict):
+    """Ids of words (as little-endian bytes). A word is what stands between ASCII white space: no token spans that."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+        marks = sorted((i, token.endswith("</w>")) for token, i in tokenizer.get_vocab().items())
+        self.closes = np.zeros(marks[-1][0] + 1, bool)
+        self.closes[[i for i, end in marks if end]] = True
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self) > _KNOWN:
+            self.clear()
+        new = [w for w in words if w not in self]
+        # letters and the punctuation behind them are tokenized apart
+        cores = {w: w.rstrip(_TAIL) for w in new}
+        pieces = {c for c in cores.values() if c and c not in self} | {w[len(c):] for w, c in cores.items() if c and len(c) < len(w)}
+        plain, others = [], []
+        for piece in pieces:
+            text = piece.decode("utf-8", "surrogatepass")
+            (plain if text.isalpha() else others).append((piece, text))
+        for at in range(0, len(plain), 1000):
+            part = plain[at:at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1 if len(ids) else np.empty(0, int)
+            if len(ends) != len(part) or ends[-1] != len(ids):  # a letter that normalization takes apart
+                others += part
+                continue
+            for (piece, _), lo, hi in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                self[piece] = ids[lo:hi].tobytes()
+        for (piece, _), got in zip(others, self.tokenizer.encode_batch([t for _, t in others], add_special_tokens=False), strict=True):
+            self[piece] = np.array(got.ids, "<u4").tobytes()
+        whole = [w for w in new if w not in self and not (cores[w] and cores[w][-1:].isalpha())]
+        for word, got in zip(whole, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in whole], add_special_tokens=False), strict=True):
+            self[word] = np.array(got.ids, "<u4").tobytes()
+        for word in new:
+            if word not in self:
+                self[word] = self[cores[word]] + self[word[len(cores[word]):]]
+
+
+@cache
+def _words(path: str) -> _Words:
+    """What a Python worker has learned; it serves all tasks that the worker runs."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return _Words(Tokenizer.from_file(path))
+
+
 def _tokenize(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[bytes, bytes] = {}
+        known = _words(path)
         end = END.to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, 400):
-                batch = whole.slice(at, 400)
-                # no token spans white space, so a text's ids are those of its words
-                texts = [t.encode("utf-8", "surrogatepass").split() for t in batch.column(1).to_pylist()]
-                if len(known) > _KNOWN:
-                    known.clear()
-                new = list(set().union(*texts).difference(known))
-                for word, got in zip(new, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False), strict=True):
-                    known[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+                # the tokenizer folds letters anyway, but for its special tokens
+                texts = [(t if b"<|" in t else t.lower()).split() for t in texts]
+                known.learn(set().union(*texts))
                 sizes, crcs = [], []
                 for words in texts:
                     ids = memoryview(b"".join([*map(known.__getitem__, words), end]))
