@@ -170,7 +170,7 @@ def _decode(model: Model):
             for n in sizes.tolist():
                 p = path[start:start + n]
                 cuts = np.flatnonzero(np.diff(p, prepend=-1))
-                ends = [*cuts[1:].tolist(), n]
+                ends = [*cuts[1:].tolist(), n][:len(cuts)]
                 spans.append([{"lang": model.langs[p[c]], "first_word": int(c), "n_words": int(e - c)} for c, e in zip(cuts, ends, strict=True)])
                 start += n
             if len(rows) > _KNOWN:

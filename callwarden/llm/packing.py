@@ -22,7 +22,7 @@ from callwarden.llm.common import documents, prefix_sums, store
 
 CAPACITY = 4096
 END = 2
-_KNOWN = 700_000
+_KNOWN = 450_000
 _TAIL = b".,!?;:"
 _TOKENS = "doc_id long, doc_tokens long, rest int, crcs array<long>"
 

@@ -8,6 +8,7 @@ quoted, several hits close together as abuse. A logistic regression turns the co
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ THRESHOLD = 0.3
 #: Tenths of the sample that the lexicon is learned from; the weights are fitted on the others, whose words it has not seen.
 LEARN = 6
 _KNOWN = 200_000
-_STATES = 100_000
+_STATES = 50_000
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = "\"'«»‘’‚‛“”„‹›`"
 #: Words that report speech, in the languages served.
@@ -68,8 +69,8 @@ class Automaton:
         self._forget()
 
     def _forget(self) -> None:
-        self.sets: list[dict[int, int]] = []
-        self.numbers: dict[frozenset, int] = {}
+        self.sets: list[bytes] = []
+        self.numbers: dict[bytes, int] = {}
         self.steps: list[dict[str, int]] = []
         self.ends: list[int] = []
         self.stem: list[int] = []
@@ -84,11 +85,11 @@ class Automaton:
                 if spent + 1 <= self.reach[child] and nodes.get(child, 9) > spent + 1:
                     nodes[child] = spent + 1
                     todo.append((child, spent + 1))
-        key = frozenset(nodes.items())
+        key = array("i", [x for pair in sorted(nodes.items()) for x in pair]).tobytes()  # compact: states are many
         at = self.numbers.get(key)
         if at is None:
             at = self.numbers[key] = len(self.sets)
-            self.sets.append(nodes)
+            self.sets.append(key)
             self.steps.append({})
             self.ends.append(max((2 if e == 0 else 1 for n, e in nodes.items() if e <= self.word_limit[n]), default=0))
             self.stem.append(max((2 if e == 0 else 1 for n, e in nodes.items() if e <= self.stem_limit[n]), default=0))
@@ -96,7 +97,8 @@ class Automaton:
 
     def _step(self, state: int, letter: str) -> int:
         after: dict[int, int] = {}
-        for node, spent in self.sets[state].items():
+        held = array("i", self.sets[state])
+        for node, spent in zip(held[::2], held[1::2], strict=True):
             for edge, child in self.children[node].items():
                 cost = spent + (edge != letter)
                 if cost <= self.reach[child] and after.get(child, 9) > cost:
