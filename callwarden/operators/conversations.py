@@ -23,7 +23,7 @@ def message_target(role: Column) -> Column:
 
 def check_messages(messages: DataFrame, controls: C.Controls = C.BALANCED, feed: list[dict] | None = None) -> DataFrame:
     """Findings and clean text of every message (conv_id, turn, role, text); the assistant's own turns are skipped."""
-    checked = S.stage(messages.where(F.col("role") != "assistant"), target=message_target(F.col("role")))
+    checked = S.stage(messages.where(~F.col("role").eqNullSafe("assistant")), target=message_target(F.col("role")))
     target = F.col("target")
     scanned = C.scan(checked, "text", target, feed=feed, entities=controls.entities, parts=("signatures", "secrets", "pii", "injection"))
     work = S.stage(scanned, checked.columns, findings=C.content_findings(controls, target))

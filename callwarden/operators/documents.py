@@ -22,7 +22,7 @@ MAX_SECTION_CHARS = 20_000
 
 # fixed values: signatures of the first bytes, and properties that carry no text of interest
 MAGIC = [("255044462D", "pdf"), ("504B0304", "office"), ("D0CF11E0A1B11AE1", "legacy_office"), ("FFD8FF", "image"),
-         ("89504E470D0A1A0A", "image"), ("47494638", "image")]
+         ("89504E470D0A1A0A", "image"), ("47494638", "image"), ("49492A00", "image"), ("4D4D002A", "image")]
 PLAIN_PROPERTIES = set("""
 created modified revision TotalTime Pages Words Characters Lines Paragraphs DocSecurity AppVersion CharactersWithSpaces ScaleCrop
 LinksUpToDate SharedDoc HyperlinksChanged Template Application PresentationFormat Slides Notes HiddenSlides MMClips
@@ -39,6 +39,7 @@ def classify_files(files: DataFrame) -> DataFrame:
     kind = F.when(F.col("length") > MAX_DOCUMENT_BYTES, "too_large")
     for prefix, name in MAGIC:
         kind = kind.when(head.startswith(prefix), name)
+    kind = kind.when(head.startswith("52494646") & (F.hex(F.substring("content", 9, 4)) == "57454250"), "image")  # WEBP in a RIFF file
     return files.select("id", kind.when(F.is_valid_utf8(F.col("content").cast("string")), "text").otherwise("unsupported").alias("kind"))
 
 

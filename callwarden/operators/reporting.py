@@ -11,10 +11,16 @@ from callwarden.operators.running import exact_quantiles, nearest_rank, running,
 MAX_ROWS = 10_000
 
 
-def decisions(log: DataFrame, include_synthetic: bool = False) -> DataFrame:
+def _listed(log: DataFrame, include_synthetic: bool = False) -> DataFrame:
     return log if include_synthetic else log.where(~F.col("synthetic"))
 
 
+def decisions(log: DataFrame, include_synthetic: bool = False) -> DataFrame:
+    """Rows that statistics count: system events of a log with a ``kind`` are no decisions."""
+    rows = log.where("kind = 'DECISION'") if "kind" in log.columns else log
+    return _listed(rows, include_synthetic)
+
+
 def audit_query(log: DataFrame, task_id=None, rule_id=None, action=None, kind=None, since=None,
                 include_synthetic: bool = False, limit: int = 200) -> DataFrame:
     """Newest rows first; every filter reaches the scan, and the limit is a top-k."""
@@ -23,7 +29,7 @@ def audit_query(log: DataFrame, task_id=None, rule_id=None, action=None, kind=No
             log = log.where(F.col(column) == wanted)
     if since is not None:
         log = log.where(F.col("ts") >= F.lit(since))
-    return decisions(log, include_synthetic).orderBy(F.col("id").desc()).limit(min(int(limit), MAX_ROWS))
+    return _listed(log, include_synthetic).orderBy(F.col("id").desc()).limit(min(int(limit), MAX_ROWS))
 
 
 def totals(log: DataFrame, include_synthetic: bool = False) -> DataFrame:
