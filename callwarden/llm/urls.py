@@ -40,7 +40,8 @@ def winning_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def _position(key: Column, level: int, probe: int, words: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level)) + F.lit(probe) * F.pmod(F.xxhash64(key, F.lit(-level)), F.lit(1 << 40)), F.lit(words * 64))
+    # 40 bits of each hash: sums of whole ones would overflow
+    return F.pmod(F.pmod(F.xxhash64(key, F.lit(level)), F.lit(1 << 40)) + F.lit(probe) * F.pmod(F.xxhash64(key, F.lit(-level)), F.lit(1 << 40)), F.lit(words * 64))
 
 
 def _passes(key: Column, filter_words: Column, level: int, words: int) -> Column:
