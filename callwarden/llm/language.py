@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callwarden.llm.common import crc_bucket, documents
+from callwarden.llm.common import crc_bucket, documents, store
 
 #: Training texts of one language, at most; trigrams of the model, at most.
 SAMPLE = 3000
@@ -34,11 +34,18 @@ SCRIPTS = [
 ]
 
 
+_NAMES = ["latin", *[name for name, _, _ in SCRIPTS], "other"]
+
+
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """Numbers of the scripts (places in ``_NAMES``) of code points."""
+    lows, highs = (np.array([row[k] for row in SCRIPTS]) for k in (1, 2))
+    block = np.searchsorted(lows, points, side="right")  # the last block that begins at or before the point
+    return np.where(block == 0, 0, np.where(points <= highs[np.maximum(block, 1) - 1], block, len(SCRIPTS) + 1))
+
+
 def script_of(word: str) -> str:
-    point = ord(word[0])
-    if point < 0x0370:
-        return "latin"
-    return next((name for name, lo, hi in SCRIPTS if lo <= point <= hi), "other")
+    return _NAMES[int(scripts_of(np.array([ord(word[0])]))[0])]
 
 
 def _trigrams(word: str) -> list[str]:
@@ -46,12 +53,24 @@ def _trigrams(word: str) -> list[str]:
     return [padded[i:i + 3] for i in range(len(padded) - 2)]
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _keys(points: np.ndarray) -> np.ndarray:
+    """A number for each three code points in a row."""
+    return points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram and script counts by language, summed up before they are shuffled."""
     for batch in batches:
-        seen: Counter = Counter()
+        words: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for word, n in Counter(_LETTERS.findall(text.lower())).items():
+            words.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
+        seen: Counter = Counter()
+        for lang, counts in words.items():
+            for word, n in counts.items():
                 seen[lang, "\0" + script_of(word)] += n * len(word)
                 for gram in _trigrams(word):
                     seen[lang, gram] += n
@@ -62,20 +81,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log-likelihoods of trigrams by language; plain arrays, a few megabytes at most."""
 
-    def __init__(self, langs: list[str], grams: dict[str, int], table: np.ndarray, unseen: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.grams, self.table, self.unseen, self.scripts = langs, grams, table, unseen, scripts
-
-    def score(self, word: str) -> np.ndarray:
-        """One value for each language, 0 for the best; languages that do not use the word's script get the lowest."""
-        total = np.zeros(len(self.langs), np.float32)
-        for gram in _trigrams(word):
-            at = self.grams.get(gram)
-            total += self.unseen if at is None else self.table[at]
-        allowed = self.scripts.get(script_of(word))
-        if allowed is None:
-            return np.zeros(len(self.langs), np.float32)
+    def __init__(self, langs: list[str], grams: list[str], table: np.ndarray, unseen: np.ndarray, scripts: dict[str, np.ndarray]):
+        keys = np.array([_keys(_points(g))[0] for g in grams], np.int64)
+        order = np.argsort(keys)
+        self.langs, self.keys = langs, keys[order]
+        self.table = np.vstack([table[order], unseen[None, :]])
+        self.allowed = np.array([scripts.get(name, np.zeros(len(langs), bool)) for name in _NAMES], bool)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: 0 for its best language, less for others; languages that do not use its script get the lowest value.
+
+        A word of a script that no language uses says nothing: all zero.
+        """
+        if not words:
+            return np.zeros((0, len(self.langs)), np.float32)
+        points = _points("".join(f"^{w}$" for w in words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 2)
+        within = np.ones(len(points), bool)
+        within[ends - 1] = within[ends - 2] = False  # no trigram begins there
+        keys = _keys(points)[within[:-2]]
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        total = np.add.reduceat(self.table[np.where(known, at, len(self.keys))], np.cumsum(sizes) - sizes, axis=0)
+        allowed = self.allowed[scripts_of(points[ends - sizes - 1])]
         total = np.where(allowed, total, -np.inf)
-        return np.maximum(total - total.max(), _STRANGE).astype(np.float32)
+        best = total.max(axis=1, keepdims=True)
+        some = allowed.any(axis=1)
+        return np.where(some[:, None], np.maximum(total - np.where(some[:, None], best, 0), _STRANGE), 0).astype(np.float32)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, trigrams: int = TRIGRAMS) -> Model:
@@ -88,6 +122,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, trigrams: int = TRIGRAMS) -> Mo
         share = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, sample / r["count"]) * 1_000_000))).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share).select("lang", "text")
     counts = chosen.mapInArrow(_count, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = store(counts, "trigrams")  # read twice
     tops = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
     scripts = tops.where(F.col("gram").startswith("\0")).collect()
     kept = tops.where(~F.col("gram").startswith("\0")).orderBy(F.desc("all"), "gram").limit(trigrams).collect()
@@ -103,7 +138,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, trigrams: int = TRIGRAMS) -> Mo
         letters[r["gram"][1:]] = np.array([next((c["n"] for c in r["by"] if c["lang"] == lang), 0) for lang in langs], float)
     every = np.maximum(sum(letters.values(), np.zeros(len(langs))), 1)
     used = {name: n / every >= 0.01 for name, n in letters.items()}
-    return Model(langs, {r["gram"]: i for i, r in enumerate(kept)}, np.log((table + 0.5) / totals).astype(np.float32),
+    return Model(langs, [r["gram"] for r in kept], np.log((table + 0.5) / totals).astype(np.float32),
                  np.log(0.5 / totals).astype(np.float32), {name: ok for name, ok in used.items() if ok.any()})
 
 
@@ -145,20 +180,18 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float = SWITCH) -> np
 def _decode(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        rows: list[np.ndarray] = []
-
-        def number(word: str) -> int:
-            at = known.get(word)
-            if at is None:
-                at = known[word] = len(rows)
-                rows.append(model.score(word))
-            return at
+        table, lengths = model.scores([]), np.zeros(0, np.int64)
 
         def decode(ids: list, texts: list[list[str]]) -> pa.RecordBatch:
+            nonlocal table, lengths
+            words = [w for t in texts for w in t]
+            new = [w for w in set(words) if w not in known]
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            table = np.concatenate([table, model.scores(new)])
+            lengths = np.concatenate([lengths, np.fromiter(map(len, new), np.int64, len(new))])
             sizes = np.array([len(t) for t in texts])
-            flat = np.fromiter((number(w) for t in texts for w in t), np.int64, int(sizes.sum()))
-            letters = np.fromiter((len(w) for t in texts for w in t), np.int64, len(flat))
-            table = np.array(rows, np.float32).reshape(len(rows), len(model.langs))
+            flat = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            letters = lengths[flat]
             path = viterbi(table[flat], sizes)
             doc = np.repeat(np.arange(len(texts)), sizes)
             weight = np.bincount(doc * len(model.langs) + path, weights=letters, minlength=len(texts) * len(model.langs)).reshape(len(texts), -1)
@@ -173,9 +206,9 @@ def _decode(model: Model):
                 ends = [*cuts[1:].tolist(), n][:len(cuts)]
                 spans.append([{"lang": model.langs[p[c]], "first_word": int(c), "n_words": int(e - c)} for c, e in zip(cuts, ends, strict=True)])
                 start += n
-            if len(rows) > _KNOWN:
+            if len(known) > _KNOWN:
                 known.clear()
-                rows.clear()
+                table, lengths = table[:0], lengths[:0]
             return pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(score.astype(np.float64)),
                 pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())])))],
