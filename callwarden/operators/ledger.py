@@ -81,29 +81,34 @@ def trailing_counts(calls: DataFrame, window_seconds: int, flags: dict[str, Colu
     return counted.where("_own").select(key, "id", *names)
 
 
+def _exempt(calls: DataFrame) -> Column:
+    """Calls of synthetic tasks; logs without the column hold none."""
+    return F.coalesce(F.col("synthetic"), F.lit(False)) if "synthetic" in calls.columns else F.lit(False)
+
+
 def circuit_breaker(calls: DataFrame, blocks: int, window_seconds: int) -> DataFrame:
-    """Observed log: a call is refused when its task already had ``blocks`` BLOCK rows in the last window."""
+    """Observed log: a call is refused when its task already had ``blocks`` BLOCK rows in the last window; synthetic tasks are exempt."""
     seen = trailing_counts(calls, window_seconds, {"recent_blocks": F.col("action") == "BLOCK"})
-    return calls.join(seen.drop("task_id"), "id").withColumn("breaker_refused", F.col("recent_blocks") >= blocks)
+    return calls.join(seen.drop("task_id"), "id").withColumn("breaker_refused", (F.col("recent_blocks") >= blocks) & ~_exempt(calls))
 
 
 def breaker_feedback(calls: DataFrame, blocks: int, window_seconds: int, max_rounds: int = 10_000) -> DataFrame:
     """The breaker replayed with its own refusals counted as blocks.
 
-    Calls: id, ts, task_id, blocked (what the call would be on its own). A refusal depends on earlier refusals only,
+    Calls: id, ts, task_id, blocked (what the call would be on its own), and synthetic if some tasks are exempt. A refusal depends on earlier refusals only,
     so bounds settle it: refused for certain when the sure blocks in its window reach the threshold, admitted
     for certain when even all undecided calls would not. Each round decides at least the earliest open call of every
     task, for all tasks at once. A busy stretch (every call sees ``blocks`` calls before it) that is refused over a
     whole window stays refused to its end, so long outages settle in one round.
     """
-    rows = calls.select("id", "ts", "task_id", "blocked")
+    rows = calls.select("id", "ts", "task_id", "blocked", _exempt(calls).alias("exempt"))
     busy = trailing_counts(rows, window_seconds, {"n_calls": F.lit(True)}).drop("task_id")
     base = running(
         rows.join(busy, "id"), ["task_id"], ["ts", "id"], {"stretch": ("sum", F.when(F.col("n_calls") < blocks, 1).otherwise(0))},
         time_chunk("ts", max(window_seconds, 3600)),
     )
     # refused: null while undecided
-    state = cut_lineage(base.withColumn("refused", F.when(F.col("n_calls") < blocks, F.lit(False))))
+    state = cut_lineage(base.withColumn("refused", F.when((F.col("n_calls") < blocks) | F.col("exempt"), F.lit(False))))
     for _ in range(max_rounds):
         if state.where(F.col("refused").isNull()).limit(1).count() == 0:
             return state.select("id", "ts", "task_id", "blocked", "refused")

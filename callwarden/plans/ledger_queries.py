@@ -30,19 +30,19 @@ def rate_limit(spark, sf_dir):
 SELECT c.id, (SELECT count(*) FROM calls b WHERE b.task_id = c.task_id AND b.action = 'BLOCK' AND b.ts > c.ts - INTERVAL 21600 SECONDS
               AND (b.ts < c.ts OR (b.ts = c.ts AND b.id < c.id))) AS recent_blocks,
        (SELECT count(*) FROM calls b WHERE b.task_id = c.task_id AND b.action = 'BLOCK' AND b.ts > c.ts - INTERVAL 21600 SECONDS
-              AND (b.ts < c.ts OR (b.ts = c.ts AND b.id < c.id))) >= 2 AS breaker_refused FROM calls c""", "calls"))
+              AND (b.ts < c.ts OR (b.ts = c.ts AND b.id < c.id))) >= 2 AND NOT c.synthetic AS breaker_refused FROM calls c""", "calls"))
 def breaker_observed(spark, sf_dir):
     out = L.circuit_breaker(view(spark, sf_dir, "calls"), **BREAKER)
     return out.select("id", "recent_blocks", "breaker_refused")
 
 
 @query("breaker_feedback", with_views("""
-WITH RECURSIVE ordered AS (SELECT id, ts, task_id, action = 'BLOCK' AS blocked, row_number() OVER (PARTITION BY task_id ORDER BY ts, id) AS rn FROM calls),
+WITH RECURSIVE ordered AS (SELECT id, ts, task_id, action = 'BLOCK' AS blocked, synthetic, row_number() OVER (PARTITION BY task_id ORDER BY ts, id) AS rn FROM calls),
 walk AS (
   SELECT id, ts, task_id, blocked, rn, false AS refused, CASE WHEN blocked THEN [ts] ELSE cast([] AS TIMESTAMP[]) END AS seen FROM ordered WHERE rn = 1
   UNION ALL
-  SELECT o.id, o.ts, o.task_id, o.blocked, o.rn, len(list_filter(w.seen, lambda t: t > o.ts - INTERVAL 21600 SECONDS)) >= 2,
-         CASE WHEN o.blocked OR len(list_filter(w.seen, lambda t: t > o.ts - INTERVAL 21600 SECONDS)) >= 2
+  SELECT o.id, o.ts, o.task_id, o.blocked, o.rn, len(list_filter(w.seen, lambda t: t > o.ts - INTERVAL 21600 SECONDS)) >= 2 AND NOT o.synthetic,
+         CASE WHEN o.blocked OR (len(list_filter(w.seen, lambda t: t > o.ts - INTERVAL 21600 SECONDS)) >= 2 AND NOT o.synthetic)
               THEN list_append(list_filter(w.seen, lambda t: t > o.ts - INTERVAL 21600 SECONDS), o.ts)
               ELSE list_filter(w.seen, lambda t: t > o.ts - INTERVAL 21600 SECONDS) END
   FROM walk w JOIN ordered o ON o.task_id = w.task_id AND o.rn = w.rn + 1)

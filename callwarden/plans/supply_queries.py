@@ -175,7 +175,7 @@ def hidden_parts_html(spark, sf_dir):
 
 
 @query("analysis_text", """
-SELECT doc_id AS id, md5(concat(text, chr(10), chr(10), '[note]', chr(10), left(concat(text, text), 20000))) AS digest FROM documents""")
+SELECT doc_id AS id, md5(concat(text, chr(10), chr(10), '[note]', chr(10), concat(text, text))) AS digest FROM documents""")
 def analysis_text(spark, sf_dir):
     section = F.array(F.struct(F.lit("note").alias("source"), F.concat("text", "text").alias("text")), F.struct(F.lit("empty").alias("source"), F.lit("").alias("text")))
     kept = F.filter(section, lambda s: s["text"] != "")

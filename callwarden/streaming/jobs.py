@@ -104,7 +104,7 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
 def stream_breaker(calls: DataFrame, blocks: int, window_seconds: int) -> DataFrame:
     """The breaker with its own refusals fed back. State: the block times still inside the window.
 
-    Calls: id, ts, task_id, blocked. Only the newest ``blocks`` times matter, so the state has bounded length.
+    Calls: id, ts, task_id, blocked, and synthetic if some tasks are exempt. Only the newest ``blocks`` times matter, so the state has bounded length.
     """
     width = pd.Timedelta(seconds=window_seconds)
 
@@ -112,15 +112,17 @@ def stream_breaker(calls: DataFrame, blocks: int, window_seconds: int) -> DataFr
         recent = [pd.Timestamp(t, unit="us") for t in state.get[0]] if state.exists else []
         rows = _ordered(batches)
         refused = []
-        for ts, blocked in zip(rows["ts"], rows["blocked"]):
+        for ts, blocked, exempt in zip(rows["ts"], rows["blocked"], rows["exempt"]):
             recent = [t for t in recent if t > ts - width]
-            refused.append(len(recent) >= blocks)
+            refused.append(len(recent) >= blocks and not exempt)
             if blocked or refused[-1]:
                 recent = [*recent, ts][-blocks:]
         state.update(([int(t.value // 1000) for t in recent],))
         yield pd.DataFrame({"id": rows["id"].to_numpy(), "task_id": key[0], "blocked": rows["blocked"].to_numpy(), "refused": refused})
 
-    return calls.select("id", F.col("ts").cast("timestamp").alias("ts"), "task_id", "blocked").groupBy("task_id").applyInPandasWithState(
+    exempt = F.coalesce(F.col("synthetic"), F.lit(False)) if "synthetic" in calls.columns else F.lit(False)
+    cols = calls.select("id", F.col("ts").cast("timestamp").alias("ts"), "task_id", "blocked", exempt.alias("exempt"))
+    return cols.groupBy("task_id").applyInPandasWithState(
         replay, "id bigint, task_id string, blocked boolean, refused boolean", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
