@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +67,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch: at most ``rows`` rows, and at most ``size`` bytes of the column's texts unless one text is longer."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for at, length in enumerate(lengths):
+        if at > start and (at - start == rows or held + length > size):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += length
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered up to a bounded number of words."""
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callwarden.llm.common import documents, prefix_sums, store
+from callwarden.llm.common import documents, prefix_sums, slices, store
 
 CAPACITY = 4096
 END = 2
@@ -81,8 +81,7 @@ def _tokenize(path: str, capacity: int):
         known = _words(path)
         end = END.to_bytes(4, "little")
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, 1):
                 texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
                 # the tokenizer folds letters anyway, but for its special tokens
                 texts = [(t if b"<|" in t else t.lower()).split() for t in texts]
