@@ -42,8 +42,8 @@ def taint_timeline(calls: DataFrame, reads: DataFrame) -> DataFrame:
     return joined.withColumn("level", level_before(F.struct("ts", "id"))).drop(*[f"at{n}" for n in LEVELS])
 
 
-def propagate_taint(tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> DataFrame:
-    """Per task: level inherited at creation, moments at which it rose, and final level.
+def _rises(tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> DataFrame:
+    """One row per task: ``seed``, the level inherited at creation, and the (ts, id) moments ``at1`` to ``at3`` at which it rose.
 
     A read raises the task and all its ancestors at once. A child starts with its parent's level at that time, and
     the parent started with its own parent's, so the seed is the highest level any ancestor had when the next
@@ -59,7 +59,20 @@ def propagate_taint(tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> D
         level_then = F.when(F.col(f"at{n}.ts") < F.col("via_created"), n).otherwise(level_then)
     seeds = above.groupBy(F.col("task_id").alias("id")).agg(F.max(level_then).alias("seed"))
     joined = tasks.select("id").join(reached, "id", "left").join(seeds, "id", "left")
-    seed = F.coalesce("seed", F.lit(0))
+    return joined.select("id", F.coalesce("seed", F.lit(0)).alias("seed"), *[f"at{n}" for n in LEVELS])
+
+
+def tree_levels(calls: DataFrame, tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> DataFrame:
+    """Level of the calling task before each call: what it inherited, read itself, or had read below it in the tree."""
+    rises = _rises(tasks, closure, reads).withColumnRenamed("id", "task_id")
+    level = F.greatest(F.coalesce("seed", F.lit(0)), level_before(F.struct("ts", "id")))
+    return calls.join(rises, "task_id", "left").withColumn("level", level).drop("seed", *[f"at{n}" for n in LEVELS])
+
+
+def propagate_taint(tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> DataFrame:
+    """Per task: level inherited at creation, moments at which it rose, and final level."""
+    joined = _rises(tasks, closure, reads)
+    seed = F.col("seed")
     final = F.lit(0)
     for n in LEVELS:
         final = F.when(F.col(f"at{n}").isNotNull(), n).otherwise(final)

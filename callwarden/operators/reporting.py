@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from callwarden.operators.content import level_name
 from callwarden.operators.running import exact_quantiles, nearest_rank, running, time_chunk
 
-MAX_ROWS = 10_000
+
+def _top(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(int(limit))
 
 
 def _listed(log: DataFrame, include_synthetic: bool = False) -> DataFrame:
@@ -22,14 +24,14 @@ def decisions(log: DataFrame, include_synthetic: bool = False) -> DataFrame:
 
 
 def audit_query(log: DataFrame, task_id=None, rule_id=None, action=None, kind=None, since=None,
-                include_synthetic: bool = False, limit: int = 200) -> DataFrame:
-    """Newest rows first; every filter reaches the scan, and the limit is a top-k."""
+                include_synthetic: bool = False, limit: int | None = None) -> DataFrame:
+    """Newest rows first; every filter reaches the scan, and a limit is a top-k."""
     for column, wanted in (("task_id", task_id), ("rule_id", rule_id), ("action", action), ("kind", kind)):
         if wanted is not None:
             log = log.where(F.col(column) == wanted)
     if since is not None:
         log = log.where(F.col("ts") >= F.lit(since))
-    return _listed(log, include_synthetic).orderBy(F.col("id").desc()).limit(min(int(limit), MAX_ROWS))
+    return _top(_listed(log, include_synthetic).orderBy(F.col("id").desc()), limit)
 
 
 def totals(log: DataFrame, include_synthetic: bool = False) -> DataFrame:
@@ -40,11 +42,11 @@ def by_channel(log: DataFrame, include_synthetic: bool = False) -> DataFrame:
     return decisions(log, include_synthetic).groupBy("channel", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_rules(log: DataFrame, include_synthetic: bool = False, k: int = 10) -> DataFrame:
+def top_rules(log: DataFrame, include_synthetic: bool = False, k: int | None = None) -> DataFrame:
     counted = decisions(log, include_synthetic).where(F.col("action") != "ALLOW").groupBy("rule_id", "reason_code", "action").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return counted.orderBy(F.col("n").desc(), "rule_id", "reason_code", "action").limit(k)
+    return _top(counted.orderBy(F.col("n").desc(), "rule_id", "reason_code", "action"), k)
 
 
 def latency(log: DataFrame, include_synthetic: bool = False) -> DataFrame:
@@ -73,13 +75,13 @@ def timeline(log: DataFrame, as_of: Column | None = None, minutes: int = 60, inc
 
 
 def task_overview(tasks: DataFrame, budgets: DataFrame, status: str | None = None, include_synthetic: bool = False,
-                  limit: int = 100) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     if status is not None:
         tasks = tasks.where(F.col("status") == status)
     if not include_synthetic:
         tasks = tasks.where(~F.col("synthetic"))
     # the newest tasks first, so only they meet the budgets
-    newest = tasks.orderBy(F.col("created_at").desc(), "id").limit(limit).withColumn("scope_id", F.concat(F.lit("task:"), "id"))
+    newest = _top(tasks.orderBy(F.col("created_at").desc(), "id"), limit).withColumn("scope_id", F.concat(F.lit("task:"), "id"))
     return newest.join(budgets, "scope_id", "left").select(
         F.col("id").alias("task_id"), "principal", "agent_id", "parent_id", "status", "created_at", "spent", "reserved",
         "token_limit", "calls_used", "calls_limit",
@@ -109,17 +111,17 @@ def task_detail(tasks: DataFrame, budgets: DataFrame, log: DataFrame, events: in
     )
 
 
-def approval_queue(approvals: DataFrame, tasks: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
+def approval_queue(approvals: DataFrame, tasks: DataFrame, status: str | None = None, limit: int | None = None) -> DataFrame:
     if status is not None:
         approvals = approvals.where(F.col("status") == status)
     owners = tasks.select(F.col("id").alias("task_id"), "principal", "agent_id", "profile")
-    return approvals.join(owners, "task_id").orderBy(F.col("created_at").desc(), "id").limit(limit)
+    return _top(approvals.join(owners, "task_id").orderBy(F.col("created_at").desc(), "id"), limit)
 
 
-def reservation_list(reservations: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
+def reservation_list(reservations: DataFrame, status: str | None = None, limit: int | None = None) -> DataFrame:
     if status is not None:
         reservations = reservations.where(F.col("status") == status)
-    return reservations.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+    return _top(reservations.orderBy(F.col("created_at").desc(), F.col("id").desc()), limit)
 
 
 def budget_list(budgets: DataFrame, include_synthetic: bool = False) -> DataFrame:
@@ -152,11 +154,11 @@ def budget_summary(budgets: DataFrame, reservations: DataFrame, tasks: DataFrame
     )
 
 
-def memory_list(entries: DataFrame, case_id: str | None = None, limit: int = 200) -> DataFrame:
+def memory_list(entries: DataFrame, case_id: str | None = None, limit: int | None = None) -> DataFrame:
     """Entries without their content."""
     if case_id is not None:
         entries = entries.where(F.col("case_id") == case_id)
-    return entries.orderBy(F.col("id").desc()).limit(limit).select(
+    return _top(entries.orderBy(F.col("id").desc()), limit).select(
         "id", "case_id", "key", level_name(F.col("classification")).alias("classification"), "source_task", "created_at"
     )
 

@@ -8,29 +8,29 @@ from pyspark.sql import functions as F
 from callwarden.functions.globs import glob_regexes, matches_any
 from callwarden.operators.running import running, time_chunk
 
-MAX_DEPTH = 64
 
-
-def ancestry(tasks: DataFrame) -> DataFrame:
+def ancestry(tasks: DataFrame, levels: int = 10_000) -> DataFrame:
     """(task_id, ancestor_id, depth, via_id): every task with itself (depth 0) and all its ancestors.
 
     ``via_id`` is the task just below the ancestor on the path. Each recursion level is one join on the parent
-    key over rows that still climb; the number of levels is the delegation depth, which policy keeps small.
+    key over rows that still climb; the number of levels is the delegation depth, which policy keeps small. A task that is
+    its own ancestor ends there. More than ``levels`` levels, or a cycle above a task that is not in it, is an error.
     """
     spark = tasks.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # rows grow with the task table
     edges = tasks.select("id", "parent_id")
     return spark.sql(
         """
-        WITH RECURSIVE up(task_id, ancestor_id, depth, via_id, next_id) AS (
+        WITH RECURSIVE up(task_id, ancestor_id, depth, via_id, next_id) MAX RECURSION LEVEL {levels} AS (
           SELECT id, id, 0, cast(NULL AS string), parent_id FROM {edges}
           UNION ALL
           SELECT u.task_id, e.id, u.depth + 1, u.ancestor_id, e.parent_id
-          FROM up u JOIN {edges} e ON e.id = u.next_id
+          FROM up u JOIN {edges} e ON e.id = u.next_id AND e.id <> u.task_id
         )
         SELECT task_id, ancestor_id, depth, via_id FROM up
         """,
         edges=edges,
+        levels=levels,
     )
 
 

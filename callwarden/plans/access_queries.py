@@ -6,13 +6,17 @@ from pyspark.sql import functions as F
 
 from callwarden.functions.globs import glob_regexes, hmac_pads
 from callwarden.operators import access as A
+from callwarden.operators import authorize as Z
 from callwarden.operators import flow, tree
+from callwarden.operators import ledger as L
 from callwarden.plans.registry import query
 from callwarden.plans.views import view, with_views
 from callwarden.rules.policy import TOOLS
 from callwarden.sources.feed import policy_tables
 
 SECRET = b"demo-lease-secret"
+HOUR_LIMITS = {"agent": 3, "principal": 2, "global": 16}
+LOG_BREAKER = {"blocks": 2, "window_seconds": 21_600}
 
 
 def _blob(data: bytes) -> str:
@@ -161,23 +165,84 @@ def taint_timeline(spark, sf_dir):
     return out.select("id", "task_id", "level")
 
 
+# what the guard refuses, all findings of mandates, executed reads, and the level of the tree before each call
+_GUARD = """
+seen AS (SELECT c.id, NOT c.synthetic AND (SELECT count(*) FROM calls b WHERE b.task_id = c.task_id AND b.action = 'BLOCK'
+           AND b.ts > c.ts - INTERVAL 21600 SECONDS AND (b.ts < c.ts OR (b.ts = c.ts AND b.id < c.id))) >= 2 AS opened FROM calls c),
+counted AS (SELECT c.id, row_number() OVER (PARTITION BY c.agent_id, date_trunc('hour', c.ts) ORDER BY c.ts, c.id) AS a,
+    row_number() OVER (PARTITION BY c.principal, date_trunc('hour', c.ts) ORDER BY c.ts, c.id) AS p,
+    row_number() OVER (PARTITION BY date_trunc('hour', c.ts) ORDER BY c.ts, c.id) AS g
+  FROM calls c JOIN seen s ON s.id = c.id WHERE NOT c.synthetic AND NOT s.opened),
+guarded AS (SELECT s.id, CASE WHEN s.opened THEN ['CIRCUIT-001'] WHEN n.a > 3 OR n.p > 2 OR n.g > 16 THEN ['RATE-001'] ELSE cast([] AS VARCHAR[]) END AS guard
+  FROM seen s LEFT JOIN counted n ON n.id = s.id)"""
+_CHECKED = f"""
+checked AS (
+  SELECT r.*, {_SINK.replace("tool", "r.tool").replace("recipient", "r.recipient")} AS sink, CASE WHEN len(g.guard) > 0 THEN g.guard
+    WHEN r.tool NOT IN ({", ".join(f"'{t}'" for t in TOOLS)}) THEN ['TOOL-UNKNOWN'] ELSE list_filter([
+      CASE WHEN NOT coalesce(list_contains(m.tools, r.tool), false) THEN 'MANDATE-TOOL' END,
+      CASE WHEN r.tool = 'doc.read' AND (contains(r.path, '..') OR NOT coalesce(len(list_filter(m.resources, lambda g: r.path GLOB g)) > 0, false))
+        THEN 'MANDATE-RES' END,
+      CASE WHEN r.tool = 'mail.send' AND NOT coalesce(len(list_filter(m.recipients_allow, lambda g: lower(trim(r.recipient)) GLOB lower(g))) > 0, false)
+        THEN 'MANDATE-RCPT' END,
+      CASE WHEN r.tool = 'code.run' AND r.synthetic THEN 'SBX-001' END,
+      CASE WHEN r.tool = 'legal_db.search' THEN 'ATK-MCP-POISON-001' END], lambda x: x IS NOT NULL) END AS early
+  FROM requests r JOIN mandates m ON m.id = r.task_id JOIN guarded g ON g.id = r.id),
+up AS (SELECT c.ancestor_id AS task_id, x.ts, x.id, coalesce(k.label, 2) AS label FROM checked x LEFT JOIN catalog k ON k.path = x.path
+       JOIN closure c ON c.task_id = x.task_id WHERE x.tool = 'doc.read' AND len(x.early) = 0),
+seeds AS (SELECT c.task_id, max(u.label) AS seed FROM closure c JOIN tasks v ON v.id = c.via_id
+          JOIN up u ON u.task_id = c.ancestor_id AND u.ts < v.created_at GROUP BY 1),
+reached AS (SELECT x.id, max(u.label) AS label FROM checked x JOIN up u ON u.task_id = x.task_id AND (u.ts < x.ts OR (u.ts = x.ts AND u.id < x.id)) GROUP BY 1),
+leveled AS (SELECT x.*, greatest(coalesce(r.label, 0), coalesce(d.seed, 0)) AS level, coalesce(s.clearance, 0) AS clearance,
+    x.tool NOT IN ('doc.read', 'memory.read') AS writes
+  FROM checked x LEFT JOIN reached r ON r.id = x.id LEFT JOIN seeds d ON d.task_id = x.task_id LEFT JOIN sinks s ON s.sink = x.sink)"""
+_CALL_VIEWS = ("requests", "mandates", "catalog", "sinks", "tasks", "closure", "calls")
+
+
+def _checked_calls(spark, sf_dir):
+    """Calls with guard and mandate findings, sink, clearance, and the level of their tree."""
+    log = L.circuit_breaker(view(spark, sf_dir, "calls"), **LOG_BREAKER)
+    guard = L.rate_limit(log, HOUR_LIMITS, bucket_seconds=3600, chunk_seconds=60).select(
+        "id", "recent_blocks", "breaker_refused", "rate_scope", "rate_count", "rate_refused")
+    args = F.create_map(*[x for k, v in {
+        "path": F.col("path"), "to": F.col("recipient"), "query": F.col("body"), "body": F.col("body"), "code": F.col("body"), "content": F.col("body"),
+        "title": F.lit("note"), "subject": F.lit("hello"), "url": F.lit("https://x.example/in"), "key": F.lit("k1")}.items() for x in (F.lit(k), v)])
+    calls = _calls_with_mandate(spark, sf_dir).join(guard, "id").withColumns({
+        "args": args, "sink": A.resolve_sink(F.col("tool"), F.col("recipient")),
+        "tool_status": F.when(F.col("tool") == "legal_db.search", "quarantined").otherwise("approved")})
+    checked = Z.check_calls(calls, LOG_BREAKER, code_mode=F.when(F.col("synthetic"), "block").otherwise("sandbox"))
+    tasks = view(spark, sf_dir, "tasks")
+    leveled = flow.tree_levels(checked, tasks, tree.ancestry(tasks), Z.executed_reads(checked, view(spark, sf_dir, "catalog")))
+    return A.sink_clearance(leveled, view(spark, sf_dir, "sinks"))
+
+
 @query("flow_violations", with_views(f"""
-WITH labelled AS (SELECT r.*, {_SINK} AS sink,
-    CASE WHEN r.tool IN ('doc.read', 'legal_db.search') THEN {_LABEL} END AS label
-  FROM requests r LEFT JOIN catalog c ON c.path = r.path),
-leveled AS (SELECT *, coalesce(max(label) OVER (PARTITION BY task_id ORDER BY ts, id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS level FROM labelled)
-SELECT l.id, l.task_id, l.sink, l.level, coalesce(s.clearance, 0) AS clearance FROM leveled l LEFT JOIN sinks s ON s.sink = l.sink
-WHERE l.tool NOT IN ('doc.read', 'memory.read') AND l.level > coalesce(s.clearance, 0)""", "requests", "catalog", "sinks"))
+WITH {_GUARD.strip()}, {_CHECKED.strip()}
+SELECT id, task_id, sink, level, clearance FROM leveled WHERE writes AND level > clearance""", *_CALL_VIEWS))
 def flow_violations(spark, sf_dir):
-    r = view(spark, sf_dir, "requests").withColumn("sink", A.resolve_sink(F.col("tool"), F.col("recipient")))
-    reads = flow.label_reads(r.where(F.col("tool").isin("doc.read", "legal_db.search")), view(spark, sf_dir, "catalog"))
-    leveled = A.sink_clearance(flow.taint_timeline(r, reads), view(spark, sf_dir, "sinks"))
+    """Writes that would leak, whatever else is wrong with the call: levels come from executed reads in the whole tree."""
     silent = [t for t, spec in TOOLS.items() if spec.get("writes") is False]
-    out = flow.flow_violations(leveled.withColumn("writes", ~F.col("tool").isin(silent)))
+    out = flow.flow_violations(_checked_calls(spark, sf_dir).withColumn("writes", ~F.col("tool").isin(silent)))
     return out.select("id", "task_id", "sink", "level", "clearance")
 
 
+@query("authorize_calls", with_views(f"""
+WITH {_GUARD.strip()}, {_CHECKED.strip()},
+content AS (SELECT *, CASE WHEN len(early) > 0 THEN early ELSE list_filter([
+    CASE WHEN tool = 'code.run' AND body LIKE 'os.system%' THEN 'ATK-EXEC-001' END,
+    CASE WHEN body LIKE '%; drop table t%' THEN 'ATK-SQLI-001' END,
+    CASE WHEN body LIKE 'key AKIA%' THEN 'SEC-001' END,
+    CASE WHEN clearance < 2 AND body LIKE 'card %' THEN 'PII-001' END,
+    CASE WHEN level > clearance THEN 'IFC-001' END], lambda x: x IS NOT NULL AND writes) END AS found FROM leveled),
+asked AS (SELECT *, CASE WHEN tool = 'http.post' AND (len(found) = 0 OR found = ['PII-001']) THEN list_append(found, 'APPROVAL-001') ELSE found END AS rules FROM content)
+SELECT id, tool, sink, level, CASE WHEN len(rules) = 0 THEN 'ALLOW' WHEN rules = ['PII-001'] THEN 'REDACT' ELSE 'BLOCK' END AS action,
+  list_filter(rules, lambda x: x <> 'PII-001' OR rules = ['PII-001'])[1] AS rule_id, array_to_string(rules, ',') AS rules FROM asked""", *_CALL_VIEWS))
+def authorize_calls(spark, sf_dir):
+    """One decision per call of the log; no approval has been given."""
+    out = Z.authorize(_checked_calls(spark, sf_dir))
+    return out.select("id", "tool", "sink", "level", F.col("decision.action").alias("action"), F.col("decision.rule_id").alias("rule_id"),
+                      F.array_join(F.transform("findings", lambda f: f["rule_id"]), ",").alias("rules"))
+
+
 @query("ancestry", with_views("SELECT task_id, ancestor_id, depth, via_id FROM closure", "closure"))
 def ancestry(spark, sf_dir):
     return tree.ancestry(view(spark, sf_dir, "tasks"))

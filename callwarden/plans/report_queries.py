@@ -20,7 +20,7 @@ _EXPORT = [
 SELECT id, ts, task_id, channel, tool, action, rule_id, latency_ms FROM calls
 WHERE action = 'BLOCK' AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND NOT synthetic ORDER BY id DESC LIMIT 200""", "calls"))
 def audit_query(spark, sf_dir):
-    log = R.audit_query(view(spark, sf_dir, "calls"), action="BLOCK", since="2024-01-05 00:00:00")
+    log = R.audit_query(view(spark, sf_dir, "calls"), action="BLOCK", since="2024-01-05 00:00:00", limit=200)
     return log.select("id", "ts", "task_id", "channel", "tool", "action", "rule_id", "latency_ms")
 
 
@@ -38,7 +38,7 @@ def by_channel(spark, sf_dir):
 SELECT rule_id, reason_code, action, count(*) AS n FROM calls WHERE NOT synthetic AND action <> 'ALLOW'
 GROUP BY 1, 2, 3 ORDER BY n DESC, rule_id, reason_code, action LIMIT 10""", "calls"))
 def top_rules(spark, sf_dir):
-    return R.top_rules(view(spark, sf_dir, "calls"))
+    return R.top_rules(view(spark, sf_dir, "calls"), k=10)
 
 
 @query("latency", with_views("""
@@ -77,7 +77,7 @@ SELECT t.id AS task_id, t.principal, t.agent_id, t.parent_id, t.status, t.create
 FROM tasks t LEFT JOIN budgets b ON b.scope_id = 'task:' || t.id
 WHERE t.status = 'active' AND NOT t.synthetic ORDER BY t.created_at DESC, t.id LIMIT 100""", "tasks", "budgets"))
 def task_overview(spark, sf_dir):
-    return R.task_overview(view(spark, sf_dir, "tasks"), view(spark, sf_dir, "budgets"), status="active")
+    return R.task_overview(view(spark, sf_dir, "tasks"), view(spark, sf_dir, "budgets"), status="active", limit=100)
 
 
 @query("task_detail", with_views("""
@@ -99,14 +99,14 @@ SELECT a.id, a.task_id, a.tool, a.status, a.created_at, t.principal, t.agent_id,
 FROM approvals a JOIN tasks t ON t.id = a.task_id WHERE a.status = 'pending' ORDER BY a.created_at DESC, a.id LIMIT 100""",
     "approvals", "tasks"))
 def approval_queue(spark, sf_dir):
-    out = R.approval_queue(view(spark, sf_dir, "approvals"), view(spark, sf_dir, "tasks"), status="pending")
+    out = R.approval_queue(view(spark, sf_dir, "approvals"), view(spark, sf_dir, "tasks"), status="pending", limit=100)
     return out.select("id", "task_id", "tool", "status", "created_at", "principal", "agent_id", "profile")
 
 
 @query("reservation_list", with_views("""
 SELECT * FROM reservations WHERE status = 'uncertain' ORDER BY created_at DESC, id DESC LIMIT 100""", "reservations"))
 def reservation_list(spark, sf_dir):
-    return R.reservation_list(view(spark, sf_dir, "reservations"), status="uncertain")
+    return R.reservation_list(view(spark, sf_dir, "reservations"), status="uncertain", limit=100)
 
 
 @query("budget_list", with_views(r"SELECT * FROM budgets WHERE scope_id NOT LIKE 'principal:sim\_%' ESCAPE '\'", "budgets"))
@@ -136,7 +136,7 @@ SELECT id, case_id, key, CASE classification WHEN 0 THEN 'PUBLIC' WHEN 1 THEN 'I
        ELSE 'SECRET' END AS classification, source_task, created_at
 FROM memory_entries WHERE case_id = 'case1' ORDER BY id DESC LIMIT 200""", "memory_entries"))
 def memory_list(spark, sf_dir):
-    return R.memory_list(view(spark, sf_dir, "memory_entries"), case_id="case1")
+    return R.memory_list(view(spark, sf_dir, "memory_entries"), case_id="case1", limit=200)
 
 
 @query("document_catalog_upsert", """
