@@ -121,11 +121,13 @@ def score_distinct(df: DataFrame, text: str = "text") -> DataFrame:
     return keyed.join(scored, "_h", "left").drop("_h")
 
 
-def try_signature(df: DataFrame, pattern: str, flags: str = "", text: str = "text", limit: int = 20, cut: int = 200) -> DataFrame:
-    """Try a candidate pattern: at most ``limit`` matches per text, each cut to ``cut`` characters (the report's form)."""
+def try_signature(df: DataFrame, pattern: str, flags: str = "", text: str = "text", limit: int | None = None, cut: int | None = None) -> DataFrame:
+    """Try a candidate pattern: texts with their matches; a short report asks for ``limit`` matches of ``cut`` characters at most."""
     rx = java(pattern, "i" if "i" in flags else "")
     found = F.regexp_extract_all(F.col(text), F.lit(rx), F.lit(0))
-    return df.where(F.col(text).rlike(rx)).withColumn(
-        "matches", F.transform(F.slice(found, 1, limit), lambda m: F.substring(m, 1, cut))
-    )
+    if limit is not None:
+        found = F.slice(found, 1, limit)
+    if cut is not None:
+        found = F.transform(found, lambda m: F.substring(m, 1, cut))
+    return df.where(F.col(text).rlike(rx)).withColumn("matches", found)
 

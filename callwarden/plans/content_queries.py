@@ -418,10 +418,10 @@ def score_distinct(spark, sf_dir):
 
 
 @query("try_signature", """
-SELECT doc_id, array_to_string(list_transform(list_slice(regexp_extract_all(text, '(?i)[a-z]*tion[a-z]*'), 1, 20), lambda m: left(m, 200)), '|') AS matches
-FROM documents WHERE lang = 'en' AND regexp_matches(text, '(?i)[a-z]*tion[a-z]*')""")
+SELECT doc_id, array_to_string(regexp_extract_all(text, '(?i)[a-z]*tion[a-z]*'), '|') AS matches
+FROM documents WHERE regexp_matches(text, '(?i)[a-z]*tion[a-z]*')""")
 def try_signature(spark, sf_dir):
-    docs = view(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+    docs = view(spark, sf_dir, "documents").select("doc_id", "text")
     out = V.try_signature(docs, r"[a-z]*tion[a-z]*", "i")
     return out.select("doc_id", F.array_join("matches", "|").alias("matches"))
 
