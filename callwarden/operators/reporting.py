@@ -24,8 +24,8 @@ def decisions(log: DataFrame, include_synthetic: bool = False) -> DataFrame:
 
 
 def audit_query(log: DataFrame, task_id=None, rule_id=None, action=None, kind=None, since=None,
-                include_synthetic: bool = False, limit: int | None = None) -> DataFrame:
-    """Newest rows first; every filter reaches the scan, and a limit is a top-k."""
+                include_synthetic: bool = False, limit: int | None = 200) -> DataFrame:
+    """The newest rows; every filter reaches the scan, and the limit is a top-k of any size (None: all rows)."""
     for column, wanted in (("task_id", task_id), ("rule_id", rule_id), ("action", action), ("kind", kind)):
         if wanted is not None:
             log = log.where(F.col(column) == wanted)

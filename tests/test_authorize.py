@@ -91,4 +91,4 @@ def test_deep_and_looping_chains(spark):
 
 def test_reports_give_what_is_asked_for(spark):
     log = spark.range(12_000).select("id", F.lit(False).alias("synthetic"), F.lit("BLOCK").alias("action"))
-    assert reporting.audit_query(log).count() == 12_000 and reporting.audit_query(log, limit=11_000).count() == 11_000
+    assert reporting.audit_query(log, limit=None).count() == 12_000 and reporting.audit_query(log, limit=11_000).count() == 11_000
