@@ -204,14 +204,14 @@ def _near_misses(model: Model):
     return run
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
+def _fit(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; a row counts ``times``."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-3, *[0.05] * (x.shape[1] - 1)])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+        w = w - np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (times * (p - y)) + ridge @ w)
     return w
 
 
@@ -233,10 +233,14 @@ def _lexicon(terms: DataFrame, positives: int, negatives: int, entries: int) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
-    """Fit on about ``sample`` labelled texts of each class at most, chosen by a hash of the id; classes keep the shares they have there."""
+    """Fit on about ``sample`` labelled texts of each class at most, chosen by a hash of the id.
+
+    In the regression a text counts for all those of its class that it was drawn from, so a score is a probability at the share of
+    toxic texts in ``labels``, however large they are.
+    """
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    share = [int(min(1.0, sample / max(sizes.get(k, 0), 1)) * 1_000_000) for k in (0, 1)]
+    share = [max(1, int(min(1.0, sample / max(sizes.get(k, 0), 1)) * 1_000_000)) for k in (0, 1)]
     drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # bounded: about two samples of ids
     chosen = documents(docs).join(F.broadcast(drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id").select("toxic", "text")
@@ -253,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
     rows = np.array([list(r) for r in fitting.mapInArrow(_score(model, True), schema).collect()], float).reshape(-1, len(FEATURES) + 1)
     if len(rows) and 0 < rows[:, 0].sum() < len(rows):
         order = np.lexsort(rows.T[::-1])
-        model.weights = _fit(rows[order, 1:], rows[order, 0])
+        model.weights = _fit(rows[order, 1:], rows[order, 0], np.where(rows[order, 0] == 1, 1_000_000 / share[1], 1_000_000 / share[0]))
     else:
         model.weights = np.array([-4.0, 3.0, 2.0, 0.0, 1.0, 1.0])
     return model

@@ -204,6 +204,20 @@ def test_toxicity(spark):
     assert toxicity.score(df, toxicity.train(df, labels.limit(0))).count() == 203
 
 
+def test_toxicity_scores_keep_the_share_of_the_classes(spark):
+    """Toxic texts are one in ten; a sample that draws both classes alike must not change what a score means."""
+    rows = [(i, f"{text(i % 997, 12)} {'you scumbag' if i % 10 == 0 or i % 20 == 5 else 'you'}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    # the lexicon is given: only the fit may depend on the sample
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "_lexicon", lambda *_: (["scumbag"], []))
+        whole, drawn = (toxicity.train(df, labels, sample=n) for n in (6000, 300))
+    got = [{r.doc_id: r.score for r in toxicity.score(df.limit(40), m).collect()} for m in (whole, drawn)]
+    assert abs(got[0][0] - 2 / 3) < 0.05  # two of three texts with the word are toxic
+    assert all(abs(got[0][i] - got[1][i]) < 0.12 for i in got[0]), got
+
+
 def test_pii(spark):
     def plain(t):
         out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
