@@ -3,7 +3,7 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers. How strongly a term reveals an entity is estimated from the whole
 corpus: the pointwise mutual information of finding the term beside the entity, as a share of the information of the entity
 itself. A share of 1 means that the term occurs nowhere else. Terms beyond a disclosure threshold are generalised, those
-beyond a second one removed.
+beyond a second one removed, wherever they stand in the corpus.
 """
 
 import bisect
@@ -28,6 +28,9 @@ SUPPORT = 3
 GENERALISE = 0.85
 REMOVE = 0.97
 _NO_ID = -(1 << 63)
+#: Bits of the filter that texts are searched with before the exact join on the term.
+_BITS = 26
+_SEEN = 300_000
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -81,7 +84,7 @@ def _entity(kind: str, value: str) -> int:
 
 
 def _beside(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Terms near each entity: entity, term, place, and a hash of the whole context."""
+    """Terms near each entity: entity, term, and a hash of the whole context."""
     words = [(m.start(), m.end()) for m in _TERM.finditer(text)]
     starts = [w[0] for w in words]
     covered = sorted((a, b) for _, a, b in spans)
@@ -93,13 +96,13 @@ def _beside(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         terms = [text[s:e].lower() for s, e in near]
         context = xxhash.xxh3_64_intdigest(" ".join(terms).encode("utf-8", "surrogatepass")) - (1 << 63)
         entity = _entity(kind, text[a:b])
-        out += [{"entity": entity, "term": t, "start": s, "stop": e, "context": context} for t, (s, e) in zip(terms, near, strict=True)]
+        out += [{"entity": entity, "term": t, "context": context} for t in terms]
     return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("context", pa.int64())]))
+    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64())]))
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
@@ -119,13 +122,55 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     seen: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            seen.update(set(_TERM.findall(text.lower())))
+            seen.update({w.lower() for w in set(_TERM.findall(text))})
             if len(seen) > 300_000:
                 yield result(seen)
                 seen = Counter()
     yield result(seen)
 
 
+def _filter(terms: DataFrame) -> dict[int, bytes]:
+    """One bit for the hash of each term, in pages of 32,768 bits; of bounded size however many terms there are."""
+    at = terms.select(F.expr(f"xxhash64(term) & {(1 << _BITS) - 1}").alias("at"))
+    pages = at.groupBy(F.shiftright("at", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
+    return {r["page"]: bytes(r["bits"]) for r in pages.collect()}
+
+
+def _marker(pages: dict[int, bytes]):
+    """Every occurrence, outside entities, of words that the filter lets through: ``doc_id, mark, term, start, stop``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+
+        def told(word: str) -> bool:
+            at = xxhash.xxh64_intdigest(word.lower().encode(), 42) & ((1 << _BITS) - 1)
+            bits = pages.get(at >> 15)
+            known[word] = got = bits is not None and bool(bits[(at & 32767) >> 3] >> (at & 7) & 1)
+            return got
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                rows, terms, starts, stops = [], [], [], []
+                for i, text in enumerate(batch.column(2).to_pylist()):
+                    if len(known) > _SEEN:
+                        known.clear()
+                    if not any([known[w] if w in known else told(w) for w in set(_TERM.findall(text))]):
+                        continue
+                    covered = sorted((a, b) for _, a, b in base_spans(text))
+                    k = reach = 0
+                    for m in _TERM.finditer(text):
+                        while k < len(covered) and covered[k][0] < m.end():
+                            reach, k = max(reach, covered[k][1]), k + 1
+                        if m.start() >= reach and known[m.group()]:
+                            rows.append(i)
+                            terms.append(m.group().lower())
+                            starts.append(m.start())
+                            stops.append(m.end())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), batch.column(1).take(pa.array(rows, pa.int32())), pa.array(terms, pa.string()),
+                                                  pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["doc_id", "mark", "term", "start", "stop"])
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
@@ -134,12 +179,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def find(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """``doc_id, mark, spans, terms`` for every row; ``terms`` holds ``start, stop, strength`` of the terms beyond ``generalise``.
 
-    Document counts of terms and entities cover the whole corpus. A context that copies repeat counts once towards ``support``. The
-    strength of a term beside several entities is the largest. ``mark`` is a hash of the text; with the id it names a row, so rows
+    Document counts of terms and entities cover the whole corpus. A term counts for an entity that it stands beside in at least
+    ``support`` different contexts; a context that copies repeat counts once. What tells is marked at every occurrence in every text,
+    also far from an entity or without one; its strength is the largest of those for its entities. ``mark`` is a hash of the text; with the id it names a row, so rows
     that repeat both agree. Null texts are empty; null ids are ``-2^63`` here; extra columns are ignored.
     """
     texts = _keyed(docs)
-    scanned = store(texts.mapInArrow(_scan, f"doc_id long, mark long, spans {_SPAN}, beside array<struct<entity:long,term:string,start:int,stop:int,context:long>>"), "pii")
+    scanned = store(texts.mapInArrow(_scan, f"doc_id long, mark long, spans {_SPAN}, beside array<struct<entity:long,term:string,context:long>>"), "pii")
     beside = scanned.where(F.size("beside") > 0).select("doc_id", "mark", F.explode("beside").alias("b")).select("doc_id", "mark", "b.*")
     n_docs = scanned.count()
     entities = beside.groupBy("entity", "doc_id", "mark").agg(F.lit(1)).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
@@ -150,11 +196,10 @@ def find(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT
     information = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_entity"))
     shared = F.log2(F.col("n_both") * F.lit(float(max(n_docs, 1))) / (F.col("n_entity") * F.col("n_term").cast("double")))
     strong = (pairs.join(frequent, "term").where(information > 0).withColumn("strength", F.least(F.lit(1.0), shared / information))
-              .where(F.col("strength") >= generalise).select("entity", "term", "strength"))
+              .where(F.col("strength") >= generalise).groupBy("term").agg(F.max("strength").alias("strength")))
     strong = store(strong, "pii-strong")
-    told = (beside.select("doc_id", "mark", "entity", "term", "start", "stop").join(strong, ["entity", "term"])
-            .groupBy("doc_id", "mark", "start", "stop").agg(F.max("strength").alias("strength"))
-            .groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "strength"))).alias("terms")))
+    told = (texts.mapInArrow(_marker(_filter(strong)), "doc_id long, mark long, term string, start int, stop int").join(strong, "term")
+            .groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "strength"))).alias("terms")))
     found = scanned.select("doc_id", "mark", "spans").join(told, ["doc_id", "mark"], "left")
     return found.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,strength:double>>")))
 

@@ -239,6 +239,20 @@ def test_pii(spark):
     assert pii.report(empty(spark)).count() == 0
 
 
+def test_pii_marks_every_occurrence(spark, monkeypatch):
+    rows = [(i, f"{text(i, 6)} Zorblax wrote from bob@example.com about {text(i + 50, 12)} zorblax") for i in range(5)]
+    rows += [(5, f"zorblax {text(5, 4)} ZORBLAX, zorblax@example.com"), (5, f"zorblax {text(5, 4)} ZORBLAX, zorblax@example.com"), (None, "zorblax")]
+    rows += [(i, text(i, 30)) for i in range(6, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (26, 15, 3):  # a filter that lets nearly all words through gives the same marks
+        monkeypatch.setattr(pii, "_BITS", bits)
+        for r, (i, t) in zip(sorted(pii.report(df).collect(), key=lambda r: (r.doc_id is None, r.doc_id)), sorted(rows, key=lambda r: (r[0] is None, r[0])), strict=True):
+            inside = {a for _, a, _ in pii.base_spans(t)}
+            want = {f"term:{m.start()}:{m.end()}" for m in re.finditer("zorblax", t, re.I) if m.start() not in inside}
+            assert r.doc_id == i and {s for s in r.spans.split(",") if s.startswith("term:") and t[int(s.split(":")[1]):].lower().startswith("zorblax")} == want
+    assert not any("zorblax" in r.text.lower() for r in pii.sanitise(df).collect())
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
