@@ -14,6 +14,10 @@ from callwarden.session import cut_lineage
 
 TURNS_PER_BLOCK = 1024
 CONTEXT_CHARS = 4096
+#: Parts of MARKDOWN_EXFIL, which has no length limit: an address, and what leads to it. Turns are joined by blanks, which only the text in
+#: square brackets and the gap before the address may hold; every part lies in one turn.
+_ADDRESS = r"https?://[^)\s]*[?&][^)\s]*\)"
+_OPENS, _CLOSES, _NAMED, _ENDS = r"!\[[^\]]*\Z", r"\A[^\]]*\]\(\s*" + _ADDRESS, r"!\[[^\]]*\]\(\s*\Z", r"\A[^\]]*\]\(\s*\Z"
 WITHHELD = "[WITHHELD: content flagged as suspicious by the semantic guard]"
 
 
@@ -38,13 +42,36 @@ def sanitize_conversations(messages: DataFrame, controls: C.Controls = C.BALANCE
     return out.where(F.col("sanitized") != F.col("text")).select("conv_id", "turn", "role", "decision", "sanitized")
 
 
+def _split_links(turns: DataFrame, chunk_turns: int) -> DataFrame:
+    """``conv_id, messages`` where MARKDOWN_EXFIL matches over several of the turns (conv_id, messages, turn, sanitized), however far apart.
+
+    Before each turn it is known whether an image text is open, from the last turn with a bracket of it, and whether an address is
+    due, from the last turn that is not blank.
+    """
+    t = F.coalesce("sanitized", F.lit(""))
+
+    def has(pattern: str) -> Column:
+        return t.rlike(java(pattern))
+
+    parts = turns.select("conv_id", "messages", "turn", has(r"!\[|\]").alias("_bracket"), has(r"\S").alias("_said"), has(_OPENS).alias("_opens"),
+                         has(_CLOSES).alias("_closes"), has(_NAMED).alias("_named"), has(_ENDS).alias("_ends"), has(r"\A\s*" + _ADDRESS).alias("_address"))
+    chunk = F.floor(F.col("turn") / chunk_turns)
+    last = F.when(F.col("_bracket"), F.struct("turn", F.col("_opens").alias("is")))
+    work = running(parts, ["conv_id"], ["turn"], {"_open": ("max", last)}, chunk, inclusive=False)
+    opened = F.coalesce(F.col("_open")["is"], F.lit(False))
+    last = F.when(F.col("_said"), F.struct("turn", (F.col("_named") | (opened & F.col("_ends"))).alias("is")))
+    work = running(work, ["conv_id"], ["turn"], {"_due": ("max", last)}, chunk, inclusive=False)
+    hit = (opened & F.col("_closes")) | (F.coalesce(F.col("_due")["is"], F.lit(False)) & F.col("_address"))
+    return work.where(hit).select("conv_id", "messages").distinct()
+
+
 def split_injection(checked: DataFrame, chunk_turns: int = 4096) -> DataFrame:
     """Instructions that appear only when the untrusted turns of one conversation are read together.
 
     Input: ``check_messages``. Conversations with a blocked message, an injection already found, or a single
     untrusted turn are left out by one aggregation. The rest is joined in blocks of consecutive turns; a block also
-    sees the end of the block before it, so a conversation of any length is spread over its blocks. The patterns
-    reach a few hundred characters, less than that context.
+    sees the end of the block before it, so a conversation of any length is spread over its blocks. Patterns of a few hundred
+    characters fit that context; links, which have no length limit, are found by their parts (``_split_links``).
     """
     untrusted = F.col("role").isin("user", "tool")
     stop = is_blocked(F.col("findings")) | F.exists("findings", lambda f: f["rule_id"] == "INJ-001")
@@ -62,6 +89,7 @@ def split_injection(checked: DataFrame, chunk_turns: int = 4096) -> DataFrame:
     texts = blocks.join(tails, ["conv_id", "block"], "left").select("conv_id", "messages", F.concat_ws(" ", "_before", "joined").alias("joined"))
     found = C.scan(texts, "joined", "user_input", parts=("injection",)).where(F.size("injection_spans") > 0)
     labels = found.select("conv_id", "messages", F.explode(S.span_labels(F.col("injection_spans"))).alias("label"))
+    labels = labels.unionByName(_split_links(turns, chunk_turns).withColumn("label", F.lit("MARKDOWN_EXFIL")))
     return labels.groupBy("conv_id", "messages").agg(F.array_sort(F.collect_set("label")).alias("patterns")).select(
         "conv_id", "messages", "patterns", F.lit("INJ-002").alias("rule_id"), F.lit("BLOCK").alias("action")
     )
