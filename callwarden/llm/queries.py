@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwarden.llm import covertree, fingerprint, language, minhash, mixing, packing, pii, suffix, toxicity, urls
+from callwarden.llm import audit, covertree, fingerprint, language, mainpart, minhash, mixing, packing, pii, ranking, suffix, toxicity, urls
 from callwarden.llm.common import crc_bucket, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -61,6 +61,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_mainpart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainpart.extract(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_language, op3_suffix, op4_fingerprint, op5_mixing, op6_covertree, op7_toxicity, op8_urls,
-                                   op9_packing, op10_pii, pipeline)}
+                                   op9_packing, op10_pii, op11_audit, op12_ranking, op13_mainpart, pipeline)}
 
 _COMPONENTS = """
 reach AS (SELECT node, node AS other FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a)"""
@@ -133,4 +145,41 @@ best AS (
   SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(kind, length(h || p)) AS kind
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(kind, 'allow') AS verdict, coalesce(kind, 'allow') = 'block' AS listed FROM parts LEFT JOIN best USING (page_id)""",
+    "op11_audit": """
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM texts),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM words LEFT JOIN marks USING (doc_id)),
+sets AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM failing GROUP BY part, fails),
+orders AS (
+  SELECT '' AS o UNION ALL SELECT o || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS x(f) WHERE NOT contains(o, f)),
+steps AS (SELECT o AS filter_order, k::INT AS step, substr(o, k, 1) AS filter FROM orders, range(1, 6) AS r(k) WHERE length(o) = 5),
+hits AS (SELECT part, fails, n, good, toxic, o, coalesce((SELECT min(strpos(o, c)) FROM unnest(string_split(fails, '')) AS u(c) WHERE c <> ''), 9) AS gone
+  FROM sets, orders WHERE length(o) = 5),
+counted AS (
+  SELECT part, filter_order, step, filter, sum(CASE WHEN gone > step THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN gone < step AND contains(fails, filter) THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN fails = filter THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN gone = step THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN gone = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM hits JOIN steps ON o = filter_order GROUP BY part, filter_order, step, filter)
+SELECT *, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM counted""",
+    "op12_ranking": """
+WITH terms AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+held AS (SELECT * FROM terms WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS size FROM held),
+tf AS (SELECT doc_id, len(w)::BIGINT AS n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM held) GROUP BY doc_id, w, t),
+wanted AS (SELECT item_id, t, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+weights AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), totals),
+scores AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // size))))::BIGINT AS score
+  FROM wanted JOIN weights USING (t) JOIN tf USING (t), totals GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10""",
 }
