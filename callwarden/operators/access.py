@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callwarden.functions.globs import glob_to_regex, hmac_sha256, matches_any
 from callwarden.operators.decide import finding
-from callwarden.operators.running import running, time_chunk
+from callwarden.operators.running import running
 from callwarden.rules import policy as P
 from callwarden.rules.feed import POISONED_TOOL_RULE
 
@@ -170,8 +170,7 @@ def decide_approvals(requests: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def match_approvals(calls: DataFrame, approvals: DataFrame, keys: list[str], ttl_seconds: int,
-                    chunk_seconds: int = 86_400) -> DataFrame:
+def match_approvals(calls: DataFrame, approvals: DataFrame, keys: list[str], ttl_seconds: int) -> DataFrame:
     """Each call takes the newest unused approval of the same exact call, if that is still fresh.
 
     Calls: id, ts, keys. Approvals: id, created_at, decided_at, status, keys. Newest-first use is a stack, so with
@@ -199,14 +198,13 @@ def match_approvals(calls: DataFrame, approvals: DataFrame, keys: list[str], ttl
     log = reduce(DataFrame.unionByName, [up, asked, closed, used])
     order = ["ts", "kind", "ref"]
     heights = running(
-        log, keys, order, {"height": ("sum", F.col("step")), "n_open": ("sum", F.col("open"))}, time_chunk("ts", chunk_seconds)
+        log, keys, order, {"height": ("sum", F.col("step")), "n_open": ("sum", F.col("open"))}
     ).where(F.col("kind").isin(0, 3))
     # height above an approval, height below a call: equal exactly for partners
     level = F.when(F.col("kind") == 0, F.col("height")).otherwise(F.col("height") + 1)
     moment = F.struct("ts", "kind", "ref")
     met = running(
-        heights.withColumn("level", level), [*keys, "level"], order, {"last": ("max", moment)},
-        time_chunk("ts", chunk_seconds), inclusive=False,
+        heights.withColumn("level", level), [*keys, "level"], order, {"last": ("max", moment)}, inclusive=False,
     ).where(F.col("kind") == 3)
     fresh = (F.col("last.kind") == 0) & (
         F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("last.ts").cast("timestamp")) < ttl_seconds * 1_000_000
@@ -221,7 +219,7 @@ def match_approvals(calls: DataFrame, approvals: DataFrame, keys: list[str], ttl
 # ---------------------------------------------------------------- memory
 
 
-def latest_memory(reads: DataFrame, entries: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def latest_memory(reads: DataFrame, entries: DataFrame) -> DataFrame:
     """What each read of (case_id, key) returns: the newest entry of that case written before it.
 
     Reads: id, ts, case_id, key. Without such an entry, an entry of another case makes it MEMORY_CROSS_CASE,
@@ -233,9 +231,8 @@ def latest_memory(reads: DataFrame, entries: DataFrame, chunk_seconds: int = 86_
     both = written.unionByName(asked)
     order = ["ts", "kind", "id"]
     entry = F.when(F.col("kind") == 0, F.struct("id", "content", "classification"))
-    in_case = running(both, ["case_id", "key"], order, {"entry": ("max", entry)}, time_chunk("ts", chunk_seconds))
-    any_case = running(in_case, ["key"], order, {"seen": ("count", F.when(F.col("kind") == 0, 1).otherwise(0))},
-                       time_chunk("ts", chunk_seconds))
+    in_case = running(both, ["case_id", "key"], order, {"entry": ("max", entry)})
+    any_case = running(in_case, ["key"], order, {"seen": ("count", F.when(F.col("kind") == 0, 1).otherwise(0))})
     reason = F.when(F.col("entry").isNotNull(), "OK").when(F.col("seen") > 0, "MEMORY_CROSS_CASE").otherwise("MEMORY_NOT_FOUND")
     return any_case.where(F.col("kind") == 1).select(
         "id", "ts", "case_id", "key", F.col("entry.content").alias("content"), F.col("entry.classification").alias("label"),

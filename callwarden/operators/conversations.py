@@ -42,7 +42,7 @@ def sanitize_conversations(messages: DataFrame, controls: C.Controls = C.BALANCE
     return out.where(F.col("sanitized") != F.col("text")).select("conv_id", "turn", "role", "decision", "sanitized")
 
 
-def _split_links(turns: DataFrame, chunk_turns: int) -> DataFrame:
+def _split_links(turns: DataFrame) -> DataFrame:
     """``conv_id, messages`` where MARKDOWN_EXFIL matches over several of the turns (conv_id, messages, turn, sanitized), however far apart.
 
     Before each turn it is known whether an image text is open, from the last turn with a bracket of it, and whether an address is
@@ -55,17 +55,16 @@ def _split_links(turns: DataFrame, chunk_turns: int) -> DataFrame:
 
     parts = turns.select("conv_id", "messages", "turn", has(r"!\[|\]").alias("_bracket"), has(r"\S").alias("_said"), has(_OPENS).alias("_opens"),
                          has(_CLOSES).alias("_closes"), has(_NAMED).alias("_named"), has(_ENDS).alias("_ends"), has(r"\A\s*" + _ADDRESS).alias("_address"))
-    chunk = F.floor(F.col("turn") / chunk_turns)
     last = F.when(F.col("_bracket"), F.struct("turn", F.col("_opens").alias("is")))
-    work = running(parts, ["conv_id"], ["turn"], {"_open": ("max", last)}, chunk, inclusive=False)
+    work = running(parts, ["conv_id"], ["turn"], {"_open": ("max", last)}, inclusive=False)
     opened = F.coalesce(F.col("_open")["is"], F.lit(False))
     last = F.when(F.col("_said"), F.struct("turn", (F.col("_named") | (opened & F.col("_ends"))).alias("is")))
-    work = running(work, ["conv_id"], ["turn"], {"_due": ("max", last)}, chunk, inclusive=False)
+    work = running(work, ["conv_id"], ["turn"], {"_due": ("max", last)}, inclusive=False)
     hit = (opened & F.col("_closes")) | (F.coalesce(F.col("_due")["is"], F.lit(False)) & F.col("_address"))
     return work.where(hit).select("conv_id", "messages").distinct()
 
 
-def split_injection(checked: DataFrame, chunk_turns: int = 4096) -> DataFrame:
+def split_injection(checked: DataFrame) -> DataFrame:
     """Instructions that appear only when the untrusted turns of one conversation are read together.
 
     Input: ``check_messages``. Conversations with a blocked message, an injection already found, or a single
@@ -80,7 +79,7 @@ def split_injection(checked: DataFrame, chunk_turns: int = 4096) -> DataFrame:
     flags = checked.groupBy("conv_id").agg(F.count_if(untrusted).alias("messages"), F.bool_or("_stop").alias("_skip"))
     eligible = flags.where(~F.col("_skip") & (F.col("messages") > 1)).select("conv_id", "messages")
     turns = checked.where(untrusted).select("conv_id", "turn", "sanitized").join(eligible, "conv_id")
-    numbered = running(turns, ["conv_id"], ["turn"], {"_n": ("count", F.lit(1))}, F.floor(F.col("turn") / chunk_turns))
+    numbered = running(turns, ["conv_id"], ["turn"], {"_n": ("count", F.lit(1))})
     block = F.floor((F.col("_n") - 1) / TURNS_PER_BLOCK)
     blocks = numbered.groupBy("conv_id", "messages", block.alias("block")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "sanitized"))), lambda t: t["sanitized"]), " ").alias("joined")
@@ -89,7 +88,7 @@ def split_injection(checked: DataFrame, chunk_turns: int = 4096) -> DataFrame:
     texts = blocks.join(tails, ["conv_id", "block"], "left").select("conv_id", "messages", F.concat_ws(" ", "_before", "joined").alias("joined"))
     found = C.scan(texts, "joined", "user_input", parts=("injection",)).where(F.size("injection_spans") > 0)
     labels = found.select("conv_id", "messages", F.explode(S.span_labels(F.col("injection_spans"))).alias("label"))
-    labels = labels.unionByName(_split_links(turns, chunk_turns).withColumn("label", F.lit("MARKDOWN_EXFIL")))
+    labels = labels.unionByName(_split_links(turns).withColumn("label", F.lit("MARKDOWN_EXFIL")))
     return labels.groupBy("conv_id", "messages").agg(F.array_sort(F.collect_set("label")).alias("patterns")).select(
         "conv_id", "messages", "patterns", F.lit("INJ-002").alias("rule_id"), F.lit("BLOCK").alias("action")
     )

@@ -12,8 +12,7 @@ from callwarden.session import cut_lineage
 # ---------------------------------------------------------------- rates
 
 
-def rate_limit(calls: DataFrame, limits: dict[str, int] | None = None, bucket_seconds: int = 60,
-               chunk_seconds: int = 1) -> DataFrame:
+def rate_limit(calls: DataFrame, limits: dict[str, int] | None = None, bucket_seconds: int = 60) -> DataFrame:
     """Add ``rate_scope``, ``rate_count`` and ``rate_refused`` to each call.
 
     Every call counts in all its scopes, refused or not; synthetic calls and calls the breaker refused do not.
@@ -39,7 +38,7 @@ def rate_limit(calls: DataFrame, limits: dict[str, int] | None = None, bucket_se
     )
     full = rows.groupBy("scope", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("max_n").alias("m")).where("n > m")
     candidates = rows.join(full.select("scope", "bucket"), ["scope", "bucket"], "left_semi")
-    numbered = running(candidates, ["scope", "bucket"], ["ts", "id"], {"n": ("count", F.lit(1))}, time_chunk("ts", chunk_seconds))
+    numbered = running(candidates, ["scope", "bucket"], ["ts", "id"], {"n": ("count", F.lit(1))})
     refused = numbered.where(F.col("n") > F.col("max_n")).groupBy("id").agg(
         F.min(F.struct("ord", "scope", "n")).alias("_over")
     )
@@ -105,7 +104,6 @@ def breaker_feedback(calls: DataFrame, blocks: int, window_seconds: int, max_rou
     busy = trailing_counts(rows, window_seconds, {"n_calls": F.lit(True)}).drop("task_id")
     base = running(
         rows.join(busy, "id"), ["task_id"], ["ts", "id"], {"stretch": ("sum", F.when(F.col("n_calls") < blocks, 1).otherwise(0))},
-        time_chunk("ts", max(window_seconds, 3600)),
     )
     # refused: null while undecided
     state = cut_lineage(base.withColumn("refused", F.when((F.col("n_calls") < blocks) | F.col("exempt"), F.lit(False))))
@@ -119,7 +117,6 @@ def breaker_feedback(calls: DataFrame, blocks: int, window_seconds: int, max_rou
         locked = (F.col("low") == F.col("n_calls")) & (F.col("n_calls") >= blocks)
         bounded = running(
             bounded, ["task_id", "stretch"], ["ts", "id"], {"locks": ("sum", F.when(locked, 1).otherwise(0))},
-            time_chunk("ts", max(window_seconds, 3600)),
         )
         decided = F.when(F.col("refused").isNotNull(), F.col("refused")).when(
             (F.col("low") >= blocks) | (F.col("locks") > 0), True
@@ -200,7 +197,7 @@ def ledger_state(reservations: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def admit(requests: DataFrame, limits: DataFrame, chunk_seconds: int = 3600, max_rounds: int = 10_000) -> DataFrame:
+def admit(requests: DataFrame, limits: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """All-or-nothing admission in (ts, id) order over overlapping scopes.
 
     Requests: id, ts, tokens, scopes, settle_ts, actual (no settle_ts: still running; no actual: outcome unknown,
@@ -242,7 +239,7 @@ def admit(requests: DataFrame, limits: DataFrame, chunk_seconds: int = 3600, max
 
     for _ in range(max_rounds):
         used = running(
-            moves.join(state, "id"), ["scope"], ["ts", "kind", "id"], measures, time_chunk("ts", chunk_seconds), inclusive=False
+            moves.join(state, "id"), ["scope"], ["ts", "kind", "id"], measures, inclusive=False
         ).where(F.col("kind") == 1)
         lacking = exceeded_dimension(
             F.col("dt_lo"), F.lit(0), F.col("dc_lo"), F.col("da_lo"),
@@ -261,7 +258,7 @@ def admit(requests: DataFrame, limits: DataFrame, chunk_seconds: int = 3600, max
         raise RuntimeError("admission did not settle")
     # with every earlier verdict known both bounds agree, so one more pass names the failing scope exactly
     used = running(
-        moves.join(state, "id"), ["scope"], ["ts", "kind", "id"], measures, time_chunk("ts", chunk_seconds), inclusive=False
+        moves.join(state, "id"), ["scope"], ["ts", "kind", "id"], measures, inclusive=False
     ).where(F.col("kind") == 1)
     failing = used.where(~F.col("admitted") & lacking.isNotNull()).groupBy("id").agg(
         F.min(F.struct("scope", lacking.alias("dimension"))).alias("_first")
@@ -271,8 +268,7 @@ def admit(requests: DataFrame, limits: DataFrame, chunk_seconds: int = 3600, max
     )
 
 
-def guard_cost(texts: DataFrame, limit_tokens: int = P.BUDGETS["guard"]["tokens"], limit_calls: int = P.BUDGETS["guard"]["calls"],
-               chunk_seconds: int = 3600) -> DataFrame:
+def guard_cost(texts: DataFrame, limit_tokens: int = P.BUDGETS["guard"]["tokens"], limit_calls: int = P.BUDGETS["guard"]["calls"]) -> DataFrame:
     """Cost of risk scoring itself (id, ts, text): its own budget of estimate + 150 tokens per text; BUD-GUARD beyond it."""
     cost = estimate_tokens(F.col("text")) + 150
     requests = texts.select(
@@ -282,7 +278,7 @@ def guard_cost(texts: DataFrame, limit_tokens: int = P.BUDGETS["guard"]["tokens"
         [("guard", limit_tokens, limit_calls, 1_000_000_000)], "scope string, token_limit bigint, calls_limit bigint, concurrency_limit bigint"
     )
     # a scored text settles before the next one starts, so the slot never limits; only held tokens matter
-    out = admit(requests.withColumn("settle_ts", F.lit(None).cast(dict(texts.dtypes)["ts"])), limits, chunk_seconds)
+    out = admit(requests.withColumn("settle_ts", F.lit(None).cast(dict(texts.dtypes)["ts"])), limits)
     return out.select("id", "tokens", F.when(~F.col("admitted"), "BUD-GUARD").alias("rule_id"))
 
 
@@ -313,15 +309,15 @@ def overspend_report(log: DataFrame, pool_tokens: Column, reserve: Column) -> Da
     )
 
 
-def running_balance(log: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
+def running_balance(log: DataFrame) -> DataFrame:
     """Add the committed tokens of each scope after every move (scope_id, ts, id, tokens)."""
-    return running(log, ["scope_id"], ["ts", "id"], {"balance": ("sum", F.col("tokens"))}, time_chunk("ts", chunk_seconds))
+    return running(log, ["scope_id"], ["ts", "id"], {"balance": ("sum", F.col("tokens"))})
 
 
-def first_breach(log: DataFrame, limit: Column | int, chunk_seconds: int = 86_400) -> DataFrame:
+def first_breach(log: DataFrame, limit: Column | int) -> DataFrame:
     """Per scope: final balance and the first move that went above the limit."""
     top = F.lit(limit) if isinstance(limit, int) else limit
-    rows = running_balance(log, chunk_seconds)
+    rows = running_balance(log)
     return rows.groupBy("scope_id").agg(
         F.sum("tokens").alias("committed"), F.count(F.lit(1)).alias("moves"),
         F.min(F.when(F.col("balance") > top, F.struct("ts", "id", "balance"))).alias("_b"),

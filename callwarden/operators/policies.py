@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callwarden.operators import content as C
 from callwarden.operators.decide import severity
-from callwarden.operators.running import running, time_chunk
+from callwarden.operators.running import running
 from callwarden.rules import policy as P
 
 SWITCHES = {
@@ -74,11 +74,11 @@ def policy_history(versions: DataFrame) -> DataFrame:
     )
 
 
-def version_at(decisions: DataFrame, versions: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def version_at(decisions: DataFrame, versions: DataFrame) -> DataFrame:
     """Policy version in force at each decision: the last one accepted before it (as-of join as a running maximum)."""
     changes = versions.where("accepted").select(F.col("created_at").alias("ts"), F.lit(0).alias("kind"), F.col("seq").alias("id"), "seq")
     asked = decisions.select("ts", F.lit(1).alias("kind"), "id", F.lit(None).cast("bigint").alias("seq"))
-    both = running(changes.unionByName(asked), [], ["ts", "kind", "id"], {"version": ("max", F.col("seq"))}, time_chunk("ts", chunk_seconds))
+    both = running(changes.unionByName(asked), [], ["ts", "kind", "id"], {"version": ("max", F.col("seq"))})
     return both.where(F.col("kind") == 1).select("id", "ts", "version")
 
 

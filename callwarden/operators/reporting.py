@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwarden.operators.content import level_name
-from callwarden.operators.running import exact_quantiles, nearest_rank, running, time_chunk
+from callwarden.operators.running import exact_quantiles, nearest_rank, running
 
 
 def _top(df: DataFrame, limit: int | None) -> DataFrame:
@@ -88,16 +88,15 @@ def task_overview(tasks: DataFrame, budgets: DataFrame, status: str | None = Non
     )
 
 
-def task_detail(tasks: DataFrame, budgets: DataFrame, log: DataFrame, events: int = 500, chunk_seconds: int = 86_400) -> DataFrame:
-    """Every task with its budget, its children and its newest events in ascending order.
+def task_detail(tasks: DataFrame, budgets: DataFrame, log: DataFrame, per_page: int = 500) -> DataFrame:
+    """Every task with its budget, the count of its children, and all its events in ascending order, page by page.
 
-    Events beyond the newest ``events`` of a task are dropped before anything is gathered, so an array has
-    bounded length; children are counted and listed by id.
+    Page 1 holds the newest ``per_page`` events and is there also for a task without any; a task with more has a row for each further page,
+    so an array has bounded length and no event is left out.
     """
-    recent = running(log, ["task_id"], ["ts", "id"], {"_rank": ("count", F.lit(1))}, time_chunk("ts", chunk_seconds), reverse=True)
-    arrays = recent.where(F.col("_rank") <= events).groupBy("task_id").agg(
-        F.array_sort(F.collect_list(F.struct("ts", "id", "action"))).alias("events")
-    )
+    recent = running(log, ["task_id"], ["ts", "id"], {"_rank": ("count", F.lit(1))}, reverse=True)
+    page = F.expr(f"(_rank - 1) div {int(per_page)} + 1")
+    arrays = recent.groupBy("task_id", page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "action"))).alias("events"))
     children = tasks.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("task_id")).agg(
         F.count(F.lit(1)).alias("n_children"), F.count_if(F.col("status") == "active").alias("n_active_children")
     )
@@ -105,7 +104,7 @@ def task_detail(tasks: DataFrame, budgets: DataFrame, log: DataFrame, events: in
                         F.concat(F.lit("task:"), "id").alias("scope_id"))
     return (
         base.join(budgets, "scope_id", "left").join(children, "task_id", "left").join(arrays, "task_id", "left")
-        .select("task_id", "principal", "agent_id", "status", "spent", "reserved", "token_limit",
+        .select("task_id", F.coalesce("page", F.lit(1)).cast("bigint").alias("page"), "principal", "agent_id", "status", "spent", "reserved", "token_limit",
                 F.coalesce("n_children", F.lit(0)).alias("n_children"),
                 F.coalesce("n_active_children", F.lit(0)).alias("n_active_children"), "events")
     )

@@ -9,9 +9,11 @@ from callwarden.operators import access as A
 from callwarden.operators import authorize as Z
 from callwarden.operators import flow, tree
 from callwarden.operators import ledger as L
+from callwarden.operators.decide import is_blocked
 from callwarden.plans.registry import query
 from callwarden.plans.views import view, with_views
 from callwarden.rules.policy import TOOLS
+from callwarden.session import cut_lineage
 from callwarden.sources.feed import policy_tables
 
 SECRET = b"demo-lease-secret"
@@ -198,18 +200,23 @@ leveled AS (SELECT x.*, greatest(coalesce(r.label, 0), coalesce(d.seed, 0)) AS l
 _CALL_VIEWS = ("requests", "mandates", "catalog", "sinks", "tasks", "closure", "calls")
 
 
-def _checked_calls(spark, sf_dir):
-    """Calls with guard and mandate findings, sink, clearance, and the level of their tree."""
+def _judged_calls(spark, sf_dir, arguments):
+    """Calls with guard and mandate findings and the sink."""
     log = L.circuit_breaker(view(spark, sf_dir, "calls"), **LOG_BREAKER)
-    guard = L.rate_limit(log, HOUR_LIMITS, bucket_seconds=3600, chunk_seconds=60).select(
+    guard = L.rate_limit(log, HOUR_LIMITS, bucket_seconds=3600).select(
         "id", "recent_blocks", "breaker_refused", "rate_scope", "rate_count", "rate_refused")
-    args = F.create_map(*[x for k, v in {
-        "path": F.col("path"), "to": F.col("recipient"), "query": F.col("body"), "body": F.col("body"), "code": F.col("body"), "content": F.col("body"),
-        "title": F.lit("note"), "subject": F.lit("hello"), "url": F.lit("https://x.example/in"), "key": F.lit("k1")}.items() for x in (F.lit(k), v)])
+    args = F.create_map(*[x for k, v in arguments.items() for x in (F.lit(k), v)])
     calls = _calls_with_mandate(spark, sf_dir).join(guard, "id").withColumns({
         "args": args, "sink": A.resolve_sink(F.col("tool"), F.col("recipient")),
         "tool_status": F.when(F.col("tool") == "legal_db.search", "quarantined").otherwise("approved")})
-    checked = Z.check_calls(calls, LOG_BREAKER, code_mode=F.when(F.col("synthetic"), "block").otherwise("sandbox"))
+    return Z.check_calls(calls, LOG_BREAKER, code_mode=F.when(F.col("synthetic"), "block").otherwise("sandbox"))
+
+
+def _checked_calls(spark, sf_dir):
+    """Calls with guard and mandate findings, sink, clearance, and the level of their tree."""
+    checked = _judged_calls(spark, sf_dir, {
+        "path": F.col("path"), "to": F.col("recipient"), "query": F.col("body"), "body": F.col("body"), "code": F.col("body"), "content": F.col("body"),
+        "title": F.lit("note"), "subject": F.lit("hello"), "url": F.lit("https://x.example/in"), "key": F.lit("k1")})
     tasks = view(spark, sf_dir, "tasks")
     leveled = flow.tree_levels(checked, tasks, tree.ancestry(tasks), Z.executed_reads(checked, view(spark, sf_dir, "catalog")))
     return A.sink_clearance(leveled, view(spark, sf_dir, "sinks"))
@@ -221,7 +228,14 @@ SELECT id, task_id, sink, level, clearance FROM leveled WHERE writes AND level >
 def flow_violations(spark, sf_dir):
     """Writes that would leak, whatever else is wrong with the call: levels come from executed reads in the whole tree."""
     silent = [t for t, spec in TOOLS.items() if spec.get("writes") is False]
-    out = flow.flow_violations(_checked_calls(spark, sf_dir).withColumn("writes", ~F.col("tool").isin(silent)))
+    judged = _judged_calls(spark, sf_dir, {"path": F.col("path"), "to": F.col("recipient")})
+    # read for the levels and for the writes: stored once, without arguments
+    slim = cut_lineage(judged.select("id", "ts", "task_id", "tool", "path", "sink", is_blocked(F.col("findings")).alias("refused")))
+    reads = flow.label_reads(slim.where((F.col("tool") == "doc.read") & ~F.col("refused")), view(spark, sf_dir, "catalog"))
+    tasks = view(spark, sf_dir, "tasks")
+    written = slim.where(~F.col("tool").isin(silent))
+    leveled = flow.tree_levels(written, tasks, tree.ancestry(tasks), reads)
+    out = flow.flow_violations(A.sink_clearance(leveled, view(spark, sf_dir, "sinks")).withColumn("writes", F.lit(True)))
     return out.select("id", "task_id", "sink", "level", "clearance")
 
 
@@ -274,7 +288,7 @@ SELECT id, parent_id, links, CASE WHEN links > 1 THEN 'DELEGATION_TOO_DEEP' WHEN
   array_to_string(bad, ',') AS bad_resources FROM j""", "closure", "mandates"))
 def check_delegations(spark, sf_dir):
     m = mandates(spark, sf_dir).where(F.col("rejected").isNull())
-    links = tree.chain_lengths(tree.ancestry(view(spark, sf_dir, "tasks")))
+    links = tree.chain_lengths(view(spark, sf_dir, "tasks"))
     out = tree.check_delegations(m.where(F.col("parent_id").isNotNull()), m, links, max_depth=1)
     return out.withColumn("extra_tools", F.array_join("extra_tools", ",")).withColumn("bad_resources", F.array_join("bad_resources", ","))
 

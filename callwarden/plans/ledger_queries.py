@@ -22,7 +22,7 @@ SELECT c.id, CASE WHEN n.a > 3 THEN 'agent:' || c.agent_id WHEN n.p > 2 THEN 'pr
        coalesce(n.a > 3 OR n.p > 2 OR n.g > 16, false) AS rate_refused
 FROM calls c LEFT JOIN n ON n.id = c.id""", "calls"))
 def rate_limit(spark, sf_dir):
-    out = L.rate_limit(view(spark, sf_dir, "calls"), HOUR_LIMITS, bucket_seconds=3600, chunk_seconds=60)
+    out = L.rate_limit(view(spark, sf_dir, "calls"), HOUR_LIMITS, bucket_seconds=3600)
     return out.select("id", "rate_scope", "rate_count", "rate_refused")
 
 
@@ -184,4 +184,4 @@ SELECT scope_id, cast(sum(amount) AS bigint) AS committed, count(*) AS moves, ar
 FROM b GROUP BY 1""", "reservations"))
 def running_balance(spark, sf_dir):
     log = view(spark, sf_dir, "reservations").selectExpr("id", "scope_id", "created_at AS ts", "amount AS tokens")
-    return L.first_breach(log, 1_500_000, chunk_seconds=30 * 86_400)
+    return L.first_breach(log, 1_500_000)

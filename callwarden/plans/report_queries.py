@@ -81,15 +81,15 @@ def task_overview(spark, sf_dir):
 
 
 @query("task_detail", with_views("""
-SELECT t.id AS task_id, t.principal, t.agent_id, t.status, b.spent, b.reserved, b.token_limit,
+SELECT t.id AS task_id, coalesce(e.page, 1) AS page, t.principal, t.agent_id, t.status, b.spent, b.reserved, b.token_limit,
        coalesce(c.n, 0) AS n_children, coalesce(c.a, 0) AS n_active_children, e.events
 FROM tasks t LEFT JOIN budgets b ON b.scope_id = 'task:' || t.id
 LEFT JOIN (SELECT parent_id, count(*) AS n, count_if(status = 'active') AS a FROM tasks GROUP BY 1) c ON c.parent_id = t.id
-LEFT JOIN (SELECT task_id, string_agg(cast(id AS string) || ':' || action, ',' ORDER BY ts, id) AS events FROM
-           (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, id DESC) AS rn FROM calls) WHERE rn <= 500
-           GROUP BY 1) e ON e.task_id = t.id""", "tasks", "budgets", "calls"))
+LEFT JOIN (SELECT task_id, (rn - 1) // 20 + 1 AS page, string_agg(cast(id AS string) || ':' || action, ',' ORDER BY ts, id) AS events FROM
+           (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, id DESC) AS rn FROM calls)
+           GROUP BY 1, 2) e ON e.task_id = t.id""", "tasks", "budgets", "calls"))
 def task_detail(spark, sf_dir):
-    out = R.task_detail(view(spark, sf_dir, "tasks"), view(spark, sf_dir, "budgets"), view(spark, sf_dir, "calls"))
+    out = R.task_detail(view(spark, sf_dir, "tasks"), view(spark, sf_dir, "budgets"), view(spark, sf_dir, "calls"), per_page=20)
     line = F.transform("events", lambda e: F.concat(e["id"].cast("string"), F.lit(":"), e["action"]))
     return out.withColumn("events", F.array_join(line, ","))
 

@@ -89,6 +89,32 @@ def test_deep_and_looping_chains(spark):
     assert sorted((r["task_id"], r["ancestor_id"]) for r in tree.ancestry(loop).collect()) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")]
 
 
+def test_closure_of_trees_with_cycles_above_tasks(spark):
+    parent = {f"n{i}": f"n{(i * 7 + 3) % i if i else 0}" for i in range(40)}  # n0 is its own parent
+    parent |= {"c0": "c1", "c1": "c2", "c2": "c3", "c3": "c4", "c4": "c0", "top": None, "kid": "top", "lost": "absent"}
+    parent |= {f"b{i}": f"b{i - 1}" if i else "c2" for i in range(9)}
+    want = set()
+    for t in parent:
+        at, below, depth, seen = t, None, 0, set()
+        while at in parent and at not in seen:
+            want.add((t, at, depth, below))
+            seen.add(at)
+            at, below, depth = parent[at], at, depth + 1
+    tasks = spark.createDataFrame(list(parent.items()), "id string, parent_id string")
+    got = [tuple(r) for r in tree.ancestry(tasks).select("task_id", "ancestor_id", "depth", "via_id").collect()]
+    assert set(got) == want and len(got) == len(want)
+    lengths = {r["id"]: (r["links"], r["root_id"]) for r in tree.chain_lengths(tasks).collect()}
+    assert lengths["kid"] == (2, "top") and lengths["lost"] == (1, "lost") and lengths["b8"] == lengths["c1"] == (None, None) and len(lengths) == len(parent)
+    assert tree.ancestry(tasks.limit(0)).count() == 0 == tree.chain_lengths(tasks.limit(0)).count()
+
+
+def test_a_chain_of_fifty_thousand_tasks(spark):
+    n = 50_000
+    tasks = spark.range(n).selectExpr("concat('t', id) AS id", "CASE WHEN id > 0 THEN concat('t', id - 1) END AS parent_id")
+    got = tree.chain_lengths(tasks).agg(F.max("links"), F.sum("links"), F.count_distinct("root_id")).first()
+    assert tuple(got) == (n, n * (n + 1) // 2, 1)
+
+
 def test_reports_give_what_is_asked_for(spark):
     log = spark.range(12_000).select("id", F.lit(False).alias("synthetic"), F.lit("BLOCK").alias("action"))
     assert reporting.audit_query(log, limit=None).count() == 12_000 and reporting.audit_query(log, limit=11_000).count() == 11_000

@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from callwarden.operators import access, ledger
-from callwarden.operators.running import exact_quantiles, running, time_chunk
+from callwarden.operators import running as running_module
+from callwarden.operators.running import equi_depth, exact_quantiles, running
 
 START = dt.datetime(2024, 1, 1)
 
@@ -19,13 +21,35 @@ def test_running_matches_sequential(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice("aab"), _at(rng.randrange(500)), rng.randrange(9)) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz, v int")
-    out = running(df, ["k"], ["ts", "id"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, time_chunk("ts", 60), inclusive=False)
-    got = {r["id"]: (r["s"], r["m"]) for r in out.collect()}
-    for key in "ab":
-        total, top = 0, None
-        for i, _, _, v in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
-            assert got[i] == (total, top)
-            total, top = total + v, v if top is None else max(top, v)
+    for depth in (1_000_000, 120, 7):
+        for reverse in (False, True):
+            out = running(df, ["k"], ["ts", "id"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, inclusive=False, reverse=reverse, depth=depth)
+            got = {r["id"]: (r["s"], r["m"]) for r in out.collect()}
+            assert len(got) == len(rows)
+            for key in "ab":
+                total, top = 0, None
+                for i, _, _, v in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]), reverse=reverse):
+                    assert got[i] == (total, top)
+                    total, top = total + v, v if top is None else max(top, v)
+
+
+def test_chunks_of_one_instant_and_of_close_values_are_bounded(spark):
+    n, depth = 1_000_000, 100_000
+    rows = spark.range(n).select(F.lit("hot").alias("k"), F.lit(START).cast("timestamp").alias("ts"), F.xxhash64("id").alias("id"), F.lit(1).alias("v"))
+    sizes = [r["count"] for r in equi_depth(rows, ["k"], ["ts", "id"], n, depth).groupBy("_chunk").count().collect()]
+    assert sum(sizes) == n and len(sizes) > 10 and max(sizes) <= depth
+    total = running(rows, ["k"], ["ts", "id"], {"at": ("sum", F.col("v"))}, depth=depth).agg(F.min("at"), F.max("at"), F.count_distinct("at")).first()
+    assert tuple(total) == (1, n, n)
+    values = spark.range(n).select(F.lit("g").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(500_000)) / 500_000).alias("v"))
+    got = exact_quantiles(values, ["g"], "v", {"p50": 0.5, "p99": 0.99}, depth=depth).first()
+    want = values.selectExpr("percentile(v, 0.5)", "percentile(v, 0.99)").first()
+    assert (got.p50, got.p99) == pytest.approx(tuple(want), abs=1e-12)
+
+
+def test_hot_keys_do_not_change_replays(spark, monkeypatch):
+    monkeypatch.setattr(running_module, "DEPTH", 15)
+    test_admission_over_overlapping_scopes(spark)
+    test_approvals_are_used_once_newest_first(spark)
 
 
 def test_exact_quantiles_small_groups(spark):
@@ -85,7 +109,7 @@ def test_approvals_are_used_once_newest_first(spark):
         approvals.append((f"a{i:02d}", _at(t), None if status == "pending" else _at(t + 40), status, rng.choice("xy")))
     c = spark.createDataFrame(calls, "id int, ts timestamp_ntz, k string")
     a = spark.createDataFrame(approvals, "id string, created_at timestamp_ntz, decided_at timestamp_ntz, status string, k string")
-    got = {int(r["call_id"]): (r["approval_id"], r["pending"]) for r in access.match_approvals(c, a, ["k"], 300, chunk_seconds=200).collect()}
+    got = {int(r["call_id"]): (r["approval_id"], r["pending"]) for r in access.match_approvals(c, a, ["k"], 300).collect()}
     used = set()
     for i, ts, k in sorted(calls, key=lambda r: (r[1], str(r[0]))):
         fresh = [x for x in approvals if x[4] == k and x[3] == "approved" and x[0] not in used and x[2] <= ts and (ts - x[2]).total_seconds() < 300]
