@@ -12,6 +12,7 @@ from callwarden.operators.decide import finding
 from callwarden.operators.running import running
 from callwarden.rules import policy as P
 from callwarden.rules.feed import POISONED_TOOL_RULE
+from callwarden.session import cut_lineage
 
 
 def lookup(values: dict, key: Column, default=None) -> Column:
@@ -216,6 +217,54 @@ def match_approvals(calls: DataFrame, approvals: DataFrame, keys: list[str], ttl
     )
 
 
+def request_approvals(calls: DataFrame, verdicts: DataFrame, keys: list[str], ttl_seconds: int) -> DataFrame:
+    """Calls that need consent, when the requests are opened by the refused calls themselves.
+
+    Calls: id, ts, keys. Verdicts: request_id, seq, verdict (approve or deny), ts; a request has the id of the call that opened it, the
+    first verdict counts, and one on a call that opened nothing means nothing. A call uses a fresh approval of the same exact call, once;
+    otherwise it is refused and, unless a request is pending, opens one.
+
+    While a request is pending no approval can be fresh, so a key has at most one of either. The call that opens the next request
+    after ``c`` therefore follows from ``c`` alone: the first call after the verdict, or the one after it if that one uses the
+    approval. This successor is one running minimum from the end for all calls; the calls that really open requests are those that
+    the first call of each key reaches through successors, found by pointer doubling in O(log n) rounds.
+
+    Adds ``request_id`` (the request that was used, is pending or was opened), ``opened`` and ``rule_id``.
+    """
+    first = verdicts.groupBy(F.col("request_id").alias("id")).agg(F.min(F.struct("seq", "verdict", "ts")).alias("_v"))
+    own = calls.select("id", "ts", *keys).join(first, "id", "left")
+    base = cut_lineage(own.select("id", "ts", *keys, F.col("_v.verdict").alias("_verdict"), F.greatest("ts", F.col("_v.ts")).alias("_at")))
+    # every call, and every call's verdict, looks for the two calls that follow
+    asked = base.where(F.col("_verdict").isNotNull()).select(*keys, F.col("_at").alias("ts"), F.lit(0).alias("_kind"), "id", (F.col("_at") > F.col("ts")).alias("_later"))
+    listed = base.select(*keys, "ts", F.lit(1).alias("_kind"), "id", F.lit(False).alias("_later"))
+    after = running(listed, keys, ["ts", "id"], {"_then": ("min", F.struct("ts", "id"))}, inclusive=False, reverse=True).select(
+        *keys, "ts", "_kind", "id", "_later", F.struct("ts", "id", F.col("_then.id").alias("then")).alias("_here"))
+    both = after.unionByName(asked.withColumn("_here", F.lit(None).cast(after.schema["_here"].dataType)))
+    # a verdict comes before the calls of its time, and after its own call
+    placed = both.withColumns({"_tie": F.when((F.col("_kind") == 0) & F.col("_later"), 0).otherwise(1), "_rank": F.when(F.col("_kind") == 0, 1).otherwise(0)})
+    met = running(placed, keys, ["ts", "_tie", "id", "_rank"], {"_next": ("min", F.col("_here"))}, inclusive=False, reverse=True).where(
+        F.col("_kind") == 0).select("id", "_next")
+    waited = F.unix_micros(F.col("_next.ts").cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp"))
+    used = (F.col("_verdict") == "approve") & (waited < ttl_seconds * 1_000_000)
+    steps = cut_lineage(base.join(met, "id", "left").select(
+        "id", "ts", *keys, "_at", F.when(used, F.col("_next.id")).alias("_user"), F.when(used, F.col("_next.then")).otherwise(F.col("_next.id")).alias("_to")))
+    heads = steps.groupBy(*keys).agg(F.min(F.struct("ts", "id")).alias("_h")).select(F.col("_h.id").alias("id"))
+    reached, jump = cut_lineage(heads), steps.where(F.col("_to").isNotNull()).select("id", "_to")
+    while True:
+        onward = jump.join(reached, "id").select(F.col("_to").alias("id"))
+        grown = cut_lineage(reached.union(onward).distinct())
+        if grown.count() == reached.count():
+            break
+        far = jump.select(F.col("id").alias("_to"), F.col("_to").alias("_far"))
+        reached, jump = grown, cut_lineage(jump.join(far, "_to").select("id", F.col("_far").alias("_to")))
+    openers = steps.join(reached, "id").withColumn("_open", F.struct("ts", "id", F.col("_user").alias("user")))
+    marked = steps.select("id", "ts", *keys).join(openers.select("id", "_open"), "id", "left")
+    held = running(marked, keys, ["ts", "id"], {"_last": ("max", F.col("_open"))})
+    opened, approved = F.col("_open").isNotNull(), F.coalesce(F.col("_last.user") == F.col("id"), F.lit(False))
+    return held.select("id", "ts", *keys, F.col("_last.id").alias("request_id"), opened.alias("opened"),
+                       F.when(approved, "APPROVAL-OK").otherwise("APPROVAL-001").alias("rule_id"))
+
+
 # ---------------------------------------------------------------- memory
 
 

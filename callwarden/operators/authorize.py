@@ -15,6 +15,7 @@ from callwarden.operators import content as C
 from callwarden.operators import flow
 from callwarden.operators.decide import collect_findings, decide, finding, is_blocked
 from callwarden.rules import policy as P
+from callwarden.session import cut_lineage
 
 
 def _spec(field: str) -> dict:
@@ -114,6 +115,25 @@ def authorize(checked: DataFrame, controls: C.Controls = C.BALANCED, feed: list[
     return S.stage(work, decision=decide(F.col("findings")))
 
 
+def grant_requests(decided: DataFrame, verdicts: DataFrame, keys: list[str], ttl_seconds: int = P.APPROVAL_TTL) -> DataFrame:
+    """Decisions after people have answered the requests that refused calls opened (``access.request_approvals``).
+
+    Input: ``authorize`` without approvals, with the columns ``keys`` that make two calls the same. Calls that were not refused for
+    want of consent keep their decision; the others get APPROVAL-OK, or APPROVAL-001 with the request they opened or wait for.
+    """
+    waiting = F.exists("findings", lambda f: f["rule_id"] == "APPROVAL-001")
+    decided = cut_lineage(decided)
+    asked = A.request_approvals(decided.where(waiting).select("id", "ts", *keys), verdicts, keys, ttl_seconds)
+    answers = asked.select("id", F.col("request_id").cast("string").alias("_request"), F.col("rule_id").alias("_rule"), F.col("opened").alias("_opened"))
+    request = F.col("_request")
+    consent = F.when(F.col("_rule") == "APPROVAL-OK", finding("ALLOW", "APPROVAL-OK", "APPROVED_BY_PERSON", "approval", {"approval_id": request})).when(
+        F.col("_rule").isNotNull(), finding("BLOCK", "APPROVAL-001", "APPROVAL_REQUIRED", "approval", {"approval_id": request, "opened": F.col("_opened")}))
+    others = F.filter("findings", lambda f: f["rule_id"] != "APPROVAL-001")
+    kept = [c for c in decided.columns if c not in ("findings", "decision")]
+    work = S.stage(decided.join(answers, "id", "left"), [*kept, "_request"], findings=F.concat(others, collect_findings(consent)))
+    return S.stage(work, decision=decide(F.col("findings"))).withColumnRenamed("_request", "request_id")
+
+
 def refuse_over_budget(decided: DataFrame, admission: DataFrame) -> DataFrame:
     """Decisions after admission (``ledger.admit`` over the calls not blocked: id, admitted, scope, dimension)."""
     refused = admission.where(~F.col("admitted")).select("id", F.col("scope").alias("_scope"), F.col("dimension").alias("_dimension"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callwarden.operators.running import running
 from callwarden.rules.policy import CONFIDENTIAL
+from callwarden.session import cut_lineage
 
 LEVELS = (1, 2, 3)
 
@@ -82,6 +84,42 @@ def propagate_taint(tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> D
     )
 
 
+def bind_memory(writes: DataFrame, recalls: DataFrame) -> DataFrame:
+    """(id, ts, task_id, write_id) per recall that finds something: the newest write of its cell (case_id, key) before it."""
+    written = writes.select("case_id", "key", "ts", "id", F.lit(None).cast("string").alias("_task"), F.lit(0).alias("_kind"))
+    asked = recalls.select("case_id", "key", "ts", "id", F.col("task_id").alias("_task"), F.lit(1).alias("_kind"))
+    newest = F.when(F.col("_kind") == 0, F.struct("ts", "id"))
+    bound = running(written.unionByName(asked), ["case_id", "key"], ["ts", "id", "_kind"], {"_newest": ("max", newest)})
+    found = bound.where((F.col("_kind") == 1) & F.col("_newest").isNotNull())
+    return found.select("id", "ts", F.col("_task").alias("task_id"), F.col("_newest.id").alias("write_id"))
+
+
+def memory_labels(tasks: DataFrame, closure: DataFrame, reads: DataFrame, writes: DataFrame, recalls: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Labels that travel through memory: a write stores the level of its task, a later recall of the cell raises the reader with it.
+
+    Reads: id, ts, task_id, label. Writes and recalls: id, ts, task_id, case_id, key; all of them executed. Which write a recall sees
+    does not depend on labels and is bound once. Then levels and labels are raised in turn, for all tasks and cells at once, until a
+    round changes nothing: labels only grow and come from strictly earlier moments, so the least fixpoint is the sequential answer.
+    Rounds: one more than the writes on the longest chain of write and recall along which a level rises.
+
+    Returns the writes (id, ts, task_id, level), all reads with those of memory (id, ts, task_id, label), and the number of rounds.
+    """
+    closure = cut_lineage(closure)
+    reads = cut_lineage(reads.select("id", "ts", "task_id", F.coalesce("label", F.lit(CONFIDENTIAL)).cast("int").alias("label")))
+    moments = cut_lineage(writes.select("id", "ts", "task_id"))
+    bound = cut_lineage(bind_memory(writes, recalls))
+    every, rounds, before = reads, 0, 0
+    while True:
+        rounds += 1
+        stored = cut_lineage(tree_levels(moments, tasks, closure, every))
+        total = stored.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
+        if total == before:
+            return stored, every, rounds
+        before = total
+        labels = stored.where("level > 0").select(F.col("id").alias("write_id"), F.col("level").alias("label"))
+        every = reads.unionByName(bound.join(labels, "write_id").select("id", "ts", "task_id", F.col("label").cast("int").alias("label")))
+
+
 def flow_violations(calls_with_level: DataFrame) -> DataFrame:
     """Writes whose task carries more than the sink may receive (columns: level, clearance, writes)."""
     return calls_with_level.where(F.col("writes") & (F.col("level") > F.col("clearance")))

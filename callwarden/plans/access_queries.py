@@ -257,6 +257,44 @@ def authorize_calls(spark, sf_dir):
                       F.array_join(F.transform("findings", lambda f: f["rule_id"]), ",").alias("rules"))
 
 
+_CONTENT = """
+content AS (SELECT *, CASE WHEN len(early) > 0 THEN early ELSE list_filter([
+    CASE WHEN tool = 'code.run' AND body LIKE 'os.system%' THEN 'ATK-EXEC-001' END,
+    CASE WHEN body LIKE '%; drop table t%' THEN 'ATK-SQLI-001' END,
+    CASE WHEN body LIKE 'key AKIA%' THEN 'SEC-001' END,
+    CASE WHEN clearance < 2 AND body LIKE 'card %' THEN 'PII-001' END,
+    CASE WHEN level > clearance THEN 'IFC-001' END], lambda x: x IS NOT NULL AND writes) END AS found FROM leveled)"""
+
+
+@query("grant_requests", with_views(f"""
+WITH RECURSIVE {_GUARD.strip()}, {_CHECKED.strip()}, {_CONTENT.strip()},
+gated AS (SELECT id, ts, task_id, tool, left(body, 4) AS args FROM content WHERE tool = 'http.post' AND (len(found) = 0 OR found = ['PII-001'])),
+verdicts AS (SELECT id AS request_id, CASE WHEN tokens % 5 = 0 THEN 'deny' ELSE 'approve' END AS verdict, ts + (tokens % 6) * INTERVAL 1 DAY AS due FROM requests WHERE tokens % 7 <> 0),
+later AS (SELECT g.id, arg_min(n.id, struct_pack(a := n.ts, b := n.id)) AS id2 FROM gated g JOIN gated n ON n.task_id = g.task_id AND n.args = g.args
+          AND (n.ts > g.ts OR (n.ts = g.ts AND n.id > g.id)) GROUP BY g.id),
+met AS (SELECT g.id, any_value(v.verdict) AS verdict, any_value(v.due) AS due, arg_min(n.id, struct_pack(a := n.ts, b := n.id)) AS id2, min(n.ts) AS ts2
+        FROM gated g JOIN verdicts v ON v.request_id = g.id JOIN gated n ON n.task_id = g.task_id AND n.args = g.args AND n.ts >= v.due
+        AND (n.ts > g.ts OR (n.ts = g.ts AND n.id > g.id)) GROUP BY g.id),
+steps AS (SELECT m.id, CASE WHEN verdict = 'approve' AND ts2 < due + INTERVAL 2 DAY THEN m.id2 END AS used,
+                 CASE WHEN verdict = 'approve' AND ts2 < due + INTERVAL 2 DAY THEN l.id2 ELSE m.id2 END AS id2 FROM met m LEFT JOIN later l ON l.id = m.id2),
+openers AS (SELECT arg_min(id, struct_pack(a := ts, b := id)) AS id FROM gated GROUP BY task_id, args
+            UNION ALL SELECT s.id2 FROM openers o JOIN steps s ON s.id = o.id WHERE s.id2 IS NOT NULL),
+requested AS (SELECT g.id, arg_max(o.id, struct_pack(a := h.ts, b := h.id)) AS request_id FROM gated g JOIN gated h ON h.task_id = g.task_id AND h.args = g.args
+              AND (h.ts < g.ts OR (h.ts = g.ts AND h.id <= g.id)) JOIN openers o ON o.id = h.id GROUP BY g.id),
+answered AS (SELECT c.id, c.tool, q.request_id, CASE WHEN q.id IS NULL THEN found WHEN s.used = c.id THEN list_append(found, 'APPROVAL-OK') ELSE list_append(found, 'APPROVAL-001') END AS rules
+             FROM content c LEFT JOIN requested q ON q.id = c.id LEFT JOIN steps s ON s.id = q.request_id)
+SELECT id, tool, cast(request_id AS VARCHAR) AS request_id, CASE WHEN len(list_filter(rules, lambda x: x NOT IN ('APPROVAL-OK', 'PII-001'))) > 0 THEN 'BLOCK' WHEN list_contains(rules, 'PII-001')
+  AND NOT list_contains(rules, 'APPROVAL-001') THEN 'REDACT' ELSE 'ALLOW' END AS action, array_to_string(rules, ',') AS rules FROM answered""", *_CALL_VIEWS))
+def grant_requests(spark, sf_dir):
+    """One decision per call of the log, with requests that refused calls open and people answer."""
+    verdicts = view(spark, sf_dir, "requests").where("tokens % 7 <> 0").selectExpr(
+        "id AS request_id", "id AS seq", "CASE WHEN tokens % 5 = 0 THEN 'deny' ELSE 'approve' END AS verdict",
+        "ts + make_interval(0, 0, 0, cast(tokens % 6 AS int)) AS ts")
+    decided = Z.authorize(_checked_calls(spark, sf_dir)).withColumn("same", F.substring("body", 1, 4))
+    out = Z.grant_requests(decided.select("id", "ts", "task_id", "tool", "same", "findings", "decision"), verdicts, ["task_id", "tool", "same"], 172_800)
+    return out.select("id", "tool", "request_id", F.col("decision.action").alias("action"), F.array_join(F.transform("findings", lambda f: f["rule_id"]), ",").alias("rules"))
+
+
 @query("ancestry", with_views("SELECT task_id, ancestor_id, depth, via_id FROM closure", "closure"))
 def ancestry(spark, sf_dir):
     return tree.ancestry(view(spark, sf_dir, "tasks"))
@@ -276,6 +314,30 @@ def propagate_taint(spark, sf_dir):
     return flow.propagate_taint(tasks, tree.ancestry(tasks), view(spark, sf_dir, "reads"))
 
 
+@query("memory_labels", with_views("""
+WITH RECURSIVE cells AS (SELECT id, ts, task_id, channel, tool, concat('case', cast(tokens % 3 AS string)) AS case_id, concat('k', cast(tokens % 40 AS string)) AS key FROM calls),
+writes AS (SELECT * FROM cells WHERE tool = 'notes.write'), recalls AS (SELECT * FROM cells WHERE channel = 'model'),
+bound AS (SELECT r.id, any_value(r.ts) AS ts, any_value(r.task_id) AS task_id, arg_max(w.id, struct_pack(a := w.ts, b := w.id)) AS write_id
+  FROM recalls r JOIN writes w ON w.case_id = r.case_id AND w.key = r.key AND (w.ts < r.ts OR (w.ts = r.ts AND w.id < r.id)) GROUP BY r.id),
+facts AS (
+  SELECT c.ancestor_id AS task_id, r.ts, r.id, coalesce(r.label, 2) AS label FROM reads r JOIN closure c ON c.task_id = r.task_id WHERE coalesce(r.label, 2) > 0
+  UNION
+  SELECT c.ancestor_id, b.ts, b.id, f.label FROM facts f
+  JOIN closure u ON u.ancestor_id = f.task_id LEFT JOIN tasks v ON v.id = u.via_id
+  JOIN writes w ON w.task_id = u.task_id AND CASE WHEN u.depth = 0 THEN f.ts < w.ts OR (f.ts = w.ts AND f.id < w.id) ELSE f.ts < v.created_at END
+  JOIN bound b ON b.write_id = w.id JOIN closure c ON c.task_id = b.task_id)
+SELECT w.id, w.task_id, coalesce(max(f.label), 0) AS level FROM writes w JOIN closure u ON u.task_id = w.task_id LEFT JOIN tasks v ON v.id = u.via_id
+LEFT JOIN facts f ON f.task_id = u.ancestor_id AND CASE WHEN u.depth = 0 THEN f.ts < w.ts OR (f.ts = w.ts AND f.id < w.id) ELSE f.ts < v.created_at END
+GROUP BY w.id, w.task_id""", "calls", "reads", "tasks", "closure"))
+def memory_labels(spark, sf_dir):
+    """Level that each memory entry stores, with levels that came through other entries."""
+    cells = view(spark, sf_dir, "calls").selectExpr("id", "ts", "task_id", "channel", "tool", "concat('case', cast(tokens % 3 AS string)) AS case_id",
+                                                    "concat('k', cast(tokens % 40 AS string)) AS key")
+    tasks = view(spark, sf_dir, "tasks")
+    stored, _, _ = flow.memory_labels(tasks, tree.ancestry(tasks), view(spark, sf_dir, "reads"), cells.where("tool = 'notes.write'"), cells.where("channel = 'model'"))
+    return stored.select("id", "task_id", "level")
+
+
 @query("check_delegations", with_views("""
 WITH links AS (SELECT task_id AS id, count(*) AS links FROM closure GROUP BY 1),
 j AS (SELECT c.id, c.parent_id, l.links, list_filter(c.tools, lambda t: NOT list_contains(p.tools, t)) AS extra,

@@ -1,12 +1,13 @@
 """Decisions on single calls, levels over the tree, deep and looping delegation chains, limits of reports."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from callwarden.functions.globs import glob_regexes
 from callwarden.operators import authorize as Z
-from callwarden.operators import flow, reporting, tree
+from callwarden.operators import access, flow, reporting, tree
 
 START = dt.datetime(2024, 1, 1)
 ALL = ["doc.read", "notes.write", "mail.send", "http.post", "code.run", "memory.write"]
@@ -69,6 +70,78 @@ def test_levels_come_from_the_tree(spark):
     assert got == {1: 0, 2: 2, 3: 2, 4: 2, 8: 2, 9: 3, 10: 0}
 
 
+def test_labels_travel_through_memory(spark):
+    """Against a replay in time order, on a chain of writes and recalls and on random logs."""
+    rng = random.Random(4)
+    at = [START + dt.timedelta(minutes=m) for m in range(400)]
+    parent = {"a": None, "b": None, "c": None, "a1": "a", "a2": "a1", "b1": "b"}
+    born = {t: at[rng.randrange(3, 40)] if p else at[0] for t, p in parent.items()}
+    ops = [(0, at[1], "c", "read", 3, ""), (1, at[2], "c", "write", None, "k0")]
+    for i in range(8):  # c -> a -> b -> a ...: each recall raises the next writer
+        ops += [(10 + 2 * i, at[3 + 2 * i], "ab"[i % 2], "recall", None, f"k{i}"), (11 + 2 * i, at[4 + 2 * i], "ab"[i % 2], "write", None, f"k{i + 1}")]
+    ops += [(100 + i, at[50 + rng.randrange(300)], rng.choice(list(parent)), rng.choice(["write", "recall", "recall", "read"]), rng.choice([None, 0, 1, 2, 3]), rng.choice("xyz"))
+            for i in range(200)]
+    for chosen in (ops[:18], ops):
+        level, cells, wrote, labels = {}, {}, {}, {}
+        for i, ts, task, kind, label, key in sorted(chosen, key=lambda o: (o[1], o[0])):
+            for t in sorted((t for t in parent if t not in level and born[t] <= ts), key=lambda t: born[t]):
+                level[t] = level.get(parent[t], 0)
+            got = None
+            if kind == "read":
+                got = 2 if label is None else label
+            elif kind == "recall" and key in cells:
+                got = cells[key]
+            elif kind == "write":
+                cells[key] = wrote[i] = level.get(task, 0)
+            if got is not None:
+                labels[i] = got
+                while task:
+                    level[task] = max(level.get(task, level.get(parent[task], 0)), got)
+                    task = parent[task]
+
+        def frame(kind):
+            return spark.createDataFrame([(i, ts, t, "case", k, label) for i, ts, t, o, label, k in chosen if o == kind],
+                                         "id long, ts timestamp_ntz, task_id string, case_id string, key string, label int")
+
+        tasks = spark.createDataFrame([(t, p, born[t]) for t, p in parent.items()], "id string, parent_id string, created_at timestamp_ntz")
+        stored, every, rounds = flow.memory_labels(tasks, tree.ancestry(tasks), frame("read"), frame("write"), frame("recall"))
+        assert {r.id: r.level for r in stored.collect()} == wrote and rounds <= 12
+        assert {r.id: r.label for r in every.collect() if r.label} == {i: v for i, v in labels.items() if v}
+
+
+def test_requests_open_and_answer_in_time_order(spark):
+    seen = set()
+    for span, seed in ((60, 1), (60, 2), (3000, 3)):
+        rng = random.Random(seed)
+        calls = [(i, START + dt.timedelta(seconds=rng.randrange(span)), rng.choice("xxy")) for i in range(150)]
+        verdicts = [(i, n, rng.choice(["approve", "approve", "deny"]), ts + dt.timedelta(seconds=rng.choice([0, 0, 5, 40, 200]))) for i, ts, _ in calls if i % 6
+                    for n in range(rng.randrange(1, 3))]
+        first = {}
+        for r, n, verdict, ts in verdicts:
+            first.setdefault(r, (verdict, ts))
+        want, pending, approved = {}, {}, {}
+        for i, ts, k in sorted(calls, key=lambda c: (c[1], c[0])):
+            if k in pending and pending[k] in first and first[pending[k]][1] <= ts:
+                verdict, when = first[pending[k]]
+                if verdict == "approve":
+                    approved[k] = (pending[k], when)
+                del pending[k]
+            if k in approved and (ts - approved[k][1]).total_seconds() < 100:
+                want[i] = (approved.pop(k)[0], False, "APPROVAL-OK")
+                continue
+            approved.pop(k, None)
+            opened = k not in pending
+            pending.setdefault(k, i)
+            want[i] = (pending[k], opened, "APPROVAL-001")
+        c = spark.createDataFrame(calls, "id int, ts timestamp_ntz, k string")
+        v = spark.createDataFrame(verdicts, "request_id int, seq int, verdict string, ts timestamp_ntz")
+        got = {r.id: (r.request_id, r.opened, r.rule_id) for r in access.request_approvals(c, v, ["k"], 100).collect()}
+        assert got == want
+        seen |= {w[2] for w in want.values()}
+    assert seen == {"APPROVAL-OK", "APPROVAL-001"}
+    assert access.request_approvals(c.limit(0), v, ["k"], 100).count() == 0
+
+
 def test_refused_reads_taint_nobody(spark):
     rows = [(1, "doc.read", "/public/a", []), (2, "doc.read", "/secret/a", [])]
     checked = spark.createDataFrame(rows, "id int, tool string, path string, none array<string>").withColumns({
