@@ -115,7 +115,7 @@ def authorize(checked: DataFrame, controls: C.Controls = C.BALANCED, feed: list[
     return S.stage(work, decision=decide(F.col("findings")))
 
 
-def grant_requests(decided: DataFrame, verdicts: DataFrame, keys: list[str], ttl_seconds: int = P.APPROVAL_TTL) -> DataFrame:
+def grant_requests(decided: DataFrame, verdicts: DataFrame, keys: list[str], ttl_seconds: int = P.APPROVAL_TTL_SECONDS) -> DataFrame:
     """Decisions after people have answered the requests that refused calls opened (``access.request_approvals``).
 
     Input: ``authorize`` without approvals, with the columns ``keys`` that make two calls the same. Calls that were not refused for

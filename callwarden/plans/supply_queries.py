@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from callwarden.operators import content as C
 from callwarden.operators import documents as G
 from callwarden.operators import supply as U
+from callwarden.plans.content_queries import _JUDGED, _VARIANTS, _holds_pii
 from callwarden.plans.registry import query
 from callwarden.plans.views import view
 
@@ -182,11 +182,16 @@ def analysis_text(spark, sf_dir):
     return view(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5(G.analysis_text(F.col("text"), kept)).alias("digest"))
 
 
-@query("locate_findings", """
-SELECT doc_id AS id, 'hidden text (w:vanish)' AS part, '' AS rules FROM documents
-UNION ALL SELECT doc_id, 'comment by Ann', 'SEC-001' FROM documents
+@query("locate_findings", f"""
+WITH corpus AS (SELECT doc_id, source, text FROM documents), {_VARIANTS.strip()}, {_JUDGED.strip()}
+SELECT doc_id AS id, 'body' AS part, array_to_string(list_sort(list_distinct(list_concat(sigs, list_filter([CASE WHEN sec THEN 'SEC-001' END, CASE WHEN pii THEN 'PII-001' END,
+  CASE WHEN inj THEN 'INJ-001' END], lambda x: x IS NOT NULL)))), ',') AS rules FROM judged
+UNION ALL SELECT doc_id AS id, 'hidden text (w:vanish)' AS part, '' AS rules FROM documents
+UNION ALL SELECT doc_id, 'comment by Ann', CASE WHEN {_holds_pii("note")} THEN 'PII-001,SEC-001' ELSE 'SEC-001' END
+  FROM (SELECT doc_id, 'key AKIA' || lpad(cast(doc_id AS string), 16, '0') AS note FROM documents)
 UNION ALL SELECT doc_id, 'document properties: subject', '' FROM documents
 UNION ALL SELECT doc_id, 'external attachedTemplate', '' FROM documents WHERE doc_id % 3 = 0""")
 def locate_findings(spark, sf_dir):
-    out = G.locate_findings(G.extract_ooxml(_office(spark, sf_dir)), C.BALANCED.but(entities=["EMAIL"]))
-    return out.where(F.col("pos") > 0).select("id", "part", F.array_join("rules", ",").alias("rules"))
+    """Rules that fire in the body and in each hidden part of every document."""
+    out = G.locate_findings(G.extract_ooxml(_office(spark, sf_dir)))
+    return out.select("id", "part", F.array_join("rules", ",").alias("rules"))

@@ -24,8 +24,6 @@ INTERNAL_DOMAINS = ["lawfirm.example"]
 PROVIDER_SINKS = {"mock": "llm:local"}
 MODEL_ALLOW = ["mock/echo", "main/*"]
 APPROVAL_TOOLS = ["http.post"]
-#: Seconds an approval can be used after it was given.
-APPROVAL_TTL = 900
 APPROVAL_TTL_SECONDS = 900
 
 # tool -> which arguments carry content, which argument names a resource or a recipient, and what the tool does
