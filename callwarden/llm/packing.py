@@ -22,28 +22,38 @@ from callwarden.llm.common import documents, prefix_sums, slices, store
 
 CAPACITY = 4096
 END = 2
-_KNOWN = 450_000
+#: Words a worker keeps, and words it remembers to have seen once.
+_KNOWN = 300_000
+_ONCE = 700_000
 _TAIL = b".,!?;:"
 _TOKENS = "doc_id long, doc_tokens long, rest int, crcs array<long>"
 
 
 class _Words(dict):
-    """Ids of words (as little-endian bytes). A word is what stands between ASCII white space: no token spans that."""
+    """Ids of words (as little-endian bytes). A word is what stands between ASCII white space: no token spans that.
+
+    The table keeps words that several slices held and is never emptied, so common words are learned once a worker; the others live as
+    long as their slice (``local``). ``once`` holds hashes of words that one slice has held.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.local: dict[bytes, bytes] = {}
+        self.once: set[int] = set()
         marks = sorted((i, token.endswith("</w>")) for token, i in tokenizer.get_vocab().items())
         self.closes = np.zeros(marks[-1][0] + 1, bool)
         self.closes[[i for i, end in marks if end]] = True
 
+    def __missing__(self, word: bytes) -> bytes:
+        return self.local[word]
+
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > _KNOWN:
-            self.clear()
+        local: dict[bytes, bytes] = {}
         new = [w for w in words if w not in self]
         # letters and the punctuation behind them are tokenized apart
         cores = {w: w.rstrip(_TAIL) for w in new}
-        pieces = {c for c in cores.values() if c and c not in self} | {w[len(c):] for w, c in cores.items() if c and len(c) < len(w)}
+        pieces = {c for c in cores.values() if c and c not in self} | {t for w, c in cores.items() if c and len(c) < len(w) and (t := w[len(c):]) not in self}
         plain, others = [], []
         for piece in pieces:
             text = piece.decode("utf-8", "surrogatepass")
@@ -55,16 +65,24 @@ class _Words(dict):
             if len(ends) != len(part) or ends[-1] != len(ids):  # a letter that normalization takes apart
                 others += part
                 continue
-            for (piece, _), lo, hi in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self[piece] = ids[lo:hi].tobytes()
+            data, stops = ids.tobytes(), (4 * ends).tolist()
+            for (piece, _), lo, hi in zip(part, [0, *stops[:-1]], stops, strict=True):
+                local[piece] = data[lo:hi]
         for (piece, _), got in zip(others, self.tokenizer.encode_batch([t for _, t in others], add_special_tokens=False), strict=True):
-            self[piece] = np.array(got.ids, "<u4").tobytes()
-        whole = [w for w in new if w not in self and not (cores[w] and cores[w][-1:].isalpha())]
+            local[piece] = np.array(got.ids, "<u4").tobytes()
+        self.local = local
+        whole = [w for w in new if w not in local and not (cores[w] and cores[w][-1:].isalpha())]
         for word, got in zip(whole, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in whole], add_special_tokens=False), strict=True):
-            self[word] = np.array(got.ids, "<u4").tobytes()
+            local[word] = np.array(got.ids, "<u4").tobytes()
         for word in new:
-            if word not in self:
-                self[word] = self[cores[word]] + self[word[len(cores[word]):]]
+            if word not in local:
+                local[word] = self[cores[word]] + self[word[len(cores[word]):]]
+        if len(self) < _KNOWN:
+            seen = {hash(w): w for w in local}
+            self.update({w: local[w] for h, w in seen.items() if h in self.once})
+            if len(self.once) > _ONCE:
+                self.once.clear()
+            self.once.update(seen)
 
 
 @cache

@@ -11,6 +11,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from callwarden.llm.common import crc_bucket, documents, store
 
-#: Labelled texts of each class that are learned from, at most; lexicon entries, at most.
+#: Labelled texts of each class that are learned from, at most.
 SAMPLE = 8000
-ENTRIES = 2000
+#: Expected number of lexicon entries that stand in toxic texts by chance.
+CHANCE = 0.05
 STEM = (4, 6)
 WINDOW = 12
 THRESHOLD = 0.3
@@ -35,6 +37,8 @@ _QUOTES = "\"'«»‘’‚‛“”„‹›`"
 #: Words that report speech, in the languages served.
 REPORT = frozenset("said says quoted quote called wrote reported sagte sagt schrieb zitat dijo dice escribió cita dit disait écrit citation".split())
 FEATURES = ["exact", "fuzzy", "quoted", "dense", "share"]
+#: Features that never make a text less toxic.
+_RISING = (0, 1, 3, 4)
 
 
 def errors_allowed(length: int, stem: bool) -> int:
@@ -154,19 +158,25 @@ def _features(text: str, hits: dict[str, int], find) -> list[float]:
     return [math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(dense), min(1.0, 20 * (exact + fuzzy) / max(total, 1))]
 
 
-def _finder(model: Model):
-    automaton = Automaton(model.words, model.stems)
+@lru_cache(maxsize=2)
+def _shared_finder(words: tuple[str, ...], stems: tuple[str, ...], harmless: frozenset[str]):
+    """One automaton and one table of judged words for all tasks of a Python worker. A full table is kept: it holds the common words."""
+    automaton = Automaton(list(words), list(stems))
     hits: dict[str, int] = {}
 
     def find(word: str) -> int:
-        if len(hits) > _KNOWN:
-            hits.clear()
         kind = automaton.match(word)
-        hits[word] = kind = 0 if kind == 1 and word in model.harmless else kind
+        kind = 0 if kind == 1 and word in harmless else kind
+        if len(hits) < _KNOWN:
+            hits[word] = kind
         return kind
     return hits, find
 
 
+def _finder(model: Model):
+    return _shared_finder(tuple(model.words), tuple(model.stems), frozenset(model.harmless))
+
+
 def _score(model: Model, raw: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits, find = _finder(model)
@@ -205,35 +215,60 @@ def _near_misses(model: Model):
 
 
 def _fit(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; a row counts ``times``."""
+    """Ridge logistic regression by Newton steps; a row counts ``times``. Hits may not lower a score: such weights are 0, the others refitted."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3, *[0.05] * (x.shape[1] - 1)])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (times * (p - y)) + ridge @ w)
-    return w
-
-
-def _lexicon(terms: DataFrame, positives: int, negatives: int, entries: int) -> tuple[list[str], list[str]]:
-    """Entries that toxic texts hold far more often than clean ones; a word that a shorter stem covers is left out."""
-    least = max(3, round(positives * 0.001))
+    used = list(range(x.shape[1]))
+    while True:
+        part, w = x[:, used], np.zeros(len(used))
+        ridge = np.diag([1e-3, *[0.05] * (len(used) - 1)])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            w = w - np.linalg.solve((part * (times * p * (1 - p))[:, None]).T @ part + ridge, part.T @ (times * (p - y)) + ridge @ w)
+        falling = [c for c, v in zip(used, w, strict=True) if c - 1 in _RISING and v < 0]
+        if not falling:
+            out = np.zeros(x.shape[1])
+            out[used] = w
+            return out
+        used = [c for c in used if c not in falling]
+
+
+def _lexicon(terms: DataFrame, positives: int, negatives: int) -> tuple[list[str], list[str]]:
+    """Entries that toxic texts hold far more often than clean ones, and not by chance.
+
+    A term that ignores the classes reaches its share of toxic texts with probability exp(-n KL(share, base)) at most; entries are the
+    terms for which this bound times the number of terms is below ``CHANCE``. A stem must stand in clearly more texts than its best word;
+    a word is left out if a stem covers it and allows as many errors. There are no more entries than the bounded sample supports.
+    """
+    base = F.lit(positives / max(positives + negatives, 1))
+    n, q = F.col("pos") + F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
+    unlikely = F.col("pos") * F.log(q / base) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - q) / (1 - base))).otherwise(0.0)
     rate = F.col("neg") / max(negatives, 1) * max(positives, 1)
-    good = terms.where((F.col("pos") >= least) & (rate <= F.col("pos") * 0.02))
-    rows = good.orderBy(F.desc("pos"), F.length("term"), "term").limit(20 * entries).collect()
-    # a stem needs several words behind it: as a whole word it would be as good
+    needed = math.log(max(terms.count(), 1) / CHANCE)
+    rows = terms.where((n > 0) & (q > base) & (rate <= F.col("pos") * 0.02) & (unlikely >= needed)).collect()
+    counts = {r["term"]: r["pos"] for r in sorted(rows, key=lambda r: r["term"])}
+    words = [t for t in counts if not t.endswith("*") and len(t) >= 3]
+    best: dict[str, int] = {}
+    for w in words:
+        for k in range(STEM[0], STEM[1] + 1):
+            best[w[:k]] = max(best.get(w[:k], 0), counts[w])
     stems: list[str] = []
-    counts = {r["term"]: r["pos"] for r in rows}
     for term in sorted((t for t in counts if t.endswith("*")), key=lambda t: (len(t), t)):
         body = term[:-1]
-        if counts[term] >= 2 * least and not any(body.startswith(s) for s in stems):
+        if counts[term] >= 1.2 * best.get(body, 0) and not any(body.startswith(s) for s in stems):
             stems.append(body)
-    words = [t for t in counts if not t.endswith("*") and len(t) >= 3]
-    return words[:entries], stems[:entries]
+    covered = {w for w in words for s in stems if w.startswith(s) and errors_allowed(len(w), False) <= errors_allowed(len(s), True)}
+    return [w for w in words if w not in covered], stems
+
+
+def _one_of_copies(rows: DataFrame) -> DataFrame:
+    """One text of those that share the least hash of four words in a row; near copies mostly do, other texts do not."""
+    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 4, F.lit(0))), lambda i: F.xxhash64(F.slice("_w", i + 1, F.lit(4))))
+    return rows.withColumn("_w", words).groupBy("toxic", F.array_min(hashes).alias("_h")).agg(F.min("text").alias("text")).select("toxic", "text")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
-    """Fit on about ``sample`` labelled texts of each class at most, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit on about ``sample`` labelled texts of each class at most, chosen by a hash of the id. The lexicon counts copies and near copies once.
 
     In the regression a text counts for all those of its class that it was drawn from, so a score is a probability at the share of
     toxic texts in ``labels``, however large they are.
@@ -246,13 +281,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
     chosen = documents(docs).join(F.broadcast(drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id").select("toxic", "text")
     chosen = store(chosen, "toxic-sample")
     learn = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(10)) < LEARN
-    lexical, fitting = chosen.where(learn), chosen.where(~learn)
+    lexical, fitting = _one_of_copies(chosen.where(learn)), chosen.where(~learn)
     terms = store(lexical.mapInArrow(_terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-terms")
     n = {r["toxic"]: r["count"] for r in lexical.groupBy("toxic").count().collect()}
-    words, stems = _lexicon(terms, n.get(1, 0), n.get(0, 0), entries)
+    words, stems = _lexicon(terms, n.get(1, 0), n.get(0, 0))
     model = Model(words, stems, set(), np.zeros(len(FEATURES) + 1))
     clean = terms.where("neg > 0").where(~F.col("term").endswith("*")).select("term")
-    model.harmless = {r["word"] for r in clean.mapInArrow(_near_misses(model), "word string").orderBy("word").limit(50 * entries).collect()}
+    model.harmless = {r["word"] for r in clean.mapInArrow(_near_misses(model), "word string").collect()}
     schema = "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)
     rows = np.array([list(r) for r in fitting.mapInArrow(_score(model, True), schema).collect()], float).reshape(-1, len(FEATURES) + 1)
     if len(rows) and 0 < rows[:, 0].sum() < len(rows):
