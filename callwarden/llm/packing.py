@@ -23,8 +23,8 @@ from callwarden.llm.common import documents, prefix_sums, slices, store
 CAPACITY = 4096
 END = 2
 #: Words a worker keeps, and words it remembers to have seen once.
-_KNOWN = 300_000
-_ONCE = 700_000
+_KNOWN = 200_000
+_ONCE = 250_000
 _TAIL = b".,!?;:"
 _TOKENS = "doc_id long, doc_tokens long, rest int, crcs array<long>"
 

@@ -30,7 +30,7 @@ WINDOW = 12
 THRESHOLD = 0.3
 #: Tenths of the sample that the lexicon is learned from; the weights are fitted on the others, whose words it has not seen.
 LEARN = 6
-_KNOWN = 200_000
+_KNOWN = 60_000
 _STATES = 50_000
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = "\"'«»‘’‚‛“”„‹›`"
@@ -158,7 +158,7 @@ def _features(text: str, hits: dict[str, int], find) -> list[float]:
     return [math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(dense), min(1.0, 20 * (exact + fuzzy) / max(total, 1))]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _shared_finder(words: tuple[str, ...], stems: tuple[str, ...], harmless: frozenset[str]):
     """One automaton and one table of judged words for all tasks of a Python worker. A full table is kept: it holds the common words."""
     automaton = Automaton(list(words), list(stems))
