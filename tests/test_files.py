@@ -51,6 +51,42 @@ def test_pickle_imports_by_bytes(spark):
     assert got[6] == [] and got[7] == ["os.system", supply.MALFORMED] and got[8] == [supply.MALFORMED]
 
 
+def test_pickle_imports_cannot_be_hidden(spark):
+    import collections
+    import pickletools
+    import random
+
+    def text(s):
+        return b"\x8c" + bytes([len(s)]) + s.encode()
+
+    def old(s):
+        return b"U" + bytes([len(s)]) + s.encode()
+
+    hidden = [
+        b"\x80\x04" + text("os") + b"N0" + text("system") + b"\x93.",  # something pushed and popped between the names
+        b"\x80\x04" + old("os") + old("system") + b"\x93.",
+        b"\x80\x04" + text("os") + b"\x94" + text("system") + b"\x940" + b"0" + text("a") + b"0" + text("b") + b"0" + b"h\x00h\x01\x93.",  # names from the memo
+        b"\x80\x04(" + text("x") + b"l0" + text("os") + text("system") + b"\x93.",
+        b"\x80\x04N." + b"\x80\x04" + text("os") + text("system") + b"\x93.",  # a second stream
+        b"(" + b"ios\nsystem\n.",
+    ]
+    harmless = [b"\x80\x04" + text("cos\nsystem\n") + b".", pickle.dumps({"os": "system"}), pickle.dumps(["os", "system", 2.5, b"cos\nsystem\n"])]
+    files = [(i, f"{i}.bin", data) for i, data in enumerate(hidden + harmless)]
+    got = {r["id"]: r["imports"] for r in supply.pickle_imports(spark.createDataFrame(files, "id long, name string, content binary")).collect()}
+    assert all("os.system" in got[i] and supply.MALFORMED not in got[i] for i in range(len(hidden))), got
+    assert all(got[len(hidden) + i] == [] for i in range(len(harmless))), got
+    rng = random.Random(2)
+    kinds = [collections.OrderedDict, collections.Counter, len, complex(1, 2), {"a": {1, 2}}, [b"x", "y"], (1, None)]
+    for protocol in range(6):
+        value = [rng.choice(kinds) for _ in range(30)]
+        data = pickle.dumps(value, protocol=protocol)
+        want = {f"{'__builtin__' if protocol < 3 and m == 'builtins' else m}.{n}" for m, n in
+                ((getattr(v, "__module__", "builtins") or "builtins", getattr(v, "__name__", "")) for v in value if v in kinds[:3])}
+        assert want <= set(supply.imports_of(data)) and supply.MALFORMED not in supply.imports_of(data)
+        cut = supply.imports_of(data[:-1])
+        assert cut[-1] == supply.MALFORMED and len(list(pickletools.genops(data))) > 1
+
+
 def test_breaker_leaves_synthetic_tasks_alone(spark):
     calls = spark.range(20).select("id", F.expr("timestamp_seconds(1700000000 + id)").alias("ts"), F.concat(F.lit("t"), (F.col("id") % 2).cast("string")).alias("task_id"),
                                    F.lit("BLOCK").alias("action"), F.lit(True).alias("blocked"), (F.col("id") % 2 == 0).alias("synthetic"))
