@@ -35,7 +35,7 @@ def test_link_parts_match_the_pattern(spark):
     pieces = ["![", "]", "](", "](https://x.example/?q)", "https://x.example/?q)", "https://x.example/q)", "w", " ", "[", "\n"]
     chats = {c: ["".join(rng.choices(pieces, k=rng.randrange(4))) for _ in range(6)] for c in range(1500)}
     rows = [(c, 6, i, t) for c, chat in chats.items() for i, t in enumerate(chat)]
-    got = V._split_links(spark.createDataFrame(rows, "conv_id long, messages long, turn int, sanitized string"), 2)
+    got = V._split_links(spark.createDataFrame(rows, "conv_id long, messages long, turn int, sanitized string"))
     alone = {c for c, chat in chats.items() if any(re.search(P.INJECTION["MARKDOWN_EXFIL"], t) for t in chat)}
     want = {c for c, chat in chats.items() if re.search(P.INJECTION["MARKDOWN_EXFIL"], " ".join(chat))}
     found = {r.conv_id for r in got.collect()}
