@@ -51,7 +51,7 @@ class Rule:
     """One pattern and its cheap necessary conditions.
 
     ``stems``: one of these keywords occurs; ``words``: groups of literals, one per group occurs; ``digit``: a digit
-    occurs; ``applies``: an SQL condition on the row.
+    occurs; ``applies``: an SQL condition on the row; ``needs``: an SQL condition on the case-folded text.
     """
 
     name: str
@@ -62,6 +62,7 @@ class Rule:
     words: list[list[str]] = field(default_factory=list)
     digit: bool = False
     applies: str | None = None
+    needs: str | None = None
 
 
 def sql_text(value: str) -> str:
@@ -129,6 +130,8 @@ def matched(text: str, rules: list[Rule], found: str | None = None, digit: str |
             tests.append(f"arrays_overlap({found}, {sql_array(rule.stems)})")
         if rule.digit and digit:
             tests.append(digit)
+        if rule.needs:
+            tests.append(rule.needs)
         tests += ["(" + " OR ".join(f"contains({text}, {sql_text(w)})" for w in ws) + ")" for ws in rule.words]
         tests.append(f"rlike({text}, {sql_text(rule.pattern)})")
         entry = (f"named_struct('name', {sql_text(rule.name)}, 'pattern', {sql_text(rule.pattern)}, "

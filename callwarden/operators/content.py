@@ -140,6 +140,7 @@ def scan(
     Narrow: one pass per row, no shuffle. The stages are separate projections because each result feeds
     several later ones; Catalyst keeps such projections apart, so nothing is evaluated twice.
     """
+    shared = target if isinstance(target, str) else None
     target = _col(target)
     tool = F.lit(None).cast("string") if tool is None else tool
     inbound = target.isin(D.INBOUND) if inbound is None else inbound
@@ -152,7 +153,7 @@ def scan(
 
     work = S.stage(df, _text=F.coalesce(F.col(text), F.lit("")), _target=target, _tool=tool, _in=F.coalesce(inbound, F.lit(False)))
     work = S.stage(work, _fold=S.fold_case(t), _digit=S.has_digit(t))
-    work = S.stage(work, _kw=S.keywords(F.col("_fold"))).drop("_fold")
+    work = S.stage(work, _kw=S.keywords(F.col("_fold")))
     no_rules = f"cast(array() AS {S.MATCHED_TYPE})"
     no_names = f"cast(array() AS {D.STRINGS})"
     base = [*kept, "_text", "_in", "_kw"]
@@ -162,13 +163,13 @@ def scan(
     else:
         work = S.stage(work, **{v: nothing for v in VARIANTS})
         plain_rules = F.expr(no_rules)
-    signatures = D.signature_rules(SIGNATURES if feed is None else feed, "_target", "_tool") if "signatures" in parts else []
+    known = (SIGNATURES if feed is None else feed) if "signatures" in parts else []
     work = S.stage(
         work, [*base, *VARIANTS],
         _inj=plain_rules,
         _pii=F.expr(S.matched("_text", D.pii_rules(entities) if "pii" in parts else [], "_kw", "_digit")),
         _sec=F.expr(S.matched("_text", D.secret_rules() if "secrets" in parts else [], "_kw", "_digit")),
-        _sig=F.expr(S.matched("_text", signatures)),
+        _sig=D.matched_signatures("_text", "_fold", "_target", "_tool", known, shared),
     )
     work = S.stage(work, _plain=F.transform(F.col("_inj"), lambda r: r["name"]))
     rewritten = F.array_except(F.concat("_v1", "_v2", "_v3"), F.col("_plain"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callwarden.functions import spans as S
 from callwarden.functions.checksums import VALIDATORS
+from callwarden.functions.literals import LiteralIndex, clause, needs, sql_test
 from callwarden.functions.spans import Rule
 from callwarden.rules import patterns as P
 from callwarden.rules.feed import TARGETS
@@ -127,22 +129,58 @@ def injection_spans(text: Column, matched: Column, hidden: Column) -> Column:
 # ---------------------------------------------------------------- signatures
 
 
-def signature_rules(feed: list[dict], target: str, tool: str) -> list[Rule]:
-    """One rule per regex matcher of the feed, in feed order, restricted to its targets and tools.
+#: Up to this many patterns become expressions of the plan; more are looked up in an index of their literals.
+INLINE = 200
 
-    The feed is validated configuration of bounded size, so its patterns become literals: each compiles
-    once per task and no join is needed. Rule names carry the matcher's ordinal.
+
+def feed_patterns(feed: list[dict], target: str | None = None) -> list[dict]:
+    """The enabled regex matchers of a feed, in feed order; with a target only those that apply to it."""
+    return [r for r in feed if r["kind"] == "regex" and r.get("enabled") is not False
+            and (target is None or target in (r.get("targets") or TARGETS))]
+
+
+def feed_pattern(row: dict) -> str:
+    return java(row["pattern"], "s" + ("i" if "i" in (row.get("flags") or "") else ""))
+
+
+def matched_signatures(text: str, folded: str, target: str, tool: str, feed: list[dict], only: str | None = None) -> Column:
+    """The matchers of the feed that occur in the text and apply to its target and tool, in feed order.
+
+    ``only`` names the target if all rows share it. A matcher runs where the literals it needs occur. A feed of up to
+    ``INLINE`` matchers becomes literals of the plan; of a larger one a single pass of an automaton over the folded text picks the
+    matchers that are tried. Both give the same answer, without a shuffle.
     """
+    rows = feed_patterns(feed, only)
+    if len(rows) > INLINE:
+        picked = _picker(rows)(F.col(folded), F.col(target), F.col(tool))
+        return F.filter(picked, lambda r: F.rlike(F.col(text), r["pattern"]))
     rules = []
-    for row in feed:
-        if row["kind"] != "regex" or row.get("enabled") is False:
-            continue
-        flags = "s" + ("i" if "i" in (row.get("flags") or "") else "")
-        applies = f"array_contains({S.sql_array(row.get('targets') or TARGETS)}, {target})"
+    for row in rows:
+        applies = [] if only else [f"array_contains({S.sql_array(row.get('targets') or TARGETS)}, {target})"]
         if row.get("tools") is not None:
-            applies += f" AND coalesce(array_contains({S.sql_array(row['tools'])}, {tool}), false)"
-        rules.append(Rule(row["id"], java(row["pattern"], flags), row["id"], applies=applies))
-    return rules
+            applies.append(f"coalesce(array_contains({S.sql_array(row['tools'])}, {tool}), false)")
+        rules.append(Rule(row["id"], feed_pattern(row), row["id"], applies=" AND ".join(applies) or None,
+                          needs=sql_test(needs(row["pattern"], row.get("flags") or ""), folded)))
+    return F.expr(S.matched(text, rules))
+
+
+def _picker(rows: list[dict]):
+    """An Arrow function of (folded text, target, tool): the matchers whose literals occur. A task builds the index once."""
+    clauses = [clause(needs(r["pattern"], r.get("flags") or "")) for r in rows]
+    entries = [{"name": r["id"], "pattern": feed_pattern(r), "label": r["id"], "group": 0} for r in rows]
+    targets = [frozenset(r.get("targets") or TARGETS) for r in rows]
+    tools = [None if r.get("tools") is None else frozenset(r["tools"]) for r in rows]
+    kept: list[LiteralIndex] = []
+
+    @F.arrow_udf(S.MATCHED_TYPE)
+    def pick(folded: pa.Array, target: pa.Array, tool: pa.Array) -> pa.Array:
+        if not kept:
+            kept.append(LiteralIndex(clauses))
+        out = [[entries[i] for i in kept[0].candidates(f) if t in targets[i] and (tools[i] is None or u in tools[i])]
+               for f, t, u in zip(folded.to_pylist(), target.to_pylist(), tool.to_pylist(), strict=True)]
+        return pa.array(out, pa.list_(pa.struct([("name", pa.string()), ("pattern", pa.string()), ("label", pa.string()), ("group", pa.int32())])))
+
+    return pick
 
 
 def signature_hits(text: Column, matched: Column) -> Column:

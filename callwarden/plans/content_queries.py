@@ -192,12 +192,11 @@ _TOOL_SIGS = {n: t for n, t in _signature_sql("tool_args").items() if n not in (
 @query("signature_scan", with_views(f"""
 SELECT doc_id, {_joined(_names(_SIGS))} AS user_rules, {_joined(_names(_TOOL_SIGS))} AS tool_rules FROM corpus""", "corpus"))
 def signature_scan(spark, sf_dir):
-    c = view(spark, sf_dir, "corpus")
-    both = c.select("doc_id", "text", F.explode(F.array(F.lit("user_input"), F.lit("tool_args"))).alias("target"))
-    hits = C.scan(both, target=F.col("target"), tool=F.lit("code.run"), parts=("signatures",))
-    ids = F.array_join(F.array_sort(F.transform("sig_hits", lambda h: h["id"])), ",")
-    return hits.groupBy("doc_id").agg(F.max(F.when(F.col("target") == "user_input", ids)).alias("user_rules"),
-                                      F.max(F.when(F.col("target") == "tool_args", ids)).alias("tool_rules"))
+    out = view(spark, sf_dir, "corpus").select("doc_id", "text")
+    for target, name in (("user_input", "user_rules"), ("tool_args", "tool_rules")):
+        out = C.scan(out, target=target, tool=F.lit("code.run"), parts=("signatures",)).withColumn(
+            name, F.array_join(F.array_sort(F.transform("sig_hits", lambda h: h["id"])), ",")).drop(*C.SCAN_COLUMNS)
+    return out.drop("text")
 
 
 @query("risk_score", with_views(f"""

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callwarden.rules import policy as P
 from callwarden.rules.feed import FEED_SCHEMA, KINDS, SEVERITIES, SIGNATURES, TARGETS
+from callwarden.rules.patterns import java
 
-MAX_SIGNATURES = 2_000
+#: Characters of all patterns of a feed that is handed over as configuration.
+MAX_CHARACTERS = 64 << 20
 
 
 def builtin_feed(spark: SparkSession) -> DataFrame:
@@ -49,23 +51,32 @@ def feed_problems(feed: DataFrame) -> DataFrame:
     return repeated.where("n > 1").select("id", F.lit("duplicate id").alias("problem")).union(checks).distinct()
 
 
-def signature_table(feed: DataFrame) -> DataFrame:
-    """The enabled signatures of a valid feed; an invalid feed is refused as a whole."""
-    problems = [f"{r['id']}: {r['problem']}" for r in feed_problems(feed).orderBy("id", "problem").limit(20).collect()]
-    if problems:
-        raise ValueError("feed rejected: " + "; ".join(problems))
+def signature_table(feed: DataFrame, shown: int = 20) -> DataFrame:
+    """The enabled signatures of a valid feed; an invalid feed is refused as a whole, with the number of problems and the first ``shown``."""
+    problems = feed_problems(feed)
+    n = problems.count()
+    if n:
+        first = [f"{r['id']}: {r['problem']}" for r in problems.orderBy("id", "problem").limit(shown).collect()]
+        raise ValueError(f"feed rejected, {n} problems: " + "; ".join(first))
     return feed.where(F.coalesce("enabled", F.lit(True)))
 
 
 def compile_feed(feed: DataFrame) -> list[dict]:
-    """The signatures as plain configuration for ``scan``. The size is checked before anything is collected."""
-    rows = signature_table(feed).orderBy("id", "ordinal").limit(MAX_SIGNATURES + 1).collect()
-    if len(rows) > MAX_SIGNATURES:
-        raise ValueError(f"feed has more than {MAX_SIGNATURES} signatures")
-    for r in rows:
-        if r["pattern"] is not None:
-            re.compile(r["pattern"])
-    return [r.asDict(recursive=True) for r in rows]
+    """The signatures as plain configuration for ``scan``. The size is checked before anything is collected, and every pattern is compiled by
+    the engine that runs it."""
+    valid = signature_table(feed)
+    flags = F.concat(F.lit("s"), F.when(F.contains(F.coalesce("flags", F.lit("")), F.lit("i")), "i").otherwise(""))
+    pattern = F.concat(F.lit(java("").removesuffix(")")), flags, F.lit(")"), F.col("pattern"))
+    size = valid.agg(F.sum(F.length("pattern"))).first()[0] or 0
+    if size > MAX_CHARACTERS:
+        raise ValueError(f"patterns of the feed hold {size} characters, more than {MAX_CHARACTERS}")
+    try:
+        valid.where("pattern IS NOT NULL").agg(F.max(F.rlike(F.lit(""), pattern))).collect()
+    except (PySparkException, Py4JJavaError) as e:
+        if "PatternSyntaxException" not in str(e):
+            raise
+        raise ValueError("feed rejected: a pattern is no regular expression of the engine") from e
+    return [r.asDict(recursive=True) for r in valid.orderBy("id", "ordinal").collect()]
 
 
 # ---------------------------------------------------------------- policy
