@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,70 +200,116 @@ def ledger_state(reservations: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def admit(requests: DataFrame, limits: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+#: Requests that one task replays in order.
+REPLAY = 50_000
+
+
+def _replay(rows: pd.DataFrame) -> pd.DataFrame:
+    """The verdicts of a group of requests that change when the group is replayed in order, all other requests taken as guessed.
+
+    ``room`` is what the guess leaves of tokens, calls and slots in each scope; ``more`` is what the group's own changes add to it.
+    """
+    more: dict[str, list[int]] = {}
+    stops: list[tuple] = []
+    ids, verdicts = [], []
+    for n, r in enumerate(rows.sort_values(["us", "id"]).itertuples(index=False)):
+        while stops and stops[0][0] <= r.us:
+            _, _, sign, scopes, change = heapq.heappop(stops)
+            for s in scopes:
+                more[s][0] -= sign * change
+                more[s][2] += sign
+        fits = True
+        for s, room in zip(r.scope, r.room, strict=True):
+            t, c, a = more.get(s, (0, 0, 0))
+            fits = fits and room[0] + t >= 0 and room[1] + c >= 0 and room[2] + a >= 0
+        if fits == r.guess:
+            continue
+        ids.append(r.id)
+        verdicts.append(fits)
+        sign = 1 if fits else -1
+        for s in r.scope:
+            use = more.setdefault(s, [0, 0, 0])
+            use[0] -= sign * r.tokens
+            use[1] -= sign
+            use[2] -= sign
+        if not pd.isna(r.settle_us):
+            heapq.heappush(stops, (int(r.settle_us), n, sign, r.scope, 0 if pd.isna(r.actual) else int(r.actual) - r.tokens))
+    return pd.DataFrame({"id": pd.Series(ids, dtype=rows["id"].dtype), "verdict": pd.Series(verdicts, dtype="bool")})
+
+
+def _groups(requests: DataFrame, depth: int) -> DataFrame:
+    """(id, home, part, slice): the groups that replay a request, each of at most ``depth``.
+
+    Its home is its largest scope that holds at most half of all requests, or else its smallest, cut in time into parts. Slices cut all
+    requests in time.
+    """
+    named = requests.select("id", "ts", F.explode(F.array_distinct("scopes")).alias("scope"))
+    sizes = named.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
+    half = requests.count() / 2
+    best = named.join(sizes, "scope").groupBy("id", "ts").agg(
+        F.max(F.when(F.col("n") <= half, F.struct("n", "scope"))).alias("_large"), F.min(F.struct("n", "scope")).alias("_small")
+    ).select("id", "ts", F.coalesce("_large.scope", "_small.scope").alias("home"))
+    parts = running(best, ["home"], ["ts", "id"], {"at": ("count", F.lit(1))}, inclusive=False)
+    slices = running(parts, [], ["ts", "id"], {"slice": ("count", F.lit(1))}, inclusive=False)
+    return slices.select("id", "home", F.expr(f"at div {depth}").alias("part"), F.expr(f"slice div {depth}").alias("slice"))
+
+
+def admit(requests: DataFrame, limits: DataFrame, max_rounds: int = 10_000, depth: int | None = None) -> DataFrame:
     """All-or-nothing admission in (ts, id) order over overlapping scopes.
 
     Requests: id, ts, tokens, scopes, settle_ts, actual (no settle_ts: still running; no actual: outcome unknown,
     tokens stay held). Limits: scope, token_limit, calls_limit, concurrency_limit. A request holds tokens, one
     call and one slot in each scope, only if all scopes have room.
 
-    Whether a request fits depends on earlier ones only, so bounds settle it without walking the log: usage is at
-    most that of all requests not yet refused and at least that of those surely admitted. Room under the upper bound
-    in every scope admits; no room under the lower bound in one scope refuses. Each round decides at least the
-    earliest open request, in practice nearly all, and every round is running sums over scope and time.
+    The verdicts start as a guess (none admitted). A round takes the usage under the guess as running sums over scope and time and
+    replays groups of at most ``depth`` requests in order, each with the others as guessed: in turn the requests of one
+    scope and slices of time. A request depends on earlier ones only, so the verdicts that no replay changes are those of the
+    sequential log, and every slice round settles one more slice at least; chains inside a scope or a slice take one round.
     """
+    depth = REPLAY if depth is None else depth
     limit = limits.select("scope", "token_limit", "calls_limit", "concurrency_limit")
     spread = requests.select("id", "ts", "tokens", "settle_ts", "actual", F.explode(F.array_distinct("scopes")).alias("scope")).join(
         limit, "scope", "left"
     )
-    start = spread.select(
-        "id", "scope", "ts", F.lit(1).alias("kind"), "tokens", F.col("tokens").alias("dt"), F.lit(1).alias("dc"), F.lit(1).alias("da"),
+    start = cut_lineage(spread.select(
+        "id", "scope", "ts", F.lit(1).alias("kind"), "tokens", F.col("tokens").alias("_dt"), F.lit(1).alias("_dc"), F.lit(1).alias("_da"),
         "token_limit", "calls_limit", "concurrency_limit",
+    ))
+    stop = requests.where(F.col("settle_ts").isNotNull()).select(
+        "id", F.explode(F.array_distinct("scopes")).alias("scope"), F.col("settle_ts").alias("ts"), F.lit(0).alias("kind"), "tokens",
+        F.coalesce(F.col("actual") - F.col("tokens"), F.lit(0)).alias("_dt"), F.lit(0).alias("_dc"), F.lit(-1).alias("_da"),
+        *[F.lit(None).cast("bigint").alias(c) for c in ("token_limit", "calls_limit", "concurrency_limit")],
     )
-    stop = spread.where(F.col("settle_ts").isNotNull()).select(
-        "id", "scope", F.col("settle_ts").alias("ts"), F.lit(0).alias("kind"), "tokens",
-        F.coalesce(F.col("actual") - F.col("tokens"), F.lit(0)).alias("dt"), F.lit(0).alias("dc"), F.lit(-1).alias("da"),
-        "token_limit", "calls_limit", "concurrency_limit",
-    )
-    moves = cut_lineage(start.unionByName(stop))
-    state = requests.select("id", F.lit(None).cast("boolean").alias("admitted"))
-    measures = {}
-    for bound, weight in (("hi", F.coalesce(F.col("admitted"), F.lit(True))), ("lo", F.coalesce(F.col("admitted"), F.lit(False)))):
-        for d in ("dt", "dc", "da"):
-            measures[f"{d}_{bound}"] = ("sum", F.when(weight, F.col(d)).otherwise(0))
-
-    def room(bound: str) -> Column:
-        return F.coalesce(
-            (F.col(f"dt_{bound}") + F.col("tokens") <= F.col("token_limit"))
-            & (F.col(f"dc_{bound}") + 1 <= F.col("calls_limit"))
-            & (F.col(f"da_{bound}") < F.col("concurrency_limit")),
-            F.lit(False),
-        )
 
-    for _ in range(max_rounds):
-        used = running(
-            moves.join(state, "id"), ["scope"], ["ts", "kind", "id"], measures, inclusive=False
-        ).where(F.col("kind") == 1)
-        lacking = exceeded_dimension(
-            F.col("dt_lo"), F.lit(0), F.col("dc_lo"), F.col("da_lo"),
-            {"tokens": F.col("token_limit"), "calls": F.col("calls_limit"), "concurrency": F.col("concurrency_limit")}, F.col("tokens"),
-        )
-        votes = used.groupBy("id").agg(
-            F.bool_and(room("hi")).alias("_fits"), F.bool_and(room("lo")).alias("_may"), F.max("admitted").alias("_was"),
-            F.min(F.when(lacking.isNotNull(), F.struct("scope", lacking.alias("dimension")))).alias("_first"),
-        )
-        decided = F.when(F.col("_was").isNotNull(), F.col("_was")).when(F.col("_fits"), True).when(~F.col("_may"), False)
-        votes = cut_lineage(votes.select("id", decided.alias("admitted"), "_first"))
-        state = votes.select("id", "admitted")
-        if votes.where(F.col("admitted").isNull()).limit(1).count() == 0:
+    def usage(state: DataFrame) -> DataFrame:
+        """Each request in each of its scopes with the usage before it."""
+        ended = stop.join(state.where("admitted"), "id")
+        moves = start.join(state, "id").unionByName(ended)
+        held = {name: ("sum", F.when(F.col("admitted"), F.col(move)).otherwise(0)) for name, move in (("dt", "_dt"), ("dc", "_dc"), ("da", "_da"))}
+        return running(moves, ["scope"], ["ts", "kind", "id"], held, inclusive=False).where(F.col("kind") == 1)
+
+    left = [F.col("token_limit") - F.col("tokens") - F.col("dt"), F.col("calls_limit") - 1 - F.col("dc"), F.col("concurrency_limit") - 1 - F.col("da")]
+    room = F.array(*[F.coalesce(r.cast("bigint"), F.lit(-(1 << 62))) for r in left])
+    facts = cut_lineage(requests.select(
+        "id", F.col("tokens").cast("bigint").alias("tokens"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.unix_micros(F.col("settle_ts").cast("timestamp")).alias("settle_us"), F.col("actual").cast("bigint").alias("actual"),
+    ).join(_groups(requests, depth), "id"))
+    state = facts.select("id", F.lit(False).alias("admitted"))
+    for n in range(max_rounds):
+        rooms = usage(state).groupBy("id").agg(
+            F.collect_list("scope").alias("scope"), F.collect_list(room).alias("room"), F.first("admitted").alias("guess"))
+        changed = cut_lineage(facts.join(rooms, "id").groupBy(*(("home", "part") if n % 2 == 0 else ("slice",))).applyInPandas(
+            _replay, f"id {dict(requests.dtypes)['id']}, verdict boolean"))
+        if changed.limit(1).count() == 0:
             break
+        state = cut_lineage(state.join(changed, "id", "left").select("id", F.coalesce("verdict", "admitted").alias("admitted")))
     else:
         raise RuntimeError("admission did not settle")
-    # with every earlier verdict known both bounds agree, so one more pass names the failing scope exactly
-    used = running(
-        moves.join(state, "id"), ["scope"], ["ts", "kind", "id"], measures, inclusive=False
-    ).where(F.col("kind") == 1)
-    failing = used.where(~F.col("admitted") & lacking.isNotNull()).groupBy("id").agg(
+    lacking = exceeded_dimension(
+        F.col("dt"), F.lit(0), F.col("dc"), F.col("da"),
+        {"tokens": F.col("token_limit"), "calls": F.col("calls_limit"), "concurrency": F.col("concurrency_limit")}, F.col("tokens"),
+    )
+    failing = usage(state).where(~F.col("admitted") & lacking.isNotNull()).groupBy("id").agg(
         F.min(F.struct("scope", lacking.alias("dimension"))).alias("_first")
     )
     return requests.select("id", "ts", "tokens").join(state, "id").join(failing, "id", "left").select(

@@ -147,3 +147,19 @@ def test_guard_budget_matches_replay(spark):
         assert got[i] == (None if fits else "BUD-GUARD")
         spent, calls = (spent + cost, calls + 1) if fits else (spent, calls)
     assert "BUD-GUARD" in got.values()
+
+
+def test_admission_in_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "REPLAY", 16)
+    test_admission_over_overlapping_scopes(spark)
+
+
+def test_admission_chains_settle_in_few_rounds(spark):
+    rng = random.Random(5)
+    sizes = [rng.randrange(1, 60) for _ in range(400)]
+    reqs = [(i, _at(10 * i), n, [f"principal:{i % 4}", "global"], _at(10 * i + 95), n // 2) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(reqs, "id bigint, ts timestamp_ntz, tokens bigint, scopes array<string>, settle_ts timestamp_ntz, actual bigint")
+    lim = spark.createDataFrame([(f"principal:{k}", 900, 90, 9) for k in range(4)] + [("global", 3600, 360, 36)],
+                                "scope string, token_limit bigint, calls_limit bigint, concurrency_limit bigint")
+    got = ledger.admit(df, lim, max_rounds=4).where("admitted").count()
+    assert 0 < got < len(reqs)
