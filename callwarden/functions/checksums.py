@@ -85,6 +85,7 @@ def passport_ok(value: Column) -> Column:
 VALIDATORS = {
     "PESEL": pesel_ok,
     "CREDIT_CARD": luhn_ok,
+    "CARD_NUMBER": luhn_ok,
     "IBAN": iban_ok,
     "NIP": nip_ok,
     "ID_CARD": id_card_ok,

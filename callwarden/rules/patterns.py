@@ -37,6 +37,9 @@ PII = {
     "ADDRESS": f"{ADDRESS_STREET}|{ADDRESS_POSTAL}|{ADDRESS_STREET_EN}",
 }
 
+# a card number by itself: one run of digits, or four groups with the same separator
+CARD_NUMBER = r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)"
+
 PESEL_WEIGHTS = [1, 3, 7, 9, 1, 3, 7, 9, 1, 3]
 NIP_WEIGHTS = [6, 5, 7, 2, 3, 4, 5, 6, 7]
 ID_CARD_WEIGHTS = [7, 3, 1, 9, 7, 3, 1, 7, 3]
@@ -218,7 +221,7 @@ WORDS = {
     "CONNECTION_STRING": [["://"]],
     "MARKDOWN_EXFIL": [["]("]],
 }
-NEEDS_DIGIT = ["PESEL", "CREDIT_CARD", "IBAN", "PHONE", "NIP", "ID_CARD", "PASSPORT", "ADDRESS", "PIN_PHRASE"]
+NEEDS_DIGIT = ["PESEL", "CREDIT_CARD", "CARD_NUMBER", "IBAN", "PHONE", "NIP", "ID_CARD", "PASSPORT", "ADDRESS", "PIN_PHRASE"]
 
 
 def _prefix_free(stems: dict[str, list[str]]) -> tuple[list[str], dict[str, list[str]]]:
