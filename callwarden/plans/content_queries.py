@@ -19,6 +19,7 @@ from callwarden.rules import patterns as P
 from callwarden.rules.feed import SIGNATURES
 from callwarden.rules.policy import TOOLS
 from callwarden.sources.feed import feed_problems, sink_problems
+from callwarden.sources.tables import spread
 
 
 def _q(text: str) -> str:
@@ -148,7 +149,7 @@ SELECT c_custkey, array_to_string(list_filter([CASE WHEN pesel THEN 'PESEL' END,
   CASE WHEN pasok THEN 'PASSPORT' END, CASE WHEN ibanok THEN 'IBAN' END, CASE WHEN cardok THEN 'CREDIT_CARD' END, 'PHONE', 'EMAIL', 'ADDRESS', 'ADDRESS'],
   lambda x: x IS NOT NULL), ',') AS found FROM v""")
 def pii_identities(spark, sf_dir):
-    texts = spark.sql(_IDENT, customer=view(spark, sf_dir, "customer")).selectExpr("c_custkey", f"{_IDENT_TEXT} AS text")
+    texts = spark.sql(_IDENT, customer=spread(view(spark, sf_dir, "customer"), "c_custkey")).selectExpr("c_custkey", f"{_IDENT_TEXT} AS text")
     out = C.scan(texts, parts=("pii",))
     return out.select("c_custkey", F.array_join(F.transform("pii_spans", lambda s: s["label"]), ",").alias("found"))
 

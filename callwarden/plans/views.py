@@ -173,7 +173,7 @@ def _deps(sql: str) -> list[str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a derived view as a DataFrame."""
     if name in TEXT_TABLES:
-        return spread(read_table(spark, sf_dir, name), sf_dir, name, TEXT_TABLES[name])
+        return spread(read_table(spark, sf_dir, name), TEXT_TABLES[name])
     if name in CORPUS:
         return read_table(spark, sf_dir, name)
     sql = VIEWS[name]

@@ -79,16 +79,13 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
 
 
-def spread(df: DataFrame, folder: str, name: str, key: str) -> DataFrame:
-    """Deal the rows of a text table to all cores when it is a single file.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a table to all cores.
 
-    One file often is one row group and then one task, and scanning text is heavy. Tables of many files are spread by
-    their files already and pass through untouched, without a shuffle.
+    A file often is one row group and then one task, and a folder can hold fewer row groups than there are cores. Checking a text costs far
+    more than this one shuffle of it.
     """
-    spark = df.sparkSession
-    if is_folder(spark, os.path.join(folder, f"{name}.parquet")):
-        return df
-    return df.repartition(2 * spark.sparkContext.defaultParallelism, key)
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None,

@@ -97,3 +97,12 @@ def test_cards_are_found_beside_other_numbers(spark):
     out = C.scan(spark.createDataFrame(rows, "id int, text string"), entities=["CREDIT_CARD"], parts=("pii",))
     got = {r["id"]: [r["text"][s["start"]:s["end"]] for s in r["pii_spans"]] for r in out.collect()}
     assert got == {1: ["4913187196670932"], 2: ["4111 1111 1111 1111"], 3: ["4451718024887799"], 4: [], 5: ["4111 1111 1111 1111"]}
+
+
+def test_texts_are_dealt_to_all_cores(spark):
+    """Tables of one file or row group were read and checked by one task."""
+    from callwarden.plans import load
+
+    for name, key in (("pii_identities", "c_custkey"), ("secret_scan", "doc_id")):
+        plan = load().QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert f"RepartitionByExpression [{key}" in plan
