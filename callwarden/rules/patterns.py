@@ -7,6 +7,8 @@ Unicode-aware and let only ``\\n`` end a line.
 
 from __future__ import annotations
 
+import re
+
 
 def java(pattern: str, flags: str = "") -> str:
     return f"(?Ud{flags}){pattern}"
@@ -232,4 +234,16 @@ def _prefix_free(stems: dict[str, list[str]]) -> tuple[list[str], dict[str, list
 
 
 KEYWORDS, KEYWORDS_OF = _prefix_free(STEMS)
-KEYWORD_PATTERN = java(r"\b(?:" + "|".join(KEYWORDS) + ")")
+
+
+def _alternatives(words: list[str]) -> str:
+    """A pattern of the words that looks at each shared beginning once. None of them starts with another."""
+    rests: dict[str, list[str]] = {}
+    for w in words:
+        rests.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(head) + (_alternatives(rest) if any(rest) else "") for head, rest in sorted(rests.items())]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
+# runs on case-folded text and may find more than the words that start at a boundary, as patterns decide after it
+KEYWORD_PATTERN = "(?<![a-z])" + _alternatives(KEYWORDS)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from callwarden.functions import spans as S
 from callwarden.operators import content as C
+from callwarden.rules import patterns as P
 
 # id, text, target, sink, level, profile, expected action, rule that must be among the findings
 CASES = [
@@ -106,3 +107,11 @@ def test_texts_are_dealt_to_all_cores(spark):
     for name, key in (("pii_identities", "c_custkey"), ("secret_scan", "doc_id")):
         plan = load().QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert f"RepartitionByExpression [{key}" in plan
+
+
+def test_keywords_hold_every_word_at_a_boundary(spark):
+    words = P.KEYWORDS
+    rows = [(i, f"{before}{w}{after}") for i, w in enumerate(words) for before in ("", "x, ", "\n(") for after in ("", "ing", " a")]
+    out = spark.createDataFrame(rows, "i int, text string").select("i", S.keywords(F.col("text")).alias("k")).collect()
+    assert all(words[r["i"]] in r["k"] for r in out)
+    assert len(P.KEYWORD_PATTERN) < 2 * sum(map(len, words)) and "\\b" not in P.KEYWORD_PATTERN
