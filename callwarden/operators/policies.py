@@ -61,13 +61,18 @@ def ablate_controls(scanned: DataFrame, base: C.Controls = C.BALANCED, **kw) ->
 
 
 def policy_history(versions: DataFrame) -> DataFrame:
-    """Versions with the content a rollback restored and the flag of the active one (the last accepted)."""
+    """Versions with the content a rollback restored and the flag of the active one (the last accepted).
+
+    Only rollbacks are joined with what they restored: the others have no key, and a join would send them all to one task.
+    """
     target = F.when(F.col("source").startswith("rollback:"), F.substring_index("source", ":", -1).cast("bigint"))
     origin = versions.where("accepted").select(F.col("seq").alias("_from"), F.col("content_hash").alias("_hash"))
     with_target = versions.withColumn("_from", target)
     last = versions.where("accepted").agg(F.max("seq").alias("active_seq")).withColumn("_j", F.lit(1))
+    rollbacks = with_target.where(F.col("_from").isNotNull()).join(origin, "_from", "left")
+    others = with_target.where(F.col("_from").isNull()).withColumn("_hash", F.lit(None).cast("string"))
     return (
-        with_target.join(origin, "_from", "left").withColumn("_j", F.lit(1)).join(F.broadcast(last), "_j", "left")
+        rollbacks.unionByName(others).withColumn("_j", F.lit(1)).join(F.broadcast(last), "_j", "left")
         .select("seq", "source", "accepted", "content_hash", F.col("_from").alias("restores"),
                 (F.col("_hash") == F.col("content_hash")).alias("restored_exactly"),
                 F.coalesce(F.col("seq") == F.col("active_seq"), F.lit(False)).alias("active"))

@@ -115,3 +115,23 @@ def test_keywords_hold_every_word_at_a_boundary(spark):
     out = spark.createDataFrame(rows, "i int, text string").select("i", S.keywords(F.col("text")).alias("k")).collect()
     assert all(words[r["i"]] in r["k"] for r in out)
     assert len(P.KEYWORD_PATTERN) < 2 * sum(map(len, words)) and "\\b" not in P.KEYWORD_PATTERN
+
+
+def test_versions_without_rollback_share_no_task(spark):
+    from callwarden.operators import policies
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        versions = spark.range(0, 4000, 1, 4).selectExpr(
+            "id AS seq", "CASE WHEN id % 7 = 0 THEN concat('rollback:', id - 3) ELSE 'api' END AS source", "id % 5 <> 0 AS accepted",
+            "cast(id % 3 AS string) AS content_hash")
+        rows = policies.policy_history(versions).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    sizes = [sum(r["p"] == p for r in rows) for p in {r["p"] for r in rows}]
+    assert len(rows) == 4000 and max(sizes) < 2000
+    restored = {r["seq"]: (r["restores"], r["restored_exactly"]) for r in rows}
+    assert restored[7] == (4, True) and restored[28] == (25, None) and restored[8] == (None, None)
