@@ -30,6 +30,11 @@ CALLING_FORMULA = (r"(?i)\b(cmd|powershell|mshta|msexcel)\s*\||\bDDE(AUTO)?\b|\b
                    r"|\bEXEC\s*\(")
 
 
+#: Members that leave a worker together: so many, or as many as reach so many characters.
+BATCH_ROWS = 1_000
+BATCH_CHARS = 4_000_000
+
+
 def classify_files(files: DataFrame) -> DataFrame:
     """Kind of each file (id, length, content) by its first bytes; UTF-8 is the fallback."""
     head = F.hex(F.substring("content", 1, 8))
@@ -51,30 +56,40 @@ def hidden_parts_html(pages: DataFrame, key: str = "page_id", text: str = "html"
 # ---------------------------------------------------------------- Office files: one row per member, then expressions
 
 
+def _members(content: bytes) -> Iterator[tuple]:
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name in z.namelist():
+                markup = name.endswith((".xml", ".rels"))
+                try:
+                    yield name, z.read(name).decode("utf-8", "replace") if markup else None, None
+                except Exception as exc:  # encrypted, damaged or packed in an unknown way
+                    yield name, None, type(exc).__name__
+    except Exception as exc:  # no readable directory
+        yield None, None, type(exc).__name__
+
+
+def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The members of the files, many in one frame: a frame for each costs more than reading it."""
+    rows: list[tuple] = []
+    held = 0
+    for b in batches:
+        for key, content in zip(b["id"], b["content"]):
+            for part, xml, error in _members(bytes(content)):
+                rows.append((key, part, xml, error))
+                held += len(xml or "")
+                if len(rows) >= BATCH_ROWS or held >= BATCH_CHARS:
+                    yield pd.DataFrame(rows, columns=["id", "part", "xml", "error"])
+                    rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["id", "part", "xml", "error"])
+
+
 def office_parts(files: DataFrame) -> DataFrame:
     """(id, part, xml, error): one row per member of each ZIP file; only markup is read. What cannot be read is a row with its error."""
     id_type = dict(files.dtypes)["id"]
     zipped = files.where(F.hex(F.substring("content", 1, 4)) == "504B0304").select("id", "content")
-
-    def members(content: bytes) -> Iterator[tuple]:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for name in z.namelist():
-                    markup = name.endswith((".xml", ".rels"))
-                    try:
-                        yield name, z.read(name).decode("utf-8", "replace") if markup else None, None
-                    except Exception as exc:  # encrypted, damaged or packed in an unknown way
-                        yield name, None, type(exc).__name__
-        except Exception as exc:  # no readable directory
-            yield None, None, type(exc).__name__
-
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for key, content in zip(b["id"], b["content"]):
-                for part, xml, error in members(bytes(content)):
-                    yield pd.DataFrame({"id": [key], "part": [part], "xml": [xml], "error": [error]})
-
-    return zipped.mapInPandas(unzip, f"id {id_type}, part string, xml string, error string")
+    return zipped.mapInPandas(_unzip, f"id {id_type}, part string, xml string, error string")
 
 
 @F.pandas_udf(StringType())

@@ -92,3 +92,14 @@ def test_breaker_leaves_synthetic_tasks_alone(spark):
                                    F.lit("BLOCK").alias("action"), F.lit(True).alias("blocked"), (F.col("id") % 2 == 0).alias("synthetic"))
     for out, flag in ((ledger.circuit_breaker(calls, 3, 600), "breaker_refused"), (ledger.breaker_feedback(calls, 3, 600), "refused")):
         assert {r["id"] for r in out.where(flag).collect()} == set(range(7, 20, 2))
+
+
+def test_members_leave_in_few_frames():
+    import pandas as pd
+
+    content = _zip({"word/document.xml": "<w:t>a</w:t>", "docProps/core.xml": "<a/>", "word/vbaProject.bin": b"x"})
+    frames = list(documents._unzip(iter([pd.DataFrame({"id": range(i, i + 100), "content": [content] * 100}) for i in range(0, 500, 100)])))
+    assert [len(f) for f in frames] == [1000, 500]
+    large = _zip({"word/document.xml": "x" * 3_000_000, "word/footnotes.xml": "y" * 3_000_000})
+    frames = list(documents._unzip(iter([pd.DataFrame({"id": [1, 2], "content": [large, large]})])))
+    assert [len(f) for f in frames] == [2, 2] and frames[1]["xml"].str.len().tolist() == [3_000_000] * 2
