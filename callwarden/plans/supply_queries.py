@@ -15,6 +15,7 @@ from callwarden.operators import supply as U
 from callwarden.plans.content_queries import _JUDGED, _VARIANTS, _holds_pii
 from callwarden.plans.registry import query
 from callwarden.plans.views import view
+from callwarden.sources.tables import spread
 
 
 def _pickles(spark, sf_dir):
@@ -23,7 +24,7 @@ def _pickles(spark, sf_dir):
                     "WHEN 3 THEN 'builtins\neval' ELSE 'builtins\nlist' END")
     stream = F.concat(F.unhex(F.lit("8002")), F.concat(F.lit("c"), module, F.lit("\n")).cast("binary"), F.unhex(F.lit("2E")))
     content = F.when(F.col("p_partkey") % 11 == 0, F.unhex(F.lit("80025D"))).otherwise(stream)
-    return view(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".pkl")).alias("name"), content.alias("content"))
+    return spread(view(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(".pkl")).alias("name"), content.alias("content"))
 
 
 @query("scan_pickles", """

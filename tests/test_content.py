@@ -104,7 +104,7 @@ def test_texts_are_dealt_to_all_cores(spark):
     """Tables of one file or row group were read and checked by one task."""
     from callwarden.plans import load
 
-    for name, key in (("pii_identities", "c_custkey"), ("secret_scan", "doc_id")):
+    for name, key in (("pii_identities", "c_custkey"), ("secret_scan", "doc_id"), ("register_models", "p_partkey")):
         plan = load().QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert f"RepartitionByExpression [{key}" in plan
 
