@@ -1,57 +1,15 @@
 """Variants of a text that undo common hiding tricks: zero-width characters, compatibility letters,
-spaced-out words, leet digits and base64 payloads."""
+spaced-out words, leet digits and base64 payloads. Compatibility letters are read in :mod:`hints`."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from callwarden.rules import patterns as P
 from callwarden.rules.patterns import java
 
 
-def _stable_ranges() -> str:
-    """Regex class body of characters that NFKC leaves alone and never composes with each other."""
-    blocks = [(0x00, 0x24F), (0x400, 0x45F), (0x2010, 0x203E), (0x20A0, 0x20BF), (0x3041, 0x3096), (0x30A1, 0x30FA),
-              (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
-    ranges: list[list[int]] = []
-    for low, high in blocks:
-        for code in range(low, high + 1):
-            ch = chr(code)
-            if unicodedata.combining(ch) or not unicodedata.is_normalized("NFKC", ch):
-                continue
-            if ranges and ranges[-1][1] == code - 1:
-                ranges[-1][1] = code
-            else:
-                ranges.append([code, code])
-    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
-
-
-NEEDS_NFKC = f"[^{_stable_ranges()}]"
-_LATIN = [chr(c) for c in range(0x80, 0x100) if not unicodedata.is_normalized("NFKC", chr(c))]
-LATIN_UNSTABLE = "[" + "".join(f"\\x{ord(c):02X}" for c in _LATIN) + "]"
-BEYOND_LATIN = r"[^\x00-ı]"
-
-
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
-
-
-def needs_nfkc(text: Column) -> Column:
-    """True unless every character is known to be stable; the long class runs only beyond the Latin letters."""
-    return text.rlike(LATIN_UNSTABLE) | (text.rlike(BEYOND_LATIN) & text.rlike(NEEDS_NFKC))
-
-
-def compatibility_form(text: Column) -> Column:
-    """NFKC. Only texts that may change travel to a Python worker."""
-    return F.coalesce(_nfkc(F.when(needs_nfkc(text), text)), text)
-
-
 def strip_zero_width(text: Column) -> Column:
     return F.regexp_replace(text, P.ZERO_WIDTH, "")
 

@@ -8,7 +8,7 @@ leaves around the matches, so offsets follow from the lengths of gaps and matche
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,21 +48,13 @@ def span(start: Column, end: Column, label: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """One pattern and its cheap necessary conditions.
-
-    ``stems``: one of these keywords occurs; ``words``: groups of literals, one per group occurs; ``digit``: a digit
-    occurs; ``applies``: an SQL condition on the row; ``needs``: an SQL condition on the case-folded text.
-    """
+    """One pattern; ``applies`` is an SQL condition on the row."""
 
     name: str
     pattern: str
     label: str
     group: int = 0
-    stems: list[str] = field(default_factory=list)
-    words: list[list[str]] = field(default_factory=list)
-    digit: bool = False
     applies: str | None = None
-    needs: str | None = None
 
 
 def sql_text(value: str) -> str:
@@ -89,23 +81,17 @@ def keywords(folded: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(folded, F.lit(KEYWORD_PATTERN), F.lit(0)))
 
 
-def has_digit(text: Column) -> Column:
-    return text.rlike(r"\p{Nd}")
-
-
 def find_hits(text: Column, pattern: Column, group: Column) -> Column:
     """All matches as ``(start, end, value)``. With a group, the span of that group, which must end the match."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    matches = F.zip_with(
-        F.regexp_extract_all(text, pattern, F.lit(0)),
-        F.regexp_extract_all(text, pattern, group),
-        lambda m, v: F.struct(F.length(m).alias("n"), v.alias("value")),
-    )
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(HITS_TYPE).alias("out"))
-    # the gap after the last match pairs with no match and is dropped
-    rows = F.filter(
-        F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))), lambda r: r["m"].isNotNull()
-    )
+
+    def rows(whole: Column) -> Column:
+        values = F.when(group == 0, whole).otherwise(F.regexp_extract_all(text, pattern, group))
+        matches = F.zip_with(whole, values, lambda m, v: F.struct(F.length(m).alias("n"), v.alias("value")))
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+        # the gap after the last match pairs with no match and is dropped
+        return F.filter(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))), lambda r: r["m"].isNotNull())
 
     def step(acc: Column, row: Column) -> Column:
         end = acc["pos"] + row["gap"] + row["m"]["n"]
@@ -114,26 +100,25 @@ def find_hits(text: Column, pattern: Column, group: Column) -> Column:
         )
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    # a list of one keeps what is found for both uses
+    return F.flatten(F.transform(F.array(found), lambda w: F.when(
+        F.size(w) > 0, F.aggregate(rows(w), start, step, lambda acc: acc["out"])).otherwise(F.array().cast(HITS_TYPE))))
 
 
-def matched(text: str, rules: list[Rule], found: str | None = None, digit: str | None = None) -> str:
+def matched(text: str, rules: list[Rule], may: Callable[[str], str] | None = None, sure: bool = True) -> str:
     """SQL for the rules whose pattern occurs: ``array<struct<name,pattern,label,group>>``.
 
-    ``text``, ``found`` (keywords) and ``digit`` name columns or lambda variables. Each rule costs its cheap
-    tests and at most one ``rlike``; nothing is extracted yet. SQL text keeps plan building fast.
+    ``text`` names a column or lambda variable; ``may`` gives the SQL that a pattern may match it (:class:`hints.Hints`). Each rule costs
+    at most one ``rlike``; nothing is extracted yet. If not ``sure``, the rules that may occur, for those that are only extracted
+    afterwards. SQL text keeps plan building fast.
     """
     cases = []
     for rule in rules:
         tests = [rule.applies] if rule.applies else []
-        if rule.stems and found:
-            tests.append(f"arrays_overlap({found}, {sql_array(rule.stems)})")
-        if rule.digit and digit:
-            tests.append(digit)
-        if rule.needs:
-            tests.append(rule.needs)
-        tests += ["(" + " OR ".join(f"contains({text}, {sql_text(w)})" for w in ws) + ")" for ws in rule.words]
-        tests.append(f"rlike({text}, {sql_text(rule.pattern)})")
+        if may is not None:
+            tests.append(may(rule.pattern))
+        if sure:
+            tests.append(f"rlike({text}, {sql_text(rule.pattern)})")
         entry = (f"named_struct('name', {sql_text(rule.name)}, 'pattern', {sql_text(rule.pattern)}, "
                  f"'label', {sql_text(rule.label)}, 'group', {rule.group})")
         cases.append(f"CASE WHEN {' AND '.join(tests)} THEN {entry} END")

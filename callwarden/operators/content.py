@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from callwarden.functions import normalize as N
 from callwarden.functions import spans as S
+from callwarden.functions.hints import Hints
 from callwarden.operators import detect as D
 from callwarden.operators.decide import collect_findings, decide, finding, is_blocked
+from callwarden.rules import patterns as P
 from callwarden.rules import policy as policy_values
 from callwarden.rules.feed import SIGNATURES
 
@@ -101,24 +103,27 @@ BALANCED = Controls.preset("balanced")
 VARIANTS = ("_v1", "_v2", "_v3", "_v4")
 
 
-def _with_variants(work: DataFrame, t: Column, injection: list, no_names: str) -> DataFrame:
-    """Injection names found in the rewritten texts (v1 cleaned, v2 joined, v3 unleeted) and in base64 payloads (v4)."""
+def _with_variants(work: DataFrame, t: Column, injection: list, hints: Hints, no_names: str) -> DataFrame:
+    """Injection names found in the rewritten texts (v1 cleaned, v2 joined, v3 unleeted) and in base64 payloads (v4).
+
+    A text is rewritten only if it can differ and a pattern may match what comes out.
+    """
     nothing = F.array().cast(D.STRINGS)
-    inside = F.col("_in")
-    work = S.stage(work, _clean=F.when(inside, N.compatibility_form(N.strip_zero_width(t))))
-    work = S.stage(work, _joined=F.when(inside, N.join_spaced(F.col("_clean"))))
-    work = S.stage(work, _leet=F.when(inside, N.unleet(F.col("_joined"))))
+    look = F.col("_look")
+    clean = F.coalesce(look["clean"], t)
+    work = S.stage(work, _joined=F.when(look["spaced"], N.join_spaced(clean)))
+    work = S.stage(work, _leet=F.when(F.size(look["leet_may"]) > 0, N.unleet(F.coalesce("_joined", clean))))
+    payloads = F.col("_in") & F.expr(hints.test("_look.may")(P.BASE64_RUN))
     work = S.stage(
         work,
-        _t1=F.when(F.col("_clean") != t, F.col("_clean")),
-        _t2=F.when(~F.col("_joined").isin(F.col("_clean"), t), F.col("_joined")),
-        _t3=F.when(~F.col("_leet").isin(F.col("_joined"), t), F.col("_leet")),
-        _payloads=F.when(inside, N.base64_payloads(t)).otherwise(nothing),
+        _t1=look["clean"],
+        _t2=F.when(~F.col("_joined").isin(clean, t), F.col("_joined")),
+        _t3=F.when(~F.col("_leet").isin(F.coalesce("_joined", clean), t), F.col("_leet")),
+        _payloads=F.when(payloads, N.base64_payloads(t)).otherwise(nothing),
     )
-    work = S.stage(work, **{f"{v}k": F.when(F.col(v).isNotNull(), S.keywords(S.fold_case(F.col(v)))) for v in ("_t1", "_t2", "_t3")})
     names = {
-        v: F.expr(f"CASE WHEN {t_} IS NOT NULL THEN {D.matched_names(t_, injection, t_ + 'k')} ELSE {no_names} END")
-        for t_, v in (("_t1", "_v1"), ("_t2", "_v2"), ("_t3", "_v3"))
+        v: F.expr(f"CASE WHEN {t_} IS NOT NULL THEN {D.matched_names(t_, injection, may)} ELSE {no_names} END")
+        for t_, v, may in (("_t1", "_v1", hints.test("_look.clean_may")), ("_t2", "_v2", None), ("_t3", "_v3", hints.test("_look.leet_may")))
     }
     payload = F.expr(f"CASE WHEN size(_payloads) > 0 THEN {D.payload_names('_payloads')} ELSE {no_names} END")
     return S.stage(work, **names, _v4=payload)
@@ -137,7 +142,7 @@ def scan(
 ) -> DataFrame:
     """Add the raw detector results of every text (``SCAN_COLUMNS``); parts left out stay empty and cost nothing.
 
-    Narrow: one pass per row, no shuffle. The stages are separate projections because each result feeds
+    Narrow: one pass per row, no shuffle. One Arrow pass names the patterns that may match (:mod:`hints`). The stages are separate projections because each result feeds
     several later ones; Catalyst keeps such projections apart, so nothing is evaluated twice.
     """
     shared = target if isinstance(target, str) else None
@@ -152,24 +157,35 @@ def scan(
     injection = D.injection_rules()
 
     work = S.stage(df, _text=F.coalesce(F.col(text), F.lit("")), _target=target, _tool=tool, _in=F.coalesce(inbound, F.lit(False)))
-    work = S.stage(work, _fold=S.fold_case(t), _digit=S.has_digit(t))
-    work = S.stage(work, _kw=S.keywords(F.col("_fold")))
     no_rules = f"cast(array() AS {S.MATCHED_TYPE})"
     no_names = f"cast(array() AS {D.STRINGS})"
-    base = [*kept, "_text", "_in", "_kw"]
-    if "injection" in parts:
-        work = _with_variants(work, t, injection, no_names)
-        plain_rules = F.expr(f"CASE WHEN _in THEN {S.matched('_text', injection, '_kw')} ELSE {no_rules} END")
+    known = (SIGNATURES if feed is None else feed) if "signatures" in parts else []
+    signatures = D.inline_signatures(known, "_target", "_tool", shared)
+    pii = D.pii_rules(entities) if "pii" in parts else []
+    secrets = D.secret_rules() if "secrets" in parts else []
+    risks = D.risk_rules() if "risk" in parts else []
+    rules = [*pii, *secrets, *risks, *(signatures or [])]
+    inside = "injection" in parts
+    hints = Hints([*[r.pattern for r in rules], *([P.BASE64_RUN] if inside else [])], [r.pattern for r in injection] if inside else [])
+    work = S.stage(work, _look=hints.function()(t, F.col("_in")))
+    may = hints.test("_look.may")
+    base = [*kept, "_text", "_in", "_look"]
+    if inside:
+        work = _with_variants(work, t, injection, hints, no_names)
+        plain_rules = F.expr(f"CASE WHEN _in THEN {S.matched('_text', injection, may)} ELSE {no_rules} END")
     else:
         work = S.stage(work, **{v: nothing for v in VARIANTS})
         plain_rules = F.expr(no_rules)
-    known = (SIGNATURES if feed is None else feed) if "signatures" in parts else []
+    if signatures is None:
+        sig = D.picked_signatures("_text", S.fold_case(t), "_target", "_tool", known, shared)
+    else:
+        sig = F.expr(S.matched("_text", signatures, may))
     work = S.stage(
         work, [*base, *VARIANTS],
         _inj=plain_rules,
-        _pii=F.expr(S.matched("_text", D.pii_rules(entities) if "pii" in parts else [], "_kw", "_digit")),
-        _sec=F.expr(S.matched("_text", D.secret_rules() if "secrets" in parts else [], "_kw", "_digit")),
-        _sig=D.matched_signatures("_text", "_fold", "_target", "_tool", known, shared),
+        _pii=F.expr(S.matched("_text", pii, may, sure=False)),
+        _sec=F.expr(S.matched("_text", secrets, may, sure=False)),
+        _sig=sig,
     )
     work = S.stage(work, _plain=F.transform(F.col("_inj"), lambda r: r["name"]))
     rewritten = F.array_except(F.concat("_v1", "_v2", "_v3"), F.col("_plain"))
@@ -188,7 +204,7 @@ def scan(
         injection_names=F.array_sort(F.array_union(F.col("_plain"), F.col("_obf"))),
         injection_spans=injected.otherwise(S.empty_spans()),
     )
-    features = D.risk_features("_text", "_kw", F.size("injection_spans") > 0) if "risk" in parts else nothing
+    features = D.risk_features("_text", may, F.size("injection_spans") > 0) if "risk" in parts else nothing
     work = S.stage(work, [*kept, *SCAN_COLUMNS[:5]], risk_features=F.when(F.col("_in"), features).otherwise(nothing))
     return S.stage(work, risk=D.risk_score(F.col("risk_features"))).select(*kept, *SCAN_COLUMNS)
 

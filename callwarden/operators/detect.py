@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from callwarden.functions import spans as S
 from callwarden.functions.checksums import VALIDATORS
-from callwarden.functions.literals import LiteralIndex, clause, needs, sql_test
+from callwarden.functions.literals import LiteralIndex, clause, needs
 from callwarden.functions.spans import Rule
 from callwarden.rules import patterns as P
 from callwarden.rules.feed import TARGETS
@@ -22,8 +23,7 @@ STRINGS = "array<string>"
 
 
 def rule(name: str, pattern: str, label: str | None = None, group: int = 0) -> Rule:
-    return Rule(name, java(pattern), label or name, group, P.KEYWORDS_OF.get(name, []), P.WORDS.get(name, []),
-                name in P.NEEDS_DIGIT)
+    return Rule(name, java(pattern), label or name, group)
 
 
 # ---------------------------------------------------------------- personal data
@@ -95,9 +95,9 @@ def injection_rules() -> list[Rule]:
     return [rule(n, rx) for n, rx in P.INJECTION.items()]
 
 
-def matched_names(text: str, rules: list[Rule], found: str | None = None) -> str:
+def matched_names(text: str, rules: list[Rule], may: Callable[[str], str] | None = None) -> str:
     """SQL for the names of the matching rules."""
-    return f"transform({S.matched(text, rules, found)}, r -> r.name)"
+    return f"transform({S.matched(text, rules, may)}, r -> r.name)"
 
 
 def payload_names(payloads: str) -> str:
@@ -148,25 +148,27 @@ def feed_pattern(row: dict) -> str:
     return java(row["pattern"], "s" + ("i" if "i" in (row.get("flags") or "") else ""))
 
 
-def matched_signatures(text: str, folded: str, target: str, tool: str, feed: list[dict], only: str | None = None) -> Column:
-    """The matchers of the feed that occur in the text and apply to its target and tool, in feed order.
-
-    ``only`` names the target if all rows share it. A matcher runs where the literals it needs occur. A feed of up to
-    ``INLINE`` matchers becomes literals of the plan; of a larger one a single pass of an automaton over the folded text picks the
-    matchers that are tried. Both give the same answer, without a shuffle.
-    """
+def inline_signatures(feed: list[dict], target: str, tool: str, only: str | None = None) -> list[Rule] | None:
+    """The matchers of a feed as rules, in feed order, or None if there are more than ``INLINE``; ``only`` names the target if all rows share it."""
     rows = feed_patterns(feed, only)
     if len(rows) > INLINE:
-        picked = _picker(rows)(F.col(folded), F.col(target), F.col(tool))
-        return F.filter(picked, lambda r: F.rlike(F.col(text), r["pattern"]))
+        return None
     rules = []
     for row in rows:
         applies = [] if only else [f"array_contains({S.sql_array(row.get('targets') or TARGETS)}, {target})"]
         if row.get("tools") is not None:
             applies.append(f"coalesce(array_contains({S.sql_array(row['tools'])}, {tool}), false)")
-        rules.append(Rule(row["id"], feed_pattern(row), row["id"], applies=" AND ".join(applies) or None,
-                          needs=sql_test(needs(row["pattern"], row.get("flags") or ""), folded)))
-    return F.expr(S.matched(text, rules))
+        rules.append(Rule(row["id"], feed_pattern(row), row["id"], applies=" AND ".join(applies) or None))
+    return rules
+
+
+def picked_signatures(text: str, folded: Column, target: str, tool: str, feed: list[dict], only: str | None = None) -> Column:
+    """The matchers of a large feed that occur in the text and apply to its target and tool, in feed order.
+
+    A single pass of an automaton over the folded text picks the matchers whose literals occur; only these are tried, without a shuffle.
+    """
+    picked = _picker(feed_patterns(feed, only))(folded, F.col(target), F.col(tool))
+    return F.filter(picked, lambda r: F.rlike(F.col(text), r["pattern"]))
 
 
 def _picker(rows: list[dict]):
@@ -212,11 +214,14 @@ def find_all(text: Column, pattern: Column) -> Column:
 # ---------------------------------------------------------------- manipulation risk
 
 
-def risk_features(text: str, found: str, injected: Column) -> Column:
+def risk_rules() -> list[Rule]:
+    return [rule(n, rx) for n, rx in P.RISK_PATTERNS.items()]
+
+
+def risk_features(text: str, may: Callable[[str], str], injected: Column) -> Column:
     """Names of the manipulation features present, in the order of their weights."""
     override = F.when(injected, F.array(F.lit("instruction_override"))).otherwise(F.array().cast(STRINGS))
-    rules = [rule(n, rx) for n, rx in P.RISK_PATTERNS.items()]
-    return F.concat(override, F.expr(matched_names(text, rules, found)))
+    return F.concat(override, F.expr(matched_names(text, risk_rules(), may)))
 
 
 def risk_score(names: Column) -> Column:
