@@ -14,8 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -201,7 +204,7 @@ class InEventOrder(StatefulProcessor):
         raise NotImplementedError
 
     def replay(self, key: tuple, rows: list[tuple]) -> list[tuple]:
-        """Output of due rows, in order."""
+        """Output of due rows, in order; many rows come in several calls."""
         raise NotImplementedError
 
     def idle_from(self) -> int | None:
@@ -246,26 +249,56 @@ class InEventOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.alarm.clear()
         passed = timerValues.getCurrentWatermarkInMs() * _MS
-        due, later = [], []
-        for row in self.waiting.get():
-            (due if row[0] <= passed else later).append(tuple(row))
-        out = self.replay(key, sorted(due, key=lambda r: r[:2])) if due else []
-        if later:
-            self.waiting.put(later)
-            self._wake_at(min(r[0] for r in later))
+        kept = _Rows(self.COLUMNS, self.waiting.get())
+        for rows in kept.parts(kept.until(passed)):
+            yield pd.DataFrame(self.replay(key, rows), columns=[c.split()[0] for c in self.OUTPUT.split(", ")])
+        self.waiting.clear()
+        later = kept.after(passed)
+        if len(later):
+            for rows in kept.parts(later):
+                self.waiting.appendList(rows)
+            self._wake_at(kept.time(later[0]))
         else:
-            self.waiting.clear()
             idle = self.idle_from()
             if idle is not None and idle <= passed:
                 self.forget()
             elif idle is not None:
                 self._wake_at(idle)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.OUTPUT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
+class _Rows:
+    """Rows as Arrow columns, about a tenth of what tuples take, ordered by their first two columns and then as they came."""
+
+    PART = 10_000
+    _TYPES = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.large_string()}
+
+    def __init__(self, columns: str, rows: Iterator[tuple]):
+        types = [self._TYPES[c.split()[1]] for c in columns.split(", ")]
+        rows, batches = iter(rows), []
+        while part := list(islice(rows, self.PART)):
+            batches.append(pa.RecordBatch.from_arrays([pa.array(values, t) for values, t in zip(zip(*part), types)], names=[str(i) for i in range(len(types))]))
+        self.table = pa.Table.from_batches(batches, pa.schema([(str(i), t) for i, t in enumerate(types)]))
+        first, second = (self.table.column(i).to_numpy() for i in (0, 1))
+        self.order = np.lexsort((second, first))
+        self.times = first[self.order]
+
+    def until(self, us: int) -> np.ndarray:
+        return self.order[:np.searchsorted(self.times, us, "right")]
+
+    def after(self, us: int) -> np.ndarray:
+        return self.order[np.searchsorted(self.times, us, "right"):]
+
+    def time(self, row: int) -> int:
+        return self.table.column(0)[int(row)].as_py()
+
+    def parts(self, rows: np.ndarray) -> Iterator[list[tuple]]:
+        for at in range(0, len(rows), self.PART):
+            yield list(zip(*[c.to_pylist() for c in self.table.take(pa.array(rows[at:at + self.PART])).columns]))
+
+
 def _plain(values: pd.Series, kind: str) -> list:
     """Python values with None for missing ones; pandas turns whole numbers with gaps into floats."""
     convert = int if kind in ("int", "long") else bool if kind == "boolean" else str

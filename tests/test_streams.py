@@ -132,3 +132,16 @@ def test_equal_texts_are_scored_once_in_a_span(spark):
     for files in (1, 4):
         got = _run(spark, rows, "id bigint, ts timestamp, text string", files, lambda s: jobs.stream_dedup_score(s, 3600, ALL), "scores")
         assert sorted(r.id for r in got) == [0, 3, 4, 6]
+
+
+def test_waiting_rows_are_held_as_columns_and_read_in_parts(monkeypatch):
+    """Rows of one key stood in tuples, and their output in one table."""
+    monkeypatch.setattr(jobs._Rows, "PART", 3)
+    rows = [(5, 1, "b"), (3, 9, None), (5, 0, "a"), (9, 2, "z"), (3, 9, "later"), (1, 4, ""), (9, 1, "y")]
+    kept = jobs._Rows("us long, id long, text string", iter(rows))
+    parts = list(kept.parts(kept.until(5)))
+    assert max(map(len, parts)) == 3
+    assert [r for p in parts for r in p] == [(1, 4, ""), (3, 9, None), (3, 9, "later"), (5, 0, "a"), (5, 1, "b")]
+    later = kept.after(5)
+    assert kept.time(later[0]) == 9 and [r for p in kept.parts(later) for r in p] == [(9, 1, "y"), (9, 2, "z")]
+    assert list(jobs._Rows("us long, id long", iter([])).parts(kept.until(0))) == []
