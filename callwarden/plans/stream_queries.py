@@ -8,6 +8,7 @@ from callwarden.plans.content_queries import _JUDGED, _VARIANTS
 from callwarden.plans.ledger_queries import BREAKER
 from callwarden.plans.registry import ORACLES, query
 from callwarden.plans.views import VIEWS, _K, with_views
+from callwarden.sources.tables import spread
 from callwarden.streaming import jobs as J
 
 
@@ -24,7 +25,7 @@ def _plain_time(df, *names):
 
 @query("stream_scan", with_views(f"WITH {_VARIANTS.strip()}, {_JUDGED.strip()} SELECT doc_id, action, rule_id FROM decided", "corpus"))
 def stream_scan(spark, sf_dir):
-    corpus = spark.sql(VIEWS["corpus"], documents=J.read_table_stream(spark, sf_dir, "documents"))
+    corpus = spark.sql(VIEWS["corpus"], documents=spread(J.read_table_stream(spark, sf_dir, "documents"), "doc_id"))
     out = J.stream_scan(corpus)
     return J.run_available(out.select("doc_id", F.col("decision.action").alias("action"), F.col("decision.rule_id").alias("rule_id")), "stream_scan")
 
