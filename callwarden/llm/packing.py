@@ -12,9 +12,11 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,64 +27,91 @@ END = 2
 #: Words a worker keeps, and words it remembers to have seen once.
 _KNOWN = 200_000
 _ONCE = 250_000
-_TAIL = b".,!?;:"
+#: Rows and bytes of texts that are tokenized together.
+_SLICE = 1000, 4 << 20
+#: Words that are encoded in one text.
+_TOGETHER = 100
+#: Punctuation behind a letter is a token run of its own; none of these stands in a special token.
+_TAIL = ".,?!;:%*$&#"
 _TOKENS = "doc_id long, doc_tokens long, rest int, crcs array<long>"
+#: Letters that a word may end with before it is cut there, as their last two bytes: a-z, A-Z, and U+00C0 to U+012F but for the two signs.
+_LETTER = np.zeros((256, 256), bool)
+_LETTER[:, [*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_LETTER[0xC3, 0x80:0xC0] = _LETTER[0xC4, 0x80:0xB0] = True
+_LETTER[0xC3, [0x97, 0xB7]] = False
 
 
 class _Words(dict):
     """Ids of words (as little-endian bytes). A word is what stands between ASCII white space: no token spans that.
 
     The table keeps words that several slices held and is never emptied, so common words are learned once a worker; the others live as
-    long as their slice (``local``). ``once`` holds hashes of words that one slice has held.
+    long as their slice. ``once`` holds hashes of words that one slice has held.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
-        self.local: dict[bytes, bytes] = {}
         self.once: set[int] = set()
         marks = sorted((i, token.endswith("</w>")) for token, i in tokenizer.get_vocab().items())
         self.closes = np.zeros(marks[-1][0] + 1, bool)
         self.closes[[i for i, end in marks if end]] = True
 
-    def __missing__(self, word: bytes) -> bytes:
-        return self.local[word]
-
-    def learn(self, words: set[bytes]) -> None:
-        local: dict[bytes, bytes] = {}
-        new = [w for w in words if w not in self]
-        # letters and the punctuation behind them are tokenized apart
-        cores = {w: w.rstrip(_TAIL) for w in new}
-        pieces = {c for c in cores.values() if c and c not in self} | {t for w, c in cores.items() if c and len(c) < len(w) and (t := w[len(c):]) not in self}
-        plain, others = [], []
-        for piece in pieces:
-            text = piece.decode("utf-8", "surrogatepass")
-            (plain if text.isalpha() else others).append((piece, text))
-        for at in range(0, len(plain), 1000):
-            part = plain[at:at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1 if len(ids) else np.empty(0, int)
+    def ids(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words. Letters and the punctuation behind them are looked up apart."""
+        cores = pc.ascii_rtrim(words, characters=_TAIL)
+        letters = pc.if_else(_ends_in_letter(cores), cores, words)
+        sizes = pc.binary_length(letters)
+        cut = pc.not_equal(sizes, pc.binary_length(words))
+        whole = words.filter(cut).to_pylist()
+        tails = pa.array([w[len(w.rstrip(_TAIL)):] for w in whole], pa.string()).dictionary_encode()
+        letters = letters.dictionary_encode()
+        ids = self._lookup(letters.dictionary).take(letters.indices)
+        behind = self._lookup(tails.dictionary).take(tails.indices)
+        return pc.replace_with_mask(ids, cut, pc.binary_join_element_wise(ids.filter(cut), behind, pa.scalar(b"", pa.large_binary())))
+
+    def _lookup(self, words: pa.Array) -> pa.Array:
+        words = words.to_pylist()
+        ids = [*map(self.get, words)]
+        new = [w for w, found in zip(words, ids, strict=True) if found is None]
+        if new:
+            local = self._learn(new)
+            ids = [local[w] if found is None else found for w, found in zip(words, ids, strict=True)]
+        return pa.array(ids, pa.large_binary())
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        local: dict[str, bytes] = {}
+        plain, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        parts = [plain[at:at + _TOGETHER] for at in range(0, len(plain), _TOGETHER)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(part) or ends[-1] != len(ids):  # a letter that normalization takes apart
                 others += part
                 continue
             data, stops = ids.tobytes(), (4 * ends).tolist()
-            for (piece, _), lo, hi in zip(part, [0, *stops[:-1]], stops, strict=True):
-                local[piece] = data[lo:hi]
-        for (piece, _), got in zip(others, self.tokenizer.encode_batch([t for _, t in others], add_special_tokens=False), strict=True):
-            local[piece] = np.array(got.ids, "<u4").tobytes()
-        self.local = local
-        whole = [w for w in new if w not in local and not (cores[w] and cores[w][-1:].isalpha())]
-        for word, got in zip(whole, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in whole], add_special_tokens=False), strict=True):
-            local[word] = np.array(got.ids, "<u4").tobytes()
-        for word in new:
-            if word not in local:
-                local[word] = self[cores[word]] + self[word[len(cores[word]):]]
+            for word, lo, hi in zip(part, [0, *stops[:-1]], stops, strict=True):
+                local[word] = data[lo:hi]
+        for word, got in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            ids = got.ids
+            local[word] = pack_ids(f"<{len(ids)}I", *ids)
         if len(self) < _KNOWN:
-            seen = {hash(w): w for w in local}
-            self.update({w: local[w] for h, w in seen.items() if h in self.once})
+            self.update((w, i) for w, i in local.items() if hash(w) in self.once)
             if len(self.once) > _ONCE:
                 self.once.clear()
-            self.once.update(seen)
+            self.once.update(map(hash, local))
+        return local
+
+
+def _ends_in_letter(words: pa.Array) -> pa.Array:
+    """Whether a word's last character is one of ``_LETTER``; longer characters than two bytes are none."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset + 1:words.offset + len(words) + 1]
+    sizes = pc.binary_length(words).to_numpy()
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    if not len(data):
+        return pa.array(np.zeros(len(words), bool))
+    last, before = data[np.maximum(ends, 1) - 1], data[np.maximum(ends, 2) - 2]
+    return pa.array((sizes > 0) & _LETTER[before, last])
 
 
 @cache
@@ -99,16 +128,21 @@ def _tokenize(path: str, capacity: int):
         known = _words(path)
         end = END.to_bytes(4, "little")
         for whole in batches:
-            for batch in slices(whole, 1):
-                texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            for batch in slices(whole, 1, *_SLICE):
+                texts = batch.column(1)
                 # the tokenizer folds letters anyway, but for its special tokens
-                texts = [(t if b"<|" in t else t.lower()).split() for t in texts]
-                known.learn(set().union(*texts))
+                lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+                words = lists.flatten().dictionary_encode()
+                ids = known.ids(words.dictionary).take(words.indices)
+                _, offsets, data = ids.buffers()
+                data = memoryview(data) if data else memoryview(b"")
+                stops = np.frombuffer(offsets, np.int64)[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
                 sizes, crcs = [], []
-                for words in texts:
-                    ids = memoryview(b"".join([*map(known.__getitem__, words), end]))
-                    sizes.append(len(ids) // 4)
-                    crcs.append([zlib.crc32(ids[i:i + 4 * capacity]) for i in range(0, len(ids), 4 * capacity)])
+                for lo, hi in zip(stops[:-1], stops[1:], strict=True):
+                    sizes.append((hi - lo) // 4 + 1)
+                    found = [zlib.crc32(data[at:min(at + 4 * capacity, hi)]) for at in range(lo, hi + 1, 4 * capacity)]
+                    found[-1] = zlib.crc32(end, found[-1])
+                    crcs.append(found)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([n % capacity for n in sizes], pa.int32()),
                                                   pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "rest", "crcs"])
     return run

@@ -136,6 +136,48 @@ def test_packing(spark, docs):
     assert packing.pack(empty(spark), TOKENIZER).count() == 0
 
 
+def test_words_are_cut_before_punctuation(monkeypatch):
+    """Ids equal those of the whole text, and a word is encoded once for all the punctuation behind it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Counting:
+        def __init__(self):
+            self.inner, self.encoded = Tokenizer.from_file(TOKENIZER), []
+
+        def get_vocab(self):
+            return self.inner.get_vocab()
+
+        def encode(self, text, **options):
+            self.encoded.append(text)
+            return self.inner.encode(text, **options)
+
+        def __getattr__(self, name):
+            def batch(texts, **options):
+                self.encoded += texts
+                return getattr(self.inner, name)(texts, **options)
+            return batch
+
+    marks = [".", "%%%", "***", "$$$", "&&&", "###", "?!", "';", "'", "'s", "'S.", "|>", ".a"]
+    texts = [f"{w}{m}" for w in ("Word", "caf\u00e9", "x\u0130", "e\u0301", "\u00d7", "a1", "\u4e2d", "\u0100", "\u00aa", "<|endoftext|>", "<|ENDOFTEXT", "") for m in marks]
+    texts += [" ".join(texts), "", " ", "a\tb\nc\x0bd\x0ce\rf\x1cg\x85h\u00a0i", "%", "a" * 5000, " ".join(["a"] * 8), " ".join(["a"] * 7), "\U0001f600a. a\U0001f600.", "A<|endoftext|>B. \u00c9"]
+    counting = Counting()
+    words = packing._Words(counting)
+    monkeypatch.setattr(packing, "_words", lambda path: words)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    for part in (batch, batch.slice(3, 100), batch):  # again with known words, and from the middle of a batch
+        rows = pa.Table.from_batches(packing._tokenize(TOKENIZER, 8)(iter([part]))).to_pylist()
+        assert [r["doc_id"] for r in rows] == part.column(0).to_pylist()
+        for row in rows:
+            ids = np.array([*counting.inner.encode(texts[row["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
+            assert row["doc_tokens"] == len(ids) and row["rest"] == len(ids) % 8
+            assert row["crcs"] == [zlib.crc32(ids[i:i + 8].tobytes()) for i in range(0, len(ids), 8)], texts[row["doc_id"]]
+    counting.encoded.clear()
+    once = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([" ".join(f"qxqx\u00e9{m}" for m in ("%%%", "***", "$$$", "&&&", "###", ".", "!", ""))])], names=["doc_id", "text"])
+    list(packing._tokenize(TOKENIZER, 8)(iter([once])))
+    assert sum("qxqx" in text for text in counting.encoded) == 1
+
+
 def test_windows_use_every_piece():
     counts = {3000: 2, 1096: 3, 700: 5, 5: 9, 4095: 1, 1: 1}
     plan = packing.plan_windows(counts)
