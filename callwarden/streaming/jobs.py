@@ -305,10 +305,11 @@ def _plain(values: pd.Series, kind: str) -> list:
     return [None if gone else convert(v) for v, gone in zip(values, values.isna())]
 
 
-def replay_stream(rows: DataFrame, key: str, processor: InEventOrder, lateness: str = LATENESS) -> DataFrame:
-    """``processor`` over the rows of each key (columns: ts, the key, and what the processor reads)."""
+def replay_stream(rows: DataFrame, key: str, processor: InEventOrder, lateness: str = LATENESS, where: Column | None = None) -> DataFrame:
+    """``processor`` over the rows of each key (columns: ts, the key, and what the processor reads) that fulfil ``where``."""
     names = [c.split()[0] for c in processor.COLUMNS.split(", ")]
-    timed = event_time(rows, F.col("ts").isNotNull(), lateness).withColumn("us", F.unix_micros("ts"))
+    wanted = F.col("ts").isNotNull() if where is None else F.col("ts").isNotNull() & where
+    timed = event_time(rows, wanted, lateness).withColumn("us", F.unix_micros("ts"))
     return timed.select("ts", key, *names).groupBy(key).transformWithStateInPandas(processor, processor.OUTPUT, "append", "EventTime")
 
 
@@ -447,36 +448,46 @@ def stream_taint(calls: DataFrame, forget_seconds: int | None = None, lateness:
 
 
 class _FirstInSpan(InEventOrder):
-    COLUMNS = "us long, id long, text string"
+    """The key is a group of texts, as each call to the state store costs more than a text does."""
+
+    COLUMNS = "us long, id long, hash string, text string"
     OUTPUT = "id bigint, ts timestamp, hash string, text string"
 
     def __init__(self, span_us: int):
         self.span_us = span_us
 
     def open(self) -> None:
-        self.last = self.handle.getValueState("last", "us long")
+        self.last = self.handle.getListState("last", "hash string, us long")
 
     def replay(self, key, rows):
-        last, out = (self.last.get() or (None,))[0], []
-        for us, number, text in rows:
-            if last is None or us >= last + self.span_us:
-                last = us
-                out.append((number, pd.Timestamp(us, unit="us"), key[0], text))
-        self.last.update((last,))
+        # rows come in order: what the first of them no longer falls under matters to none
+        last = {h: us for h, us in self.last.get() if us + self.span_us > rows[0][0]}
+        out = []
+        for us, number, text_hash, text in rows:
+            if text_hash not in last or us >= last[text_hash] + self.span_us:
+                last[text_hash] = us
+                out.append((number, pd.Timestamp(us, unit="us"), text_hash, text))
+        if last:
+            self.last.put([*last.items()])
+        else:
+            self.last.clear()
         return out
 
     def idle_from(self):
-        return self.last.get()[0] + self.span_us if self.last.exists() else None
+        newest = max((us for _, us in self.last.get()), default=None)
+        return None if newest is None else newest + self.span_us
 
     def forget(self):
         self.last.clear()
 
 
-def stream_dedup_score(texts: DataFrame, within_seconds: int = 3600, lateness: str = LATENESS) -> DataFrame:
+def stream_dedup_score(texts: DataFrame, within_seconds: int = 3600, lateness: str = LATENESS, groups: int = 1024) -> DataFrame:
     """Risk of texts (id, ts, text): the first of equal texts is scored, and again only once the time span has passed since the last score.
 
-    State: one time for each text of the newest span, and the texts that wait for the watermark. Null texts are not scored.
+    State: one time for each text of the newest span, and the texts that wait for the watermark, in ``groups`` groups by hash (fixed for
+    the life of a checkpoint). Null texts are not scored.
     """
-    rows = texts.withColumn("hash", F.coalesce(F.sha2("text", 256), F.lit("")))
-    fresh = replay_stream(rows.select("id", "ts", "text", "hash"), "hash", _FirstInSpan(within_seconds * 1_000_000), lateness)
-    return C.scan(fresh.where(F.col("hash") != ""), "text", "user_input", parts=("injection", "risk")).select("id", "ts", "hash", "risk")
+    hashed = texts.withColumn("hash", F.sha2("text", 256)).withColumn("group", F.pmod(F.xxhash64("hash"), F.lit(groups)))
+    fresh = replay_stream(hashed.select("id", "ts", "text", "hash", "group"), "group", _FirstInSpan(within_seconds * 1_000_000), lateness,
+                          F.col("text").isNotNull())
+    return C.scan(fresh, "text", "user_input", parts=("injection", "risk")).select("id", "ts", "hash", "risk")

@@ -134,6 +134,39 @@ def test_equal_texts_are_scored_once_in_a_span(spark):
         assert sorted(r.id for r in got) == [0, 3, 4, 6]
 
 
+def test_texts_of_a_group_share_their_state(spark, monkeypatch):
+    """Each text had state of its own, null texts too; texts of one group must not hide each other."""
+    monkeypatch.setattr(jobs._Rows, "PART", 7)
+    schema = "id bigint, ts timestamp, text string"
+    rng = random.Random(7)
+    rows = [(i, START + dt.timedelta(minutes=rng.randrange(400)), rng.choice(["a", "b", "c", "d", None])) for i in range(200)]
+    last, want = {}, []
+    for i, ts, text in sorted(rows, key=lambda r: (r[1], r[0])):
+        if text is not None and (text not in last or ts >= last[text] + dt.timedelta(hours=1)):
+            last[text] = ts
+            want.append(i)
+    got = _run(spark, rows, schema, 2, lambda s: jobs.stream_dedup_score(s, 3600, ALL, 2), "scores")
+    assert sorted(r.id for r in got) == sorted(want)
+
+    folder, log = scratch_path(spark, "group-input"), scratch_path(spark, "group-log")
+    first = [(i, START, f"text {i}") for i in range(1500)] + [(1500, START, None)]
+    for part in (first, [(2000, START + dt.timedelta(minutes=30), "text 1")], [(2001, START + dt.timedelta(hours=9), "new")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        job = jobs.stream_dedup_score(spark.readStream.schema(schema).parquet(folder), 3600)
+        with jobs._rocks(spark):
+            job.writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+        def state(variable):
+            return spark.read.format("statestore").option("path", log).option("stateVarName", variable).load()
+
+        if part is first:
+            assert state("waiting").count() == 1500 and state("waiting").select("key").distinct().count() <= 1024
+    # only the group of the row that still waits keeps what it held until then
+    assert state("waiting").select("key").first() and state("last").select("key").distinct().subtract(state("waiting").select("key")).count() == 0
+    assert state("waiting").count() == 1
+    assert sorted(r.id for r in spark.read.parquet(f"{folder}-out").collect()) == list(range(1500))
+
+
 def test_waiting_rows_are_held_as_columns_and_read_in_parts(monkeypatch):
     """Rows of one key stood in tuples, and their output in one table."""
     monkeypatch.setattr(jobs._Rows, "PART", 3)
