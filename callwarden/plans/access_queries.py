@@ -200,13 +200,21 @@ leveled AS (SELECT x.*, greatest(coalesce(r.label, 0), coalesce(d.seed, 0)) AS l
 _CALL_VIEWS = ("requests", "mandates", "catalog", "sinks", "tasks", "closure", "calls")
 
 
-def _judged_calls(spark, sf_dir, arguments):
-    """Calls with guard and mandate findings and the sink."""
-    log = L.circuit_breaker(view(spark, sf_dir, "calls"), **LOG_BREAKER)
-    guard = L.rate_limit(log, HOUR_LIMITS, bucket_seconds=3600).select(
-        "id", "recent_blocks", "breaker_refused", "rate_scope", "rate_count", "rate_refused")
+def _guarded(spark, sf_dir):
+    """What breaker and rate limit say of each call; stored in narrow rows, as the breaker is read several times and the result for reads and calls."""
+    log = L.circuit_breaker(view(spark, sf_dir, "calls").select("id", "ts", "task_id", "agent_id", "principal", "synthetic", "action"), **LOG_BREAKER)
+    log = cut_lineage(log.drop("task_id", "action"))
+    return cut_lineage(L.rate_limit(log, HOUR_LIMITS, bucket_seconds=3600).select(
+        "id", "recent_blocks", "breaker_refused", "rate_scope", "rate_count", "rate_refused"))
+
+
+def _judged_calls(spark, sf_dir, arguments, guard, tool=None):
+    """Calls (of one tool) with guard and mandate findings and the sink."""
     args = F.create_map(*[x for k, v in arguments.items() for x in (F.lit(k), v)])
-    calls = _calls_with_mandate(spark, sf_dir).join(guard, "id").withColumns({
+    calls = _calls_with_mandate(spark, sf_dir)
+    if tool is not None:
+        calls = calls.where(F.col("tool") == tool)
+    calls = calls.join(guard, "id").withColumns({
         "args": args, "sink": A.resolve_sink(F.col("tool"), F.col("recipient")),
         "tool_status": F.when(F.col("tool") == "legal_db.search", "quarantined").otherwise("approved")})
     return Z.check_calls(calls, LOG_BREAKER, code_mode=F.when(F.col("synthetic"), "block").otherwise("sandbox"))
@@ -214,11 +222,14 @@ def _judged_calls(spark, sf_dir, arguments):
 
 def _checked_calls(spark, sf_dir):
     """Calls with guard and mandate findings, sink, clearance, and the level of their tree."""
+    guard = _guarded(spark, sf_dir)
+    where = {"path": F.col("path"), "to": F.col("recipient")}
     checked = _judged_calls(spark, sf_dir, {
-        "path": F.col("path"), "to": F.col("recipient"), "query": F.col("body"), "body": F.col("body"), "code": F.col("body"), "content": F.col("body"),
-        "title": F.lit("note"), "subject": F.lit("hello"), "url": F.lit("https://x.example/in"), "key": F.lit("k1")})
-    tasks = view(spark, sf_dir, "tasks")
-    leveled = flow.tree_levels(checked, tasks, tree.ancestry(tasks), Z.executed_reads(checked, view(spark, sf_dir, "catalog")))
+        **where, "query": F.col("body"), "body": F.col("body"), "code": F.col("body"), "content": F.col("body"),
+        "title": F.lit("note"), "subject": F.lit("hello"), "url": F.lit("https://x.example/in"), "key": F.lit("k1")}, guard)
+    reads = Z.executed_reads(_judged_calls(spark, sf_dir, where, guard, "doc.read"), view(spark, sf_dir, "catalog"))
+    tasks = cut_lineage(view(spark, sf_dir, "tasks"))
+    leveled = flow.tree_levels(checked, tasks, tree.ancestry(tasks), reads)
     return A.sink_clearance(leveled, view(spark, sf_dir, "sinks"))
 
 
@@ -228,7 +239,7 @@ SELECT id, task_id, sink, level, clearance FROM leveled WHERE writes AND level >
 def flow_violations(spark, sf_dir):
     """Writes that would leak, whatever else is wrong with the call: levels come from executed reads in the whole tree."""
     silent = [t for t, spec in TOOLS.items() if spec.get("writes") is False]
-    judged = _judged_calls(spark, sf_dir, {"path": F.col("path"), "to": F.col("recipient")})
+    judged = _judged_calls(spark, sf_dir, {"path": F.col("path"), "to": F.col("recipient")}, _guarded(spark, sf_dir))
     # read for the levels and for the writes: stored once, without arguments
     slim = cut_lineage(judged.select("id", "ts", "task_id", "tool", "path", "sink", is_blocked(F.col("findings")).alias("refused")))
     reads = flow.label_reads(slim.where((F.col("tool") == "doc.read") & ~F.col("refused")), view(spark, sf_dir, "catalog"))

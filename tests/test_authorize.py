@@ -191,3 +191,18 @@ def test_a_chain_of_fifty_thousand_tasks(spark):
 def test_reports_give_what_is_asked_for(spark):
     log = spark.range(12_000).select("id", F.lit(False).alias("synthetic"), F.lit("BLOCK").alias("action"))
     assert reporting.audit_query(log, limit=None).count() == 12_000 and reporting.audit_query(log, limit=11_000).count() == 11_000
+
+
+def test_guard_of_the_call_log_is_worked_out_once(spark):
+    """Breaker and rate limit were worked out for the reads and again for the calls; reads were judged with all other calls."""
+    from callwarden.plans import access_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    checked = Q._checked_calls(spark, folder)
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    guard = Q._guarded(spark, folder)
+    path = {"path": F.col("path"), "to": F.col("recipient")}
+    reads = Q._judged_calls(spark, folder, path, guard, "doc.read").select("id", "findings").collect()
+    every = {r.id: r.findings for r in Q._judged_calls(spark, folder, {**path, "body": F.col("body")}, guard).where("tool = 'doc.read'").collect()}
+    assert {r.id: r.findings for r in reads} == every and every
