@@ -231,7 +231,8 @@ def request_approvals(calls: DataFrame, verdicts: DataFrame, keys: list[str], tt
 
     Adds ``request_id`` (the request that was used, is pending or was opened), ``opened`` and ``rule_id``.
     """
-    first = verdicts.groupBy(F.col("request_id").alias("id")).agg(F.min(F.struct("seq", "verdict", "ts")).alias("_v"))
+    given = verdicts.withColumnRenamed("request_id", "id").join(calls.select("id"), "id", "left_semi")
+    first = given.groupBy("id").agg(F.min(F.struct("seq", "verdict", "ts")).alias("_v"))
     own = calls.select("id", "ts", *keys).join(first, "id", "left")
     base = cut_lineage(own.select("id", "ts", *keys, F.col("_v.verdict").alias("_verdict"), F.greatest("ts", F.col("_v.ts")).alias("_at")))
     # every call, and every call's verdict, looks for the two calls that follow

@@ -47,6 +47,11 @@ def guard_finding(breaker: dict | None = None) -> Column:
     return F.when(F.col("breaker_refused"), opened).when(F.col("rate_refused"), limited)
 
 
+def guard_refuses() -> Column:
+    """The guard's flags refuse the call; flags that are null refuse nothing."""
+    return F.coalesce(F.col("breaker_refused"), F.lit(False)) | F.coalesce(F.col("rate_refused"), F.lit(False))
+
+
 def mandate_findings(mandate_on: Column | bool, code_on: Column | bool, code_mode: Column | str) -> Column:
     """All that the mandate, the code rule and the tool registry object to; an unknown tool has no further checks."""
     tool = F.col("tool")
@@ -82,6 +87,16 @@ def check_calls(calls: DataFrame, breaker: dict | None = None, mandate_on: Colum
     return S.stage(calls, findings=both)
 
 
+def is_open() -> Column:
+    """Nothing has refused the checked call yet, so content, flow and approval still have a say. The others keep their ``findings``."""
+    return A.tool_known(F.col("tool")) & ~is_blocked(F.col("findings"))
+
+
+def settle(refused: DataFrame) -> DataFrame:
+    """``decision`` of calls that are not open: their findings are complete, and their texts are never looked at."""
+    return S.stage(refused, decision=decide(F.col("findings")))
+
+
 def executed_reads(checked: DataFrame, catalog: DataFrame) -> DataFrame:
     """Labels of the reads that nothing refused: a refused read taints nobody. Case law is public, so only documents count."""
     ran = checked.where((F.col("tool") == "doc.read") & ~is_blocked(F.col("findings")))
@@ -93,13 +108,12 @@ def authorize(checked: DataFrame, controls: C.Controls = C.BALANCED, feed: list[
     """``findings`` and ``decision`` of each call.
 
     Input: ``check_calls`` with sink, clearance and level. Content and flow are looked at only if nothing blocked the call
-    before; both may object. Calls that need a person's consent and are not blocked get APPROVAL-001, unless the row
+    before; both may object, and calls that are not open can as well be set aside (``settle``). Calls that need a person's consent and are not blocked get APPROVAL-001, unless the row
     carries the id of a fitting approval in ``approval_id`` (``access.match_approvals`` over the calls that need one).
     """
     tool, sink = F.col("tool"), F.col("sink")
     gated = P.APPROVAL_TOOLS if approval_tools is None else approval_tools
-    open_ = A.tool_known(tool) & ~is_blocked(F.col("findings"))
-    work = S.stage(checked, _open=open_, _outbound=F.when(open_, outbound_text(tool)).otherwise(""), _before=F.col("findings"))
+    work = S.stage(checked, _open=is_open(), _outbound=F.when(is_open(), outbound_text(tool)).otherwise(""), _before=F.col("findings"))
     outside = writes(tool) & (F.col("clearance") < P.CONFIDENTIAL)
     scanned = C.scan(work, "_outbound", "tool_args", tool=tool, feed=feed, entities=controls.entities, pii_when=outside,
                      parts=("signatures", "secrets", "pii"))

@@ -44,7 +44,7 @@ def taint_timeline(calls: DataFrame, reads: DataFrame) -> DataFrame:
     return joined.withColumn("level", level_before(F.struct("ts", "id"))).drop(*[f"at{n}" for n in LEVELS])
 
 
-def _rises(tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> DataFrame:
+def rises(tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> DataFrame:
     """One row per task: ``seed``, the level inherited at creation, and the (ts, id) moments ``at1`` to ``at3`` at which it rose.
 
     A read raises the task and all its ancestors at once. A child starts with its parent's level at that time, and
@@ -66,14 +66,18 @@ def _rises(tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> DataFrame:
 
 def tree_levels(calls: DataFrame, tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> DataFrame:
     """Level of the calling task before each call: what it inherited, read itself, or had read below it in the tree."""
-    rises = _rises(tasks, closure, reads).withColumnRenamed("id", "task_id")
+    return levels_from(calls, rises(tasks, closure, reads))
+
+
+def levels_from(calls: DataFrame, risen: DataFrame) -> DataFrame:
+    """Level of the calling task before each call, from the ``rises`` of the tasks."""
     level = F.greatest(F.coalesce("seed", F.lit(0)), level_before(F.struct("ts", "id")))
-    return calls.join(rises, "task_id", "left").withColumn("level", level).drop("seed", *[f"at{n}" for n in LEVELS])
+    return calls.join(risen.withColumnRenamed("id", "task_id"), "task_id", "left").withColumn("level", level).drop("seed", *[f"at{n}" for n in LEVELS])
 
 
 def propagate_taint(tasks: DataFrame, closure: DataFrame, reads: DataFrame) -> DataFrame:
     """Per task: level inherited at creation, moments at which it rose, and final level."""
-    joined = _rises(tasks, closure, reads)
+    joined = rises(tasks, closure, reads)
     seed = F.col("seed")
     final = F.lit(0)
     for n in LEVELS:

@@ -18,48 +18,43 @@ from callwarden.session import cut_lineage
 def rate_limit(calls: DataFrame, limits: dict[str, int] | None = None, bucket_seconds: int = 60) -> DataFrame:
     """Add ``rate_scope``, ``rate_count`` and ``rate_refused`` to each call.
 
-    Every call counts in all its scopes, refused or not; synthetic calls and calls the breaker refused do not.
-    Buckets are counted first. Only buckets above a limit are numbered call by call, which in a healthy log is a
-    small part of it.
+    Every call counts in all its scopes, refused or not; synthetic calls and calls the breaker refused do not. A scope or time that
+    is not known limits nobody. Counting calls are numbered in one scope after the other and carry their numbers along; every scope
+    lies inside a bucket, so one shuffle by bucket serves all three unless a bucket is too large for one task.
     """
     limits = P.RATE_LIMITS if limits is None else limits
-    scopes = F.array(
-        *[
-            F.struct(F.lit(i).alias("ord"), scope.alias("scope"), F.lit(limits[name]).alias("max_n"))
-            for i, (name, scope) in enumerate([
-                ("agent", F.concat(F.lit("agent:"), "agent_id")),
-                ("principal", F.concat(F.lit("principal:"), "principal")),
-                ("global", F.lit("global")),
-            ])
-        ]
-    )
-    counted = calls.where(~F.col("synthetic"))
+    scopes = {
+        "agent": F.concat(F.lit("agent:"), "agent_id"),
+        "principal": F.concat(F.lit("principal:"), "principal"),
+        "global": F.lit("global"),
+    }
+    counts = ~F.col("synthetic") & time_chunk("ts", bucket_seconds).isNotNull()
     if "breaker_refused" in calls.columns:
-        counted = counted.where(~F.col("breaker_refused"))
-    rows = counted.select("id", "ts", time_chunk("ts", bucket_seconds).alias("bucket"), F.explode(scopes).alias("s")).select(
-        "id", "ts", "bucket", "s.ord", "s.scope", "s.max_n"
-    )
-    full = rows.groupBy("scope", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("max_n").alias("m")).where("n > m")
-    candidates = rows.join(full.select("scope", "bucket"), ["scope", "bucket"], "left_semi")
-    numbered = running(candidates, ["scope", "bucket"], ["ts", "id"], {"n": ("count", F.lit(1))})
-    refused = numbered.where(F.col("n") > F.col("max_n")).groupBy("id").agg(
-        F.min(F.struct("ord", "scope", "n")).alias("_over")
-    )
-    return calls.join(refused, "id", "left").select(
-        *calls.columns, F.col("_over.scope").alias("rate_scope"), F.col("_over.n").alias("rate_count"),
-        F.col("_over").isNotNull().alias("rate_refused"),
+        counts = counts & ~F.col("breaker_refused")
+    counts = F.coalesce(counts, F.lit(False))
+    numbered = calls.where(counts).withColumn("_bucket", F.coalesce(time_chunk("ts", bucket_seconds).cast("string"), F.lit("")))
+    for name in reversed(scopes):
+        inside = {} if name == "global" else {"_scope": F.coalesce(scopes[name], F.lit(""))}
+        numbered = running(numbered.withColumns(inside), ["_bucket", *inside], ["ts", "id"], {f"_n_{name}": ("count", F.lit(1))}).drop(*inside)
+    over = {name: F.when(scope.isNotNull() & (F.col(f"_n_{name}") > limits[name]), F.struct(scope.alias("scope"), F.col(f"_n_{name}").alias("n")))
+            for name, scope in scopes.items()}
+    known = numbered.withColumn("_over", F.coalesce(*over.values()))
+    free = calls.where(~counts).withColumn("_over", F.lit(None).cast(known.schema["_over"].dataType))
+    return known.select(*calls.columns, "_over").unionByName(free).select(
+        *calls.columns, F.col("_over.scope").alias("rate_scope"), F.col("_over.n").alias("rate_count"), F.col("_over").isNotNull().alias("rate_refused"),
     )
 
 
 # ---------------------------------------------------------------- circuit breaker
 
 
-def trailing_counts(calls: DataFrame, window_seconds: int, flags: dict[str, Column], key: str = "task_id") -> DataFrame:
-    """For each call, how many earlier calls of the key within the window satisfy each flag.
+def trailing_counts(calls: DataFrame, window_seconds: int, flags: dict[str, Column], key: str = "task_id", keep: list[str] | None = None) -> DataFrame:
+    """For each call, how many earlier calls of the key within the window satisfy each flag; ``keep`` names other columns to carry along.
 
     Time is cut into tiles one window long. A tile also receives the flagged rows of the tile before it, so every
     window lies inside one group and a busy key is spread over its tiles. Rows at the very start of the window
-    are outside it; rows of the same instant count if their id is lower.
+    are outside it; rows of the same instant count if their id is lower. A count is all that came before less what is out of the
+    window: both frames begin with the group, so a row costs the same however many calls the window holds, and one sort serves both.
     """
     width = window_seconds * 1_000_000
     names = list(flags)
@@ -67,20 +62,23 @@ def trailing_counts(calls: DataFrame, window_seconds: int, flags: dict[str, Colu
     for c in flags.values():
         any_flag = any_flag | c
     base = calls.select(
-        key, "ts", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
+        "*", F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
         *[F.when(c, 1).otherwise(0).alias(f"_f_{n}") for n, c in flags.items()], any_flag.alias("_any"),
     )
     tile = F.expr(f"_us div {width}")
-    copies = F.when(F.col("_any"), F.array(F.struct(tile.alias("tile"), F.lit(True).alias("own")),
+    copies = F.when(F.col("_any") & tile.isNotNull(), F.array(F.struct(tile.alias("tile"), F.lit(True).alias("own")),
                                            F.struct((tile + 1).alias("tile"), F.lit(False).alias("own")))
                     ).otherwise(F.array(F.struct(tile.alias("tile"), F.lit(True).alias("own"))))
     tiled = base.withColumn("_t", F.explode(copies)).select("*", F.col("_t.tile").alias("_tile"), F.col("_t.own").alias("_own")).drop("_t")
-    within = Window.partitionBy(key, "_tile").orderBy("_us").rangeBetween(-(width - 1), 0)
-    not_before = Window.partitionBy(key, "_tile", "_us").orderBy("id").rowsBetween(0, Window.unboundedFollowing)
-    counted = tiled.select(
-        "*", *[(F.sum(f"_f_{n}").over(within) - F.sum(f"_f_{n}").over(not_before)).alias(n) for n in names]
-    )
-    return counted.where("_own").select(key, "id", *names)
+    group = Window.partitionBy(key, "_tile")
+    before = group.orderBy("_us", "id").rowsBetween(Window.unboundedPreceding, -1)
+    outside = group.orderBy("_us").rangeBetween(Window.unboundedPreceding, -width)
+    ranked = tiled.select("*", *[F.sum(f"_f_{n}").over(before).alias(f"_b_{n}") for n in names])
+    counted = ranked.select("*", *[F.sum(f"_f_{n}").over(outside).alias(f"_o_{n}") for n in names])
+    # rows without a time are all of one instant, and of one tile
+    gone = {n: F.when(F.col("_us").isNotNull(), F.coalesce(f"_o_{n}", F.lit(0))).otherwise(0) for n in names}
+    columns = [key, "id"] if keep is None else keep
+    return counted.where("_own").select(*columns, *[(F.coalesce(f"_b_{n}", F.lit(0)) - gone[n]).alias(n) for n in names])
 
 
 def _exempt(calls: DataFrame) -> Column:
@@ -90,8 +88,9 @@ def _exempt(calls: DataFrame) -> Column:
 
 def circuit_breaker(calls: DataFrame, blocks: int, window_seconds: int) -> DataFrame:
     """Observed log: a call is refused when its task already had ``blocks`` BLOCK rows in the last window; synthetic tasks are exempt."""
-    seen = trailing_counts(calls, window_seconds, {"recent_blocks": F.col("action") == "BLOCK"})
-    return calls.join(seen.drop("task_id"), "id").withColumn("breaker_refused", (F.col("recent_blocks") >= blocks) & ~_exempt(calls))
+    columns = ["id", *[c for c in calls.columns if c != "id"]]
+    seen = trailing_counts(calls, window_seconds, {"recent_blocks": F.col("action") == "BLOCK"}, keep=columns)
+    return seen.withColumn("breaker_refused", (F.col("recent_blocks") >= blocks) & ~_exempt(calls))
 
 
 def breaker_feedback(calls: DataFrame, blocks: int, window_seconds: int, max_rounds: int = 10_000) -> DataFrame:

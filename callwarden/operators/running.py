@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from callwarden.session import cut_lineage
 
@@ -75,12 +76,14 @@ def running(
     structs and ignore nulls. The size of the largest key is looked up first: one aggregation over the key columns.
     """
     depth = DEPTH if depth is None else depth
+    # text that is never null groups as it is, so rows that already lie by such a key are not shuffled again
+    ready = {f.name for f in df.schema if f.dataType == StringType() and not f.nullable}
+    by = [k if k in ready else f"_k{i}" for i, k in enumerate(keys)] or ["_k0"]
     work = df.select(
         "*",
-        *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")).alias(f"_k{i}") for i, k in enumerate(keys)] or [F.lit("").alias("_k0")],
+        *[F.coalesce(F.col(k).cast("string"), F.lit("\u0000")).alias(g) for k, g in zip(keys, by) if k != g] if keys else [F.lit("").alias("_k0")],
         *[value.alias(f"_m_{name}") for name, (_, value) in measures.items()],
     )
-    by = [f"_k{i}" for i in range(max(1, len(keys)))]
     sizes = work.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > depth)
     n_rows = sizes.agg(F.sum("_n")).first()[0]
 

@@ -206,3 +206,19 @@ def test_guard_of_the_call_log_is_worked_out_once(spark):
     reads = Q._judged_calls(spark, folder, path, guard, "doc.read").select("id", "findings").collect()
     every = {r.id: r.findings for r in Q._judged_calls(spark, folder, {**path, "body": F.col("body")}, guard).where("tool = 'doc.read'").collect()}
     assert {r.id: r.findings for r in reads} == every and every
+
+
+def test_only_open_calls_reach_the_scan(spark):
+    """Calls that guard or mandate had refused went through levels and the scan of texts with all others."""
+    from callwarden.operators.decide import is_blocked
+    from callwarden.plans import access_queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    scanned = Q._checked_calls(spark, folder)
+    assert scanned.where(is_blocked(F.col("findings"))).count() == 0
+    refused, calls, _ = Q._split_calls(spark, folder)
+    logged = Q.view(spark, folder, "requests")
+    assert 0 < scanned.count() == calls.count() < logged.count()
+    both = refused.select("id").unionByName(scanned.select("id"))
+    assert both.count() == logged.count() == both.join(logged, "id", "left_semi").distinct().count()
+    assert refused.where(~is_blocked(F.col("findings"))).count() == 0

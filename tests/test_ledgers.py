@@ -163,3 +163,46 @@ def test_admission_chains_settle_in_few_rounds(spark):
                                 "scope string, token_limit bigint, calls_limit bigint, concurrency_limit bigint")
     got = ledger.admit(df, lim, max_rounds=4).where("admitted").count()
     assert 0 < got < len(reqs)
+
+
+def _shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Join")
+
+
+def test_guard_counts_with_one_shuffle_each(spark, monkeypatch):
+    """Breaker and rate limit joined their counts back to the calls; a row of the breaker cost as much as its window held."""
+    rng = random.Random(21)
+    calls = [(i, None if i % 29 == 0 else _at(rng.randrange(900)), rng.choice(["a", "b", None]), rng.choice(["BLOCK", "ALLOW"]),
+              rng.choice(["x", "y", None]), rng.choice("pq"), rng.choice([False, False, True])) for i in range(400)]
+    log = spark.createDataFrame(calls, "id int, ts timestamp_ntz, task_id string, action string, agent_id string, principal string, synthetic boolean")
+    guarded = ledger.circuit_breaker(log, 4, 60)
+    seconds = {c[0]: None if c[1] is None else (c[1] - START).total_seconds() for c in calls}
+
+    def counts(b, c):
+        at, now = seconds[b[0]], seconds[c[0]]
+        if b[2] != c[2] or b[3] != "BLOCK" or (at is None) != (now is None):
+            return False
+        return b[0] < c[0] if at == now else at is not None and now - 60 < at < now
+
+    recent = {c[0]: sum(counts(b, c) for b in calls) for c in calls}
+    opened = {c[0]: recent[c[0]] >= 4 and not c[6] for c in calls}
+    assert {r.id: (r.recent_blocks, r.breaker_refused) for r in guarded.collect()} == {i: (n, opened[i]) for i, n in recent.items()}
+    assert 0 < sum(opened.values()) < len(calls)
+
+    limits, seen, want = {"agent": 3, "principal": 4, "global": 6}, {}, {c[0]: (None, None, False) for c in calls}
+    for i, ts, _, _, agent, principal, synthetic in sorted((c for c in calls if c[1] is not None), key=lambda c: (c[1], c[0])):
+        if synthetic or opened[i]:
+            continue
+        over = []
+        for name, scope in (("agent", agent and f"agent:{agent}"), ("principal", f"principal:{principal}"), ("global", "global")):
+            n = seen[scope, ts.minute] = seen.get((scope, ts.minute), 0) + 1
+            if scope is not None and n > limits[name]:
+                over.append((scope, n, True))
+        want[i] = over[0] if over else want[i]
+    for depth in (1_000_000, 12):  # also when a bucket is too large for one task
+        monkeypatch.setattr(running_module, "DEPTH", depth)
+        assert {r.id: (r.rate_scope, r.rate_count, r.rate_refused) for r in ledger.rate_limit(guarded, limits).collect()} == want
+    monkeypatch.undo()
+    assert {w[0] for w in want.values()} >= {None, "agent:x", "principal:p", "global"}
+    assert _shuffles(ledger.circuit_breaker(log, 4, 60)) == (1, 0) and _shuffles(ledger.rate_limit(log, limits)) == (1, 0)
