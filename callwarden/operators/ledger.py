@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,58 +203,188 @@ def ledger_state(reservations: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-#: Requests that one task replays in order.
-REPLAY = 50_000
-
+#: Requests that the first round of an admission replays; each further round may replay twice as many.
+REPLAY = 1_000_000
+
+#: Scopes, or different sets of scopes, that are looked at in the driver and sent to every task.
+SCREEN = 1_000_000
+
+_NO_ROOM = -(1 << 62)
+_NO_TIME, _NEVER = -(1 << 63), (1 << 63) - 1
+
+
+def _codes(scopes: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different scopes of a column of lists, the place of each element among them, and where each list begins and ends."""
+    found = scopes.flatten().dictionary_encode()
+    ends = np.concatenate([[0], np.cumsum(scopes.value_lengths().to_numpy(zero_copy_only=False).astype("int64"))])
+    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), ends
+
+
+def _screen(scopes: list[str], most: np.ndarray, loose: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Takes the scopes that cannot limit from the requests and adds what is certain: refused above the ``most`` tokens that a scope may
+    still have, admitted without a scope that could limit."""
+    place = {s: i for i, s in enumerate(scopes)}
+    most, loose = np.append(most, 1 << 62), np.append(loose, False)
+
+    def screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, codes, ends = _codes(batch["scopes"])
+            at = np.array([place.get(s, -1) for s in names], dtype="int64")[codes]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            refused = np.zeros(batch.num_rows, dtype=bool)
+            refused[row[batch["need"].to_numpy()[row] > most[at]]] = True
+            held = ~loose[at]
+            sizes = np.bincount(row[held], minlength=batch.num_rows)
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), batch["scopes"].flatten().filter(pa.array(held)))
+            verdict = pa.array(~refused, mask=~refused & (sizes > 0))
+            yield pa.RecordBatch.from_arrays([kept if n == "scopes" else batch[n] for n in batch.schema.names] + [verdict], [*batch.schema.names, "verdict"])
+
+    return screened
+
+
+_REPLAYED = ("group", "kind", "us", "n", "need", "settle_us", "back", "t", "c", "a")
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the requests admitted. In order come, for each group: the room of each scope (tokens, calls, slots), then what earlier
+    requests give back (``kind`` 0) and the requests (1). Only the rooms and the requests still running are held."""
+    group, rooms, stops = None, {}, []
+    for batch in batches:
+        names, codes, ends = _codes(batch["scopes"])
+        held: list[list[int] | None] = [None] * len(names)
+        columns = [batch[c].fill_null(_NEVER if c == "settle_us" else 0).to_numpy().tolist() for c in _REPLAYED]
+        codes, admitted = codes.tolist(), []
+        for g, kind, us, n, need, settle, back, t, c, a, start, end in zip(*columns, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if g != group:
+                group, rooms, stops, held = g, {}, [], [None] * len(names)
+            if kind < 0:
+                rooms[names[codes[start]]] = [t, c, a]
+                continue
+            while stops and stops[0][0] <= us:
+                _, _, over, returned = heapq.heappop(stops)
+                for r in over:
+                    r[0] += returned
+                    r[2] += 1
+            uses = []
+            for i in codes[start:end]:
+                r = held[i]
+                if r is None:
+                    r = held[i] = rooms[names[i]]
+                if kind and (r[0] < need or r[1] < 1 or r[2] < 1):
+                    break
+                uses.append(r)
+            else:
+                for r in uses:
+                    if kind:
+                        r[0] -= need
+                        r[1] -= 1
+                        r[2] -= 1
+                    else:
+                        r[0] += back
+                        r[2] += 1
+                if kind:
+                    admitted.append(n)
+                    if settle < _NEVER:
+                        heapq.heappush(stops, (settle, n, uses, back))
+        yield pa.RecordBatch.from_pydict({"n": pa.array(admitted, pa.int64())})
+
+
+def _connected(sets: list[list[str]]) -> dict[str, str]:
+    """For each scope one scope of all that are connected by common sets."""
+    top: dict[str, str] = {}
+
+    def find(s: str) -> str:
+        while top.setdefault(s, s) != s:
+            top[s] = s = top[top[s]]
+        return s
+
+    for first, *others in sets:
+        for s in others:
+            top[find(s)] = find(first)
+    return {s: find(s) for x in sets for s in x}
+
+
+def _admitted(base: DataFrame, limit: DataFrame, depth: int, max_rounds: int) -> DataFrame:
+    """Numbers of the admitted requests (n, id, us, need, settle_us, back, scopes).
+
+    All requests up to the frontier are decided. A round first bounds the usage of every scope at any later time, from what is admitted
+    and what is open: a request is refused for certain if a scope never again has room for it, and a scope that has room even for all open
+    requests is left out. Calls are never given back and of tokens only a part, so used up scopes settle all the rest of their requests
+    at once. Then the first open requests are replayed in order, apart for scopes that no request connects.
+    """
+    spark = base.sparkSession
+    open_, taken, sure = base, None, []
+    frontier = _NO_TIME
+    for turn in range(max_rounds):
+        used = spark.createDataFrame([], "scope string, t bigint, c bigint, a bigint, t_low bigint, t_high bigint, a_low bigint")
+        if taken is not None:
+            ended = F.coalesce(F.col("settle_us") <= frontier, F.lit(False))
+            now, later = F.when(ended, F.col("need") - F.col("back")).otherwise(F.col("need")), F.col("need") - F.col("back")
+            used = taken.select("*", F.explode("scopes").alias("scope")).groupBy("scope").agg(
+                F.sum(now).alias("t"), F.count(F.lit(1)).alias("c"), F.count_if(~ended).alias("a"),
+                F.sum(F.when(F.col("settle_us").isNull(), F.col("need")).otherwise(F.least(now, later))).alias("t_low"),
+                F.sum(F.when(F.col("settle_us").isNull(), F.col("need")).otherwise(F.greatest(now, later))).alias("t_high"),
+                F.count_if(F.col("settle_us").isNull()).alias("a_low"))
+        after = F.when(F.col("settle_us").isNull(), F.col("need")).otherwise(F.col("need") - F.col("back"))
+        wanted = open_.select("need", after.alias("after"), F.explode("scopes").alias("scope")).groupBy("scope").agg(
+            F.count(F.lit(1)).alias("rows"), F.max("need").alias("largest"),
+            F.sum(F.greatest(F.lit(0), "need", "after")).alias("high"), F.sum(F.least(F.lit(0), "need", "after")).alias("low"))
+        table = cut_lineage(wanted.join(limit, "scope", "left").join(used, "scope", "left").fillna(0, ["t", "c", "a", "t_low", "t_high", "a_low"]))
+        tokens, calls, slots = F.col("token_limit"), F.col("calls_limit"), F.col("concurrency_limit")
+        has_room = tokens.isNotNull() & (F.col("c") + 1 <= calls) & (F.col("a_low") + 1 <= slots)
+        most = F.when(has_room, tokens - F.col("t_low") - F.col("low")).otherwise(_NO_ROOM)
+        loose = (F.col("t_high") + F.col("high") <= tokens) & (F.col("c") + F.col("rows") <= calls) & (F.col("a") + F.col("rows") <= slots)
+        told = table.select("scope", "rows", "largest", F.coalesce(most, F.lit(_NO_ROOM)).alias("most"), F.coalesce(loose, F.lit(False)).alias("loose")).where(
+            F.col("loose") | (F.col("most") < F.col("largest"))).orderBy(F.desc("rows"), "scope").limit(SCREEN).toPandas()
+        if len(told):
+            seen = open_.mapInArrow(_screen(told["scope"].tolist(), told["most"].to_numpy("int64"), told["loose"].to_numpy(bool)),
+                                    f"{open_._jdf.schema().toDDL()}, verdict boolean")
+            seen = cut_lineage(seen)
+            sure.append(seen.where("verdict").select("n"))
+            open_ = seen.where(F.col("verdict").isNull()).drop("verdict")
+        n_open = open_.count()
+        if n_open == 0:
+            break
+        groups = _open_groups(open_, n_open)
+        grouped = open_.withColumn("group", F.lit(0)) if groups is None else open_.join(
+            groups.select(F.col("scope").alias("_first"), "group"), F.element_at("scopes", 1) == F.col("_first")).drop("_first")
+        largest = grouped.groupBy("group").count().orderBy(F.desc("count")).first()
+        size = depth << turn
+        until = None if largest["count"] <= size else grouped.where(F.col("group") == largest["group"]).agg(
+            F.percentile_approx("us", size / largest["count"])).first()[0]
+        head = grouped if until is None else grouped.where(F.col("us") <= until)
+        rooms = head.select("group", F.explode("scopes").alias("scope")).distinct().join(table, "scope")
+        left = [F.coalesce(x - F.col(u), F.lit(_NO_ROOM)).alias(u) for x, u in ((tokens, "t"), (calls, "c"), (slots, "a"))]
+        kinds = rooms.select("group", F.lit(-1).alias("kind"), F.lit(_NO_TIME).alias("us"), F.array("scope").alias("scopes"), *left)
+        if taken is not None:
+            running_on = taken.where(F.col("settle_us") > frontier).select(F.explode("scopes").alias("scope"), F.col("settle_us").alias("us"), "back")
+            kinds = kinds.unionByName(running_on.join(rooms.select("group", "scope"), "scope").select(
+                "group", F.lit(0).alias("kind"), "us", F.array("scope").alias("scopes"), "back"), allowMissingColumns=True)
+        kinds = kinds.unionByName(head.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        in_order = kinds.repartition("group").sortWithinPartitions("group", F.col("kind") >= 0, "us", "kind", "id", "n")
+        admitted = cut_lineage(in_order.select(*_REPLAYED, "scopes").mapInArrow(_replay, "n bigint"))
+        sure.append(admitted)
+        if until is None:
+            break
+        now_taken = base.join(admitted, "n", "left_semi")
+        taken = cut_lineage(now_taken if taken is None else taken.unionByName(now_taken))
+        open_, frontier = open_.where(F.col("us") > until), until
+    else:
+        raise RuntimeError("admission did not settle")
+    return reduce(DataFrame.unionByName, sure) if sure else base.select("n").limit(0)
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """The verdicts of a group of requests that change when the group is replayed in order, all other requests taken as guessed.
 
-    ``room`` is what the guess leaves of tokens, calls and slots in each scope; ``more`` is what the group's own changes add to it.
-    """
-    more: dict[str, list[int]] = {}
-    stops: list[tuple] = []
-    ids, verdicts = [], []
-    for n, r in enumerate(rows.sort_values(["us", "id"]).itertuples(index=False)):
-        while stops and stops[0][0] <= r.us:
-            _, _, sign, scopes, change = heapq.heappop(stops)
-            for s in scopes:
-                more[s][0] -= sign * change
-                more[s][2] += sign
-        fits = True
-        for s, room in zip(r.scope, r.room, strict=True):
-            t, c, a = more.get(s, (0, 0, 0))
-            fits = fits and room[0] + t >= 0 and room[1] + c >= 0 and room[2] + a >= 0
-        if fits == r.guess:
-            continue
-        ids.append(r.id)
-        verdicts.append(fits)
-        sign = 1 if fits else -1
-        for s in r.scope:
-            use = more.setdefault(s, [0, 0, 0])
-            use[0] -= sign * r.tokens
-            use[1] -= sign
-            use[2] -= sign
-        if not pd.isna(r.settle_us):
-            heapq.heappush(stops, (int(r.settle_us), n, sign, r.scope, 0 if pd.isna(r.actual) else int(r.actual) - r.tokens))
-    return pd.DataFrame({"id": pd.Series(ids, dtype=rows["id"].dtype), "verdict": pd.Series(verdicts, dtype="bool")})
-
-
-def _groups(requests: DataFrame, depth: int) -> DataFrame:
-    """(id, home, part, slice): the groups that replay a request, each of at most ``depth``.
-
-    Its home is its largest scope that holds at most half of all requests, or else its smallest, cut in time into parts. Slices cut all
-    requests in time.
-    """
-    named = requests.select("id", "ts", F.explode(F.array_distinct("scopes")).alias("scope"))
-    sizes = named.groupBy("scope").agg(F.count(F.lit(1)).alias("n"))
-    half = requests.count() / 2
-    best = named.join(sizes, "scope").groupBy("id", "ts").agg(
-        F.max(F.when(F.col("n") <= half, F.struct("n", "scope"))).alias("_large"), F.min(F.struct("n", "scope")).alias("_small")
-    ).select("id", "ts", F.coalesce("_large.scope", "_small.scope").alias("home"))
-    parts = running(best, ["home"], ["ts", "id"], {"at": ("count", F.lit(1))}, inclusive=False)
-    slices = running(parts, [], ["ts", "id"], {"slice": ("count", F.lit(1))}, inclusive=False)
-    return slices.select("id", "home", F.expr(f"at div {depth}").alias("part"), F.expr(f"slice div {depth}").alias("slice"))
+def _open_groups(requests: DataFrame, n_open: int) -> DataFrame | None:
+    """(scope, group): scopes that open requests connect; None if they are one group, or mostly, or too many to look at."""
+    largest = requests.select(F.explode("scopes").alias("scope")).groupBy("scope").count().agg(F.max("count")).first()[0]
+    if 2 * largest >= n_open:
+        return None
+    sets = requests.select("scopes").distinct().limit(SCREEN + 1).toPandas()["scopes"]
+    if len(sets) > SCREEN:
+        return None
+    group = _connected([list(s) for s in sets])
+    numbers = {top: i for i, top in enumerate(dict.fromkeys(group.values()))}
+    return requests.sparkSession.createDataFrame(pd.DataFrame({"scope": list(group), "group": [numbers[top] for top in group.values()]}))
 
 
 def admit(requests: DataFrame, limits: DataFrame, max_rounds: int = 10_000, depth: int | None = None) -> DataFrame:
@@ -258,60 +392,37 @@ def admit(requests: DataFrame, limits: DataFrame, max_rounds: int = 10_000, dept
 
     Requests: id, ts, tokens, scopes, settle_ts, actual (no settle_ts: still running; no actual: outcome unknown,
     tokens stay held). Limits: scope, token_limit, calls_limit, concurrency_limit. A request holds tokens, one
-    call and one slot in each scope, only if all scopes have room.
+    call and one slot in each scope, only if all scopes have room. Requests without an id or a scope are left out.
 
-    The verdicts start as a guess (none admitted). A round takes the usage under the guess as running sums over scope and time and
-    replays groups of at most ``depth`` requests in order, each with the others as guessed: in turn the requests of one
-    scope and slices of time. A request depends on earlier ones only, so the verdicts that no replay changes are those of the
-    sequential log, and every slice round settles one more slice at least; chains inside a scope or a slice take one round.
+    ``_admitted`` finds the requests that the sequential log admits; ``depth`` is the number its first round replays. The usage that a refused
+    request met is then a running sum over scope and time.
     """
     depth = REPLAY if depth is None else depth
-    limit = limits.select("scope", "token_limit", "calls_limit", "concurrency_limit")
-    spread = requests.select("id", "ts", "tokens", "settle_ts", "actual", F.explode(F.array_distinct("scopes")).alias("scope")).join(
-        limit, "scope", "left"
-    )
-    start = cut_lineage(spread.select(
-        "id", "scope", "ts", F.lit(1).alias("kind"), "tokens", F.col("tokens").alias("_dt"), F.lit(1).alias("_dc"), F.lit(1).alias("_da"),
-        "token_limit", "calls_limit", "concurrency_limit",
-    ))
-    stop = requests.where(F.col("settle_ts").isNotNull()).select(
-        "id", F.explode(F.array_distinct("scopes")).alias("scope"), F.col("settle_ts").alias("ts"), F.lit(0).alias("kind"), "tokens",
-        F.coalesce(F.col("actual") - F.col("tokens"), F.lit(0)).alias("_dt"), F.lit(0).alias("_dc"), F.lit(-1).alias("_da"),
-        *[F.lit(None).cast("bigint").alias(c) for c in ("token_limit", "calls_limit", "concurrency_limit")],
-    )
-
-    def usage(state: DataFrame) -> DataFrame:
-        """Each request in each of its scopes with the usage before it."""
-        ended = stop.join(state.where("admitted"), "id")
-        moves = start.join(state, "id").unionByName(ended)
-        held = {name: ("sum", F.when(F.col("admitted"), F.col(move)).otherwise(0)) for name, move in (("dt", "_dt"), ("dc", "_dc"), ("da", "_da"))}
-        return running(moves, ["scope"], ["ts", "kind", "id"], held, inclusive=False).where(F.col("kind") == 1)
-
-    left = [F.col("token_limit") - F.col("tokens") - F.col("dt"), F.col("calls_limit") - 1 - F.col("dc"), F.col("concurrency_limit") - 1 - F.col("da")]
-    room = F.array(*[F.coalesce(r.cast("bigint"), F.lit(-(1 << 62))) for r in left])
-    facts = cut_lineage(requests.select(
-        "id", F.col("tokens").cast("bigint").alias("tokens"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-        F.unix_micros(F.col("settle_ts").cast("timestamp")).alias("settle_us"), F.col("actual").cast("bigint").alias("actual"),
-    ).join(_groups(requests, depth), "id"))
-    state = facts.select("id", F.lit(False).alias("admitted"))
-    for n in range(max_rounds):
-        rooms = usage(state).groupBy("id").agg(
-            F.collect_list("scope").alias("scope"), F.collect_list(room).alias("room"), F.first("admitted").alias("guess"))
-        changed = cut_lineage(facts.join(rooms, "id").groupBy(*(("home", "part") if n % 2 == 0 else ("slice",))).applyInPandas(
-            _replay, f"id {dict(requests.dtypes)['id']}, verdict boolean"))
-        if changed.limit(1).count() == 0:
-            break
-        state = cut_lineage(state.join(changed, "id", "left").select("id", F.coalesce("verdict", "admitted").alias("admitted")))
-    else:
-        raise RuntimeError("admission did not settle")
+    limit = limits.groupBy("scope").agg(*[F.min(c).cast("bigint").alias(c) for c in ("token_limit", "calls_limit", "concurrency_limit")])
+    us = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(_NO_TIME))
+    need = F.col("tokens").cast("bigint")
+    settle = F.unix_micros(F.col("settle_ts").cast("timestamp"))
+    base = cut_lineage(requests.where(F.col("id").isNotNull() & (F.size("scopes") > 0)).select(
+        F.monotonically_increasing_id().alias("n"), "id", "ts", "tokens", us.alias("us"), need.alias("need"),
+        F.when(settle.isNotNull(), F.greatest(settle, us)).alias("settle_us"),
+        (need - F.coalesce(F.col("actual").cast("bigint"), need)).alias("back"), F.array_distinct("scopes").alias("scopes")))
+    known = base.where(F.col("need").isNotNull() & ~F.exists("scopes", lambda s: s.isNull())).drop("ts", "tokens")
+    admitted = _admitted(known, limit, depth, max_rounds).select("n", F.lit(True).alias("admitted"))
+    state = cut_lineage(base.join(admitted, "n", "left").withColumn("admitted", F.col("admitted").isNotNull()))
+    flat = state.select("n", "id", "admitted", "us", "need", "settle_us", "back", F.explode("scopes").alias("scope"))
+    start = flat.select("n", "id", "admitted", "scope", "us", F.lit(1).alias("kind"), "need", *[F.when(F.col("admitted"), c).otherwise(0).cast("bigint").alias(m)
+                                                                                               for m, c in (("_t", F.col("need")), ("_c", F.lit(1)), ("_a", F.lit(1)))])
+    stop = flat.where(F.col("admitted") & F.col("settle_us").isNotNull()).select(
+        "n", "id", "admitted", "scope", F.col("settle_us").alias("us"), F.lit(0).alias("kind"), "need", (-F.col("back")).alias("_t"),
+        F.lit(0).cast("bigint").alias("_c"), F.lit(-1).cast("bigint").alias("_a"))
+    held = {name: ("sum", F.col(move)) for name, move in (("dt", "_t"), ("dc", "_c"), ("da", "_a"))}
+    met = running(start.unionByName(stop), ["scope"], ["us", "kind", "id", "n"], held, inclusive=False).where(~F.col("admitted"))
     lacking = exceeded_dimension(
         F.col("dt"), F.lit(0), F.col("dc"), F.col("da"),
-        {"tokens": F.col("token_limit"), "calls": F.col("calls_limit"), "concurrency": F.col("concurrency_limit")}, F.col("tokens"),
-    )
-    failing = usage(state).where(~F.col("admitted") & lacking.isNotNull()).groupBy("id").agg(
-        F.min(F.struct("scope", lacking.alias("dimension"))).alias("_first")
+        {"tokens": F.col("token_limit"), "calls": F.col("calls_limit"), "concurrency": F.col("concurrency_limit")}, F.col("need"),
     )
-    return requests.select("id", "ts", "tokens").join(state, "id").join(failing, "id", "left").select(
+    failing = met.join(limit, "scope", "left").where(lacking.isNotNull()).groupBy("n").agg(F.min(F.struct("scope", lacking.alias("dimension"))).alias("_first"))
+    return state.select("n", "id", "ts", "tokens", "admitted").join(failing, "n", "left").select(
         "id", "ts", "tokens", "admitted", F.col("_first.scope").alias("scope"), F.col("_first.dimension").alias("dimension")
     )
 

@@ -165,6 +165,74 @@ def test_admission_chains_settle_in_few_rounds(spark):
     assert 0 < got < len(reqs)
 
 
+def _sequential(reqs, limits):
+    """Verdict, scope and dimension of each request (id, seconds, tokens, scopes, settle, actual), one after the other."""
+    use, stops, out = {k: [0, 0, 0] for k in limits}, [], []
+    for i, at, tokens, scopes, settle, actual in sorted(reqs, key=lambda r: (-1 if r[1] is None else r[1], r[0])):
+        for stop in [x for x in stops if at is not None and x[0] <= at]:
+            stops.remove(stop)
+            for s in stop[1]:
+                use[s] = [use[s][0] + stop[2], use[s][1], use[s][2] - 1]
+        why = None
+        for s in sorted(set(scopes), key=lambda x: x or ""):
+            if s not in limits:
+                why = (s, "missing_scope")
+            elif tokens is not None and use[s][0] + tokens > limits[s][0]:
+                why = (s, "tokens")
+            elif use[s][1] + 1 > limits[s][1]:
+                why = (s, "calls")
+            elif use[s][2] >= limits[s][2]:
+                why = (s, "concurrency")
+            if why:
+                break
+        fits = why is None and tokens is not None
+        out.append((i, fits, *(why or (None, None))))
+        if fits:
+            for s in set(scopes):
+                use[s] = [use[s][0] + tokens, use[s][1] + 1, use[s][2] + 1]
+            if settle is not None:
+                stops.append((settle, set(scopes), 0 if actual is None else actual - tokens))
+    return sorted(out, key=str)
+
+
+def _admission(spark, reqs, limits, **how):
+    rows = [(i, None if at is None else _at(at), tokens, scopes, None if settle is None else _at(settle), actual) for i, at, tokens, scopes, settle, actual in reqs]
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp_ntz, tokens bigint, scopes array<string>, settle_ts timestamp_ntz, actual bigint")
+    lim = spark.createDataFrame([(k, *v) for k, v in limits.items()], "scope string, token_limit bigint, calls_limit bigint, concurrency_limit bigint")
+    return sorted([(r.id, r.admitted, r.scope, r.dimension) for r in ledger.admit(df, lim, **how).collect()], key=str)
+
+
+def test_admission_over_long_logs_settles_in_few_rounds(spark):
+    """A guess for each part of a scope admitted what the parts before had used up, and most rounds settled one slice of time."""
+    rng = random.Random(9)
+    reqs = []
+    for i in range(900):
+        tokens, at = rng.randrange(40), 7 * i
+        reqs.append((i, at, tokens, [f"task:{i % 61}", f"principal:{i % 4}", "global"], None if i % 50 == 0 else at + 200, tokens // 2 if tokens % 3 else None))
+    limits = {f"task:{k}": (300, 20, 3) for k in range(61)} | {f"principal:{k}": (1000, 60, 9) for k in range(4)} | {"global": (2500, 240, 30)}
+    got = _admission(spark, reqs, limits, depth=30, max_rounds=6)
+    assert got == _sequential(reqs, limits)
+    assert {g[3] for g in got} == {None, "tokens", "calls", "concurrency"} and sum(g[1] for g in got) > 200
+
+
+def test_admission_of_odd_requests(spark):
+    """Unknown scopes and times, repeated ids, more used than reserved, limits that bind nobody, apart or in one group."""
+    rng = random.Random(13)
+    reqs = []
+    for i in range(160):
+        at, tokens = None if i % 31 == 30 else rng.randrange(900), None if i % 37 == 36 else rng.randrange(30)
+        principal = None if i % 29 == 28 else f"principal:{i % 5}"
+        settle = None if at is None or i % 6 == 0 else at + rng.randrange(0, 200)
+        reqs.append((i, at, tokens, [f"task:{i % 15}", principal, "global", "global"], settle, None if i % 7 == 0 else rng.randrange(45)))
+    reqs += reqs[5:140:9]
+    scopes = {f"task:{k}": (60, 6, 2) for k in range(14)} | {f"principal:{k}": (250, 14, 3) for k in range(5)}
+    for limits in (scopes | {"global": (700, 40, 8)}, scopes | {"global": (10**6, 10**6, 10**6)}):
+        want = _sequential(reqs, limits)
+        assert 20 < sum(w[1] for w in want) < 100
+        for depth in (12, 1000):
+            assert _admission(spark, reqs, limits, depth=depth) == want
+
+
 def _shuffles(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return plan.count("Exchange hashpartitioning"), plan.count("Join")
