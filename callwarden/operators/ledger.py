@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from callwarden.operators.running import running, time_chunk
 from callwarden.rules import policy as P
@@ -206,6 +207,9 @@ def ledger_state(reservations: DataFrame, events: DataFrame) -> DataFrame:
 #: Requests that the first round of an admission replays; each further round may replay twice as many.
 REPLAY = 1_000_000
 
+#: Requests of one slice of time, when there are more than a few for each core.
+SLICE = 1_000_000
+
 #: Scopes, or different sets of scopes, that are looked at in the driver and sent to every task.
 SCREEN = 1_000_000
 
@@ -245,16 +249,19 @@ def _screen(scopes: list[str], most: np.ndarray, loose: np.ndarray) -> Callable[
 _REPLAYED = ("group", "kind", "us", "n", "need", "settle_us", "back", "t", "c", "a")
 
 
-def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of the requests admitted. In order come, for each group: the room of each scope (tokens, calls, slots), then what earlier
-    requests give back (``kind`` 0) and the requests (1). Only the rooms and the requests still running are held."""
+def _replay(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Numbers of the requests admitted or, with columns to ``carry``, these of all requests with verdict and what was lacking.
+
+    In order come, for each group: the room of each scope (tokens, calls, slots), then what earlier requests give back (``kind`` 0) and the
+    requests (1; 2 if refused in any case). Only the rooms and the requests still running are held.
+    """
     group, rooms, stops = None, {}, []
     for batch in batches:
         names, codes, ends = _codes(batch["scopes"])
         held: list[list[int] | None] = [None] * len(names)
-        columns = [batch[c].fill_null(_NEVER if c == "settle_us" else 0).to_numpy().tolist() for c in _REPLAYED]
-        codes, admitted = codes.tolist(), []
-        for g, kind, us, n, need, settle, back, t, c, a, start, end in zip(*columns, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        columns = [batch[c].fill_null({"settle_us": _NEVER, "need": _NO_TIME}.get(c, 0)).to_numpy().tolist() for c in _REPLAYED]
+        codes, admitted, at, lacking = codes.tolist(), [], [], []
+        for row, (g, kind, us, n, need, settle, back, t, c, a, start, end) in enumerate(zip(*columns, ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
             if g != group:
                 group, rooms, stops, held = g, {}, [], [None] * len(names)
             if kind < 0:
@@ -265,28 +272,50 @@ def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in over:
                     r[0] += returned
                     r[2] += 1
-            uses = []
+            uses, fits = [], kind == 1
             for i in codes[start:end]:
                 r = held[i]
                 if r is None:
-                    r = held[i] = rooms[names[i]]
-                if kind and (r[0] < need or r[1] < 1 or r[2] < 1):
-                    break
-                uses.append(r)
-            else:
-                for r in uses:
-                    if kind:
-                        r[0] -= need
-                        r[1] -= 1
-                        r[2] -= 1
-                    else:
-                        r[0] += back
-                        r[2] += 1
+                    r = held[i] = rooms.get(names[i])
                 if kind:
-                    admitted.append(n)
-                    if settle < _NEVER:
-                        heapq.heappush(stops, (settle, n, uses, back))
-        yield pa.RecordBatch.from_pydict({"n": pa.array(admitted, pa.int64())})
+                    fits = fits and r[0] >= need and r[1] >= 1 and r[2] >= 1
+                    if not fits:
+                        break
+                    uses.append(r)
+                elif r is not None:
+                    r[0] += back
+                    r[2] += 1
+            if fits:
+                for r in uses:
+                    r[0] -= need
+                    r[1] -= 1
+                    r[2] -= 1
+                if settle < _NEVER:
+                    heapq.heappush(stops, (settle, n, uses, back))
+            if fits and not carry:
+                admitted.append(n)
+            if kind and carry:
+                at.append(row)
+                admitted.append(fits)
+                lacking.append((None, None) if fits else min(
+                    ((names[i], d) for i in codes[start:end] if (d := _lacking(held[i] or rooms[names[i]], need))), default=(None, None)))
+        if carry:
+            kept = [batch[c].take(pa.array(at, pa.int64())) for c in carry]
+            said = [pa.array([x[i] for x in lacking], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(admitted, pa.bool_()), *said], [*carry, "admitted", "scope", "dimension"])
+        else:
+            yield pa.RecordBatch.from_pydict({"n": pa.array(admitted, pa.int64())})
+
+
+def _lacking(room: list[int], need: int) -> str | None:
+    """``exceeded_dimension`` of what a scope has left; an unknown need or limit exceeds nothing."""
+    if room[0] == _NO_ROOM:
+        return "missing_scope"
+    if room[0] < need:
+        return "tokens"
+    if _NO_ROOM < room[1] < 1:
+        return "calls"
+    return "concurrency" if _NO_ROOM < room[2] < 1 else None
 
 
 def _connected(sets: list[list[str]]) -> dict[str, str]:
@@ -335,11 +364,10 @@ def _admitted(base: DataFrame, limit: DataFrame, depth: int, max_rounds: int) ->
         most = F.when(has_room, tokens - F.col("t_low") - F.col("low")).otherwise(_NO_ROOM)
         loose = (F.col("t_high") + F.col("high") <= tokens) & (F.col("c") + F.col("rows") <= calls) & (F.col("a") + F.col("rows") <= slots)
         told = table.select("scope", "rows", "largest", F.coalesce(most, F.lit(_NO_ROOM)).alias("most"), F.coalesce(loose, F.lit(False)).alias("loose")).where(
-            F.col("loose") | (F.col("most") < F.col("largest"))).orderBy(F.desc("rows"), "scope").limit(SCREEN).toPandas()
-        if len(told):
-            seen = open_.mapInArrow(_screen(told["scope"].tolist(), told["most"].to_numpy("int64"), told["loose"].to_numpy(bool)),
-                                    f"{open_._jdf.schema().toDDL()}, verdict boolean")
-            seen = cut_lineage(seen)
+            F.col("loose") | (F.col("most") < F.col("largest"))).orderBy(F.desc("rows"), "scope").limit(SCREEN).toArrow()
+        if told.num_rows:
+            screened = _screen(told["scope"].to_pylist(), told["most"].to_numpy(), told["loose"].to_numpy())
+            seen = cut_lineage(open_.mapInArrow(screened, StructType([*open_.schema.fields, StructField("verdict", BooleanType())])))
             sure.append(seen.where("verdict").select("n"))
             open_ = seen.where(F.col("verdict").isNull()).drop("verdict")
         n_open = open_.count()
@@ -366,7 +394,7 @@ def _admitted(base: DataFrame, limit: DataFrame, depth: int, max_rounds: int) ->
         sure.append(admitted)
         if until is None:
             break
-        now_taken = base.join(admitted, "n", "left_semi")
+        now_taken = _those(base, admitted)
         taken = cut_lineage(now_taken if taken is None else taken.unionByName(now_taken))
         open_, frontier = open_.where(F.col("us") > until), until
     else:
@@ -379,12 +407,12 @@ def _open_groups(requests: DataFrame, n_open: int) -> DataFrame | None:
     largest = requests.select(F.explode("scopes").alias("scope")).groupBy("scope").count().agg(F.max("count")).first()[0]
     if 2 * largest >= n_open:
         return None
-    sets = requests.select("scopes").distinct().limit(SCREEN + 1).toPandas()["scopes"]
+    sets = requests.select("scopes").distinct().limit(SCREEN + 1).toArrow()["scopes"].to_pylist()
     if len(sets) > SCREEN:
         return None
-    group = _connected([list(s) for s in sets])
+    group = _connected(sets)
     numbers = {top: i for i, top in enumerate(dict.fromkeys(group.values()))}
-    return requests.sparkSession.createDataFrame(pd.DataFrame({"scope": list(group), "group": [numbers[top] for top in group.values()]}))
+    return requests.sparkSession.createDataFrame(pa.table({"scope": list(group), "group": [numbers[top] for top in group.values()]}))
 
 
 def admit(requests: DataFrame, limits: DataFrame, max_rounds: int = 10_000, depth: int | None = None) -> DataFrame:
@@ -394,37 +422,57 @@ def admit(requests: DataFrame, limits: DataFrame, max_rounds: int = 10_000, dept
     tokens stay held). Limits: scope, token_limit, calls_limit, concurrency_limit. A request holds tokens, one
     call and one slot in each scope, only if all scopes have room. Requests without an id or a scope are left out.
 
-    ``_admitted`` finds the requests that the sequential log admits; ``depth`` is the number its first round replays. The usage that a refused
-    request met is then a running sum over scope and time.
+    ``_admitted`` finds the requests that the sequential log admits; ``depth`` is the number its first round replays. What a refused
+    request met is then replayed in slices of time, all at once, each from the usage that the admitted ones leave at its start.
     """
     depth = REPLAY if depth is None else depth
     limit = limits.groupBy("scope").agg(*[F.min(c).cast("bigint").alias(c) for c in ("token_limit", "calls_limit", "concurrency_limit")])
     us = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(_NO_TIME))
     need = F.col("tokens").cast("bigint")
     settle = F.unix_micros(F.col("settle_ts").cast("timestamp"))
+    parts = max(2 * requests.sparkSession.sparkContext.defaultParallelism, requests.count() // SLICE)
     base = cut_lineage(requests.where(F.col("id").isNotNull() & (F.size("scopes") > 0)).select(
-        F.monotonically_increasing_id().alias("n"), "id", "ts", "tokens", us.alias("us"), need.alias("need"),
-        F.when(settle.isNotNull(), F.greatest(settle, us)).alias("settle_us"),
-        (need - F.coalesce(F.col("actual").cast("bigint"), need)).alias("back"), F.array_distinct("scopes").alias("scopes")))
-    known = base.where(F.col("need").isNotNull() & ~F.exists("scopes", lambda s: s.isNull())).drop("ts", "tokens")
-    admitted = _admitted(known, limit, depth, max_rounds).select("n", F.lit(True).alias("admitted"))
-    state = cut_lineage(base.join(admitted, "n", "left").withColumn("admitted", F.col("admitted").isNotNull()))
-    flat = state.select("n", "id", "admitted", "us", "need", "settle_us", "back", F.explode("scopes").alias("scope"))
-    start = flat.select("n", "id", "admitted", "scope", "us", F.lit(1).alias("kind"), "need", *[F.when(F.col("admitted"), c).otherwise(0).cast("bigint").alias(m)
-                                                                                               for m, c in (("_t", F.col("need")), ("_c", F.lit(1)), ("_a", F.lit(1)))])
-    stop = flat.where(F.col("admitted") & F.col("settle_us").isNotNull()).select(
-        "n", "id", "admitted", "scope", F.col("settle_us").alias("us"), F.lit(0).alias("kind"), "need", (-F.col("back")).alias("_t"),
-        F.lit(0).cast("bigint").alias("_c"), F.lit(-1).cast("bigint").alias("_a"))
-    held = {name: ("sum", F.col(move)) for name, move in (("dt", "_t"), ("dc", "_c"), ("da", "_a"))}
-    met = running(start.unionByName(stop), ["scope"], ["us", "kind", "id", "n"], held, inclusive=False).where(~F.col("admitted"))
-    lacking = exceeded_dimension(
-        F.col("dt"), F.lit(0), F.col("dc"), F.col("da"),
-        {"tokens": F.col("token_limit"), "calls": F.col("calls_limit"), "concurrency": F.col("concurrency_limit")}, F.col("need"),
-    )
-    failing = met.join(limit, "scope", "left").where(lacking.isNotNull()).groupBy("n").agg(F.min(F.struct("scope", lacking.alias("dimension"))).alias("_first"))
-    return state.select("n", "id", "ts", "tokens", "admitted").join(failing, "n", "left").select(
-        "id", "ts", "tokens", "admitted", F.col("_first.scope").alias("scope"), F.col("_first.dimension").alias("dimension")
-    )
+        "id", "ts", "tokens", us.alias("us"), need.alias("need"), F.when(settle.isNotNull(), F.greatest(settle, us)).alias("settle_us"),
+        (need - F.coalesce(F.col("actual").cast("bigint"), need)).alias("back"), F.array_distinct("scopes").alias("scopes"),
+    ).repartitionByRange(parts, "us", "id").select("*", F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("n")))
+    unnamed = F.exists("scopes", lambda s: s.isNull())
+    known = base.where(F.col("need").isNotNull() & ~unnamed)
+    admitted = _admitted(known.drop("ts", "tokens"), limit, depth, max_rounds)
+    ends = base.groupBy("slice").agg(F.max("us").alias("end")).orderBy("slice").toPandas()
+
+    @F.pandas_udf("int")
+    def slice_at(at: pd.Series) -> pd.Series:
+        return pd.Series(np.append(ends["slice"].to_numpy(), -1)[np.searchsorted(ends["end"].to_numpy(), at.to_numpy())])
+
+    # the slice that gives a request back, if there is one
+    taken = _those(known, admitted).withColumn("until", slice_at(F.coalesce("settle_us", F.lit(_NEVER))))
+    taken = cut_lineage(taken.withColumn("until", F.when(F.col("settle_us").isNotNull() & (F.col("until") >= 0), F.greatest("until", "slice"))))
+    begun = taken.select(F.explode("scopes").alias("scope"), "slice", F.col("need").alias("t"), F.lit(1).alias("c"), F.lit(1).alias("a"), F.lit(False).alias("wanted"))
+    ended = taken.where(F.col("until").isNotNull()).select(
+        F.explode("scopes").alias("scope"), F.col("until").alias("slice"), (-F.col("back")).alias("t"), F.lit(0).alias("c"), F.lit(-1).alias("a"), F.lit(False).alias("wanted"))
+    looked = base.where(~unnamed).select(
+        F.explode("scopes").alias("scope"), "slice", F.lit(0).cast("bigint").alias("t"), F.lit(0).alias("c"), F.lit(0).alias("a"), F.lit(True).alias("wanted"))
+    moved = looked.unionByName(begun).unionByName(ended).groupBy("scope", "slice").agg(
+        *[F.sum(x).alias(x) for x in ("t", "c", "a")], F.max("wanted").alias("wanted"))
+    before = Window.partitionBy("scope").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    at_start = moved.select("scope", "slice", "wanted", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(x) for x in ("t", "c", "a")])
+    left = [F.coalesce(F.col(x) - F.col(u), F.lit(_NO_ROOM)).alias(u) for x, u in (("token_limit", "t"), ("calls_limit", "c"), ("concurrency_limit", "a"))]
+    rooms = at_start.where("wanted").join(limit, "scope", "left").select(
+        F.col("slice").alias("group"), F.lit(-1).alias("kind"), F.lit(_NO_TIME).alias("us"), F.array("scope").alias("scopes"), *left)
+    stops = taken.where(F.col("until") > F.col("slice")).select(
+        F.col("until").alias("group"), F.lit(0).alias("kind"), F.col("settle_us").alias("us"), "scopes", "back")
+    rows = base.where(~unnamed).withColumns({"group": F.col("slice"), "kind": F.when(F.col("need").isNull(), 2).otherwise(1)}).drop("slice")
+    in_order = rows.unionByName(rooms, allowMissingColumns=True).unionByName(stops, allowMissingColumns=True).repartitionById(parts, "group").sortWithinPartitions(
+        "group", F.col("kind") >= 0, "us", F.col("kind") > 0, "id", "n")
+    carry, kinds = ("id", "ts", "tokens"), dict(requests.dtypes)
+    told = in_order.select(*_REPLAYED, "scopes", *carry).mapInArrow(
+        lambda batches: _replay(batches, carry), ", ".join(f"{c} {kinds[c]}" for c in carry) + ", admitted boolean, scope string, dimension string")
+    return told.unionByName(base.where(unnamed).select(
+        *carry, F.lit(False).alias("admitted"), F.lit(None).cast("string").alias("scope"), F.lit("missing_scope").alias("dimension")))
+
+
+def _those(requests: DataFrame, numbers: DataFrame) -> DataFrame:
+    return requests.join(F.broadcast(numbers) if numbers.count() <= SCREEN else numbers, "n", "left_semi")
 
 
 def guard_cost(texts: DataFrame, limit_tokens: int = P.BUDGETS["guard"]["tokens"], limit_calls: int = P.BUDGETS["guard"]["calls"]) -> DataFrame:
